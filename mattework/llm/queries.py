@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mattework.llm import bpe, exact, packing, warc
+from mattework.llm import bpe, dartminhash, exact, lcp, packing, warc
 from mattework.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -32,12 +36,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_lcp_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_roundtrip(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op5_packing, op7_bpe, op10_warc)}
+    return {f.__name__: f for f in (op2_dartminhash, op3_exact_dedup, op5_packing, op7_bpe, op8_lcp_fingerprint, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
