@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mattework.llm import bpe, dartminhash, exact, lcp, packing, warc
+from mattework.llm import bpe, dartminhash, exact, lcp, packing, suffix, warc
 from mattework.llm.shared import table
 
 
@@ -40,12 +40,16 @@ def op8_lcp_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed_bytes(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_roundtrip(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_dartminhash, op3_exact_dedup, op5_packing, op7_bpe, op8_lcp_fingerprint, op10_warc)}
+    return {f.__name__: f for f in (op2_dartminhash, op3_exact_dedup, op5_packing, op7_bpe, op8_lcp_fingerprint, op9_suffix_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
