@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mattework.llm import bpe, dartminhash, exact, lcp, packing, suffix, warc
+from mattework.llm import bpe, ctw, dartminhash, exact, langid, lcp, packing, suffix, toxicity, warc
 from mattework.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -28,10 +32,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -49,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_dartminhash, op3_exact_dedup, op5_packing, op7_bpe, op8_lcp_fingerprint, op9_suffix_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_dartminhash, op3_exact_dedup, op4_ctw_score, op5_packing, op6_langid, op7_bpe, op8_lcp_fingerprint, op9_suffix_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
