@@ -30,7 +30,7 @@ from mattework.llm.bytesops import LOWER, NAMES, U, mix, prefix_sums, span_hash,
 from mattework.llm.langid import fold_of
 from mattework.llm.shared import materialize, small_batches
 
-DEPTH = 4
+DEPTH = 5
 SLOT_BITS = 22
 CHUNK_BITS = 14
 VOCABULARY = 6_000_000
@@ -149,7 +149,7 @@ def fit(texts: DataFrame) -> list[np.ndarray]:
     grams = materialize(texts.mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     near = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF))
     nodes = grams.withColumn("near", near).groupBy("near").applyInArrow(lambda t: _subtree(t), f"{NODES}, key long, weighted double")
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(nodes.withColumn("key", F.when(F.col("depth") == 2, F.col("key"))).withColumn("weighted", F.when(F.col("depth") == 2, F.col("weighted"))), "nodes")
     # depths 1 and 0: at most 65,280 and 255 nodes
     top = nodes.where("depth = 2").withColumn("nearest", F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFF)))
 
