@@ -10,8 +10,8 @@ estimate. The sum of the logarithms is the code length.
 
 Counts are of all grams of DEPTH + 1 bytes of the training texts, gathered exactly; the trees are worked
 out by their two nearest bytes, in parallel. What scoring needs (estimate and weight, 16 bits each) is
-broadcast in tables whose size is a parameter: dense for depths 0 and 1, 2**SLOT_BITS hashed slots for
-each other depth, where contexts that share a slot share their counts.
+broadcast in tables whose size is a parameter: dense for depths 0 and 1, 2**SLOT_BITS[d] hashed slots
+for depth d, where contexts that share a slot share their counts.
 
 The base is a unigram model of words with add-one smoothing. Its vocabulary is broadcast if it has at most
 VOCABULARY words; beyond that, each document's word counts are joined with it. Words are compared by
@@ -21,6 +21,8 @@ as 1/2. Repeated rows are scored each; null doc_ids are training rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,8 @@ from mattework.llm.langid import fold_of
 from mattework.llm.shared import materialize, small_batches
 
 DEPTH = 5
-SLOT_BITS = 22
+#: Slots of the tables of depths 2 to DEPTH.
+SLOT_BITS = {2: 20, 3: 21, 4: 22, 5: 22}
 CHUNK_BITS = 14
 VOCABULARY = 6_000_000
 END = int(mix(np.array([0xE0D], U))[0].astype(np.int64))
@@ -95,7 +98,7 @@ TOP = "key long, a double, b double, weighted double"
 
 
 def slots_of(key: np.ndarray, depth: int) -> np.ndarray:
-    return (mix(key ^ mix(np.full(1, depth, U))) >> U(64 - SLOT_BITS)).astype(np.int64) if depth > 1 else key.astype(np.int64)
+    return (mix(key ^ mix(np.full(1, depth, U))) >> U(64 - SLOT_BITS[depth])).astype(np.int64) if depth > 1 else key.astype(np.int64)
 
 
 def _subtree(table: pa.Table) -> pa.Table:
@@ -123,7 +126,7 @@ def _chunk(key, table):
     out = np.zeros((1 << CHUNK_BITS, 2), "<u2")
     at = np.asarray(table["slot"]) & ((1 << CHUNK_BITS) - 1)
     out[at] = _pack(*(np.asarray(table[c]) for c in ("a", "b", "held")))
-    return pa.table({"depth": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int64()), "packed": pa.array([out.tobytes()], pa.binary())})
+    return pa.table({"depth": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int64()), "packed": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
 
 def _count_grams(batches):
@@ -158,16 +161,18 @@ def fit(texts: DataFrame) -> list[np.ndarray]:
         return pa.table([pa.array(x) for x in (key.astype(np.int64), a, b, weighted, stop)], names=["key", "a", "b", "weighted", "stop"])
 
     one = sorted(tuple(r) for r in top.groupBy("nearest").applyInArrow(lambda t: first(t), "key long, a double, b double, weighted double, stop double").collect())
-    tables = [np.zeros((256, 2), "<u2"), np.zeros((65536, 2), "<u2"), *(np.zeros((1 << SLOT_BITS, 2), "<u2") for _ in range(2, DEPTH + 1))]
+    tables = [np.zeros((256, 2), "<u2"), np.zeros((65536, 2), "<u2"), *(np.zeros((1 << SLOT_BITS[d], 2), "<u2") for d in range(2, DEPTH + 1))]
     if one:
         key, a, b, weighted, stop = (np.array(c) for c in zip(*one, strict=True))
         tables[1][key] = _pack(a, b, stop * (a + b))
         key, a, b, weighted, stop = lift(key.astype(U), a, b, weighted, 0)
         tables[0][key.astype(np.int64)] = _pack(a, b, stop * (a + b))
-    sums = nodes.groupBy("depth", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("held").alias("held"))
-    packed = sums.withColumn("chunk", F.shiftright("slot", CHUNK_BITS)).groupBy("depth", "chunk").applyInArrow(_chunk, "depth int, chunk long, packed binary")
+    # one exchange by chunk serves both the sums by slot and the packing of a chunk's slots
+    dealt = nodes.select("depth", F.shiftright("slot", CHUNK_BITS).alias("chunk"), "slot", "a", "b", "held").repartition("depth", "chunk")
+    sums = dealt.groupBy("depth", "chunk", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("held").alias("held"))
+    packed = sums.groupBy("depth", "chunk").applyInArrow(_chunk, "depth int, chunk long, packed binary")
     for depth, chunk, raw in packed.toLocalIterator():  # the tables' fixed size in all
-        tables[depth][chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS] = np.frombuffer(raw, "<u2").reshape(-1, 2)
+        tables[depth][chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(raw), "<u2").reshape(-1, 2)
     return tables
 
 
@@ -240,7 +245,7 @@ def _count_words(batches):
 
 def _blob(batches):
     for batch in batches:
-        yield pa.record_batch([pa.array([np.asarray(batch["hash"]).tobytes()], pa.binary()), pa.array([np.asarray(batch["n"]).astype("<i8").tobytes()], pa.binary())], ["hashes", "counts"])
+        yield pa.record_batch([pa.array([np.asarray(batch["hash"]).tobytes()], pa.binary()), pa.array([np.minimum(np.asarray(batch["n"]), 2**31 - 1).astype("<i4").tobytes()], pa.binary())], ["hashes", "counts"])
 
 
 SCORED = "doc_id long, held_out boolean, row_id long, n_tokens long, n_known long, base_score double, score double"
@@ -296,11 +301,11 @@ def score_texts(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     words = materialize(texts.mapInArrow(_count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
     kinds, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     broadcast = None
-    if kinds <= vocabulary:
+    if kinds <= vocabulary and tokens < 1 << 31:
         blobs = list(words.orderBy("hash").mapInArrow(_blob, "hashes binary, counts binary").toLocalIterator())
         hashes = np.frombuffer(b"".join(bytes(r[0]) for r in blobs), np.int64)
-        counts = np.frombuffer(b"".join(bytes(r[1]) for r in blobs), np.int64)
-        broadcast = (hashes, counts.astype(np.int32) if not len(counts) or counts.max() < 1 << 31 else counts)
+        counts = np.frombuffer(b"".join(bytes(r[1]) for r in blobs), "<i4")
+        broadcast = (hashes, counts)
     held = spark.sparkContext.broadcast((tables, broadcast))
     scored = docs.mapInArrow(_score(held, tokens, kinds), SCORED)
     if broadcast is None:
