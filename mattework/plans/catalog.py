@@ -14,6 +14,7 @@ from mattework.operators import adapters, components
 from mattework.operators import matte as m
 from mattework.operators import views as v
 from mattework.plans import key_image as k
+from mattework.plans.stages import stage
 from mattework.settings import Settings
 from mattework.sources import rasters as s
 
@@ -29,7 +30,7 @@ def pick(src: str, columns: str) -> str:
 def soft(d: Dialect) -> str:
     """Frames with their true alpha as alpha, the key as screen, and the masks that the colour steps read."""
     out = m.add(s.frames(d), alpha=d.rint("255e0 * a_true"), background="CASE WHEN a_true <= 0.002e0 THEN 1 ELSE 0 END", edge="CASE WHEN a_true > 0.002e0 AND a_true < 0.995e0 THEN 1 ELSE 0 END", sr="kr", sg="kg", sb="kb", nr="fr", ng="fg", nb="fb")
-    out = m.spill(m.probability(d, out, S)) if False else m.probability(d, out, S)
+    out = m.probability(d, out, S)
     out = pick(out, "image_id, y, x, r, g, b, kr, kg, kb, a_true, a0, keep, remove, hint, fr, fg, fb, alpha, background, edge, sr, sg, sb, nr, ng, nb, prob")
     return m.fringe(d, m.spill(out), S)
 
@@ -52,10 +53,6 @@ def quantised(d: Dialect, upto: str) -> str:
     return pick(colours(d, upto), f"{PX}, " + ", ".join(d.rint(f"{upto}{c} * 4095e0") + f" AS {c}" for c in "rgb"))
 
 
-def seen(d: Dialect) -> str:
-    return pick(soft(d), "*")
-
-
 PLAIN: dict[str, Callable[[Dialect], str]] = {
     "frames_scan": lambda d: pick(s.frames(d), f"{PX}, r, g, b, kr, kg, kb, {d.rint('1000e0 * a_true')} AS a1000, keep, remove, hint"),
     "embed_raster_scan": lambda d: s.embed_raster(d),
@@ -128,10 +125,6 @@ SPARSE = "r > 200"
 HOLES = "r <= 200"
 
 
-def _on(pixels: DataFrame, found: DataFrame) -> DataFrame:
-    return found.select("image_id", "y", "x")
-
-
 def _embed(spark: SparkSession) -> DataFrame:
     return spark.sql(s.embed_raster(SPARK))
 
@@ -151,12 +144,9 @@ def _duck_result(settings: Settings = S, columns: str = 'image_id, y, x, "or" AS
     return f"{k.duck_connected(DUCK, s.frames(DUCK), settings)}, matte AS MATERIALIZED ({matte}) {pick(k.coloured(DUCK, 'SELECT * FROM matte', settings, (s.HEIGHT, s.WIDTH)), columns)}"
 
 
-WIDE = replace(S, edge_refine_radius=2, use_tiling=False)
-
-
 def _tiled(spark: SparkSession) -> DataFrame:
     """The result of tiles against that of the whole frame: colours depend on a halo, alpha on nothing."""
-    out = _result(spark)
+    out = stage(_result(spark), "result")
     tiles = spark.sql(v.tile_halo("SELECT * FROM {r}", 8, 4).replace("{r}", _view(out, "tiled"))).where("core")
     spark_sql = v.run_diff(f"SELECT * FROM {_view(out, 'whole')}", f"SELECT * FROM {_view(tiles, 'cores')}")
     return spark.sql(spark_sql)

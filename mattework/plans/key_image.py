@@ -9,6 +9,7 @@ from mattework.functions.sql import SPARK, Dialect
 from mattework.operators import components
 from mattework.operators import matte as m
 from mattework.operators import views as v
+from mattework.plans.stages import stage
 from mattework.settings import Settings, screen_radius
 
 RESULT = ["image_id", "y", "x", "r", "g", "b", "alpha", "background", "edge", "fringe", "despill", "prob"]
@@ -48,7 +49,8 @@ def result(src: str) -> str:
 def key_frames(spark: SparkSession, pixels: DataFrame, s: Settings, shape: tuple[int, int]) -> DataFrame:
     """The result of pixels(image_id, y, x, r, g, b, kr, kg, kb, a0, keep, remove, hint, ...)."""
     d = SPARK
-    prob = _sql(spark, m.probability(d, "SELECT * FROM {src}", s), pixels)
+    prob = _sql(spark, m.probability(d, "SELECT * FROM {src}", s), pixels).select(*pixels.columns, "prob")
+    prob = stage(prob, "prob")
     cut = f"prob >= {s.thresholds[0]}"
     seen = components.border_connected(prob, cut)
     if s.min_area > 1:
@@ -57,7 +59,7 @@ def key_frames(spark: SparkSession, pixels: DataFrame, s: Settings, shape: tuple
     joined = prob.join(seen.withColumn("hit", F.lit(1)), ["image_id", "y", "x"], "left").withColumn("connected", F.coalesce("hit", F.lit(0))).drop("hit")
     matte = _sql(spark, with_alpha(d, "SELECT * FROM {src}", s), joined)
     matte = matte.select("image_id", "y", "x", "r", "g", "b", "kr", "kg", "kb", "prob", "background", "edge", "alpha", "hint", *[c for c in ("a_true", "fr", "fg", "fb") if c in matte.columns])
-    matte = matte.persist()  # colours read it four times; a lost part is worked out again
+    matte = stage(matte, "matte")  # colours read it four times
     return _sql(spark, coloured(d, "SELECT * FROM {src}", s, shape), matte)
 
 
