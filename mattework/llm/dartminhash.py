@@ -14,13 +14,15 @@ the shingle sets (held as 32-bit hashes):
 
 1. Documents of the same words in the same order are one from the start.
 2. In each bucket everyone is compared with the least member, then links give components.
-3. In buckets that still hold several components, all pairs across components whose signatures do not
-   rule out the threshold are compared. They are found in blocks of signatures, no pair is emitted
-   within a component, and only pairs that pass are emitted.
+3. In buckets that still hold several components, signatures are compared across components, in blocks;
+   large buckets that share members are taken together, so that no pair is compared in every band.
+   A member with few partners that its signature does not rule out lists them, and those pairs are
+   compared. The members of a block that have more are compared all at once, by the product of their
+   incidence matrix with itself, and only links of a spanning tree are emitted.
 4. Components of all links.
 
-So a group of many thousand near copies costs a few comparisons a member. Step 3 has no cap: a bucket of
-m members of many components costs m**2 / 2 signature comparisons, spread over blocks.
+So a group of many thousand near copies costs a few rows a member. Step 3 has no cap: a group of m members
+of many components costs m**2 / 2 signature comparisons, spread over pairs of blocks.
 
 Null and empty texts, and texts of white space alone, have no shingle and no link. A text of less than
 five words is one shingle. Repeated rows (also of one doc_id) are copies of each other. An empty table
@@ -37,14 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mattework.llm.bytesops import LOWER, NAMES, U, mix, prefix_sums, span_hash, text_blocks, word_spans
-from mattework.llm.shared import components, materialize, small_batches
+from mattework.llm.shared import bitmap, components, flagged, materialize, small_batches
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Standard deviations below the threshold at which signatures rule a pair out.
 MARGIN = 4.0
 #: Members of a bucket that one task compares with one another.
-BLOCK = 2048
+BLOCK = 1024
+#: Members of a bucket that is a group by itself.
+SMALL = 256
+#: Partners in a block that a member lists; a member of more is compared with all such by a matrix product.
+FEW = 8
 _WEIGHT, _SLOT, _STEP = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 
 
@@ -160,16 +166,30 @@ def _sign(words: int, bands: int, rows: int):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, bits: int, held):
+    """Sets of the documents whose flag is set, so that no other text moves."""
+
     def run(batches):
-        for batch, data, offsets in text_blocks(batches):
-            hashes, at, _ = shingles(data, offsets, words)
-            short = (hashes >> U(32)).astype("<u4")
-            yield pa.record_batch([batch["doc_id"], pa.array([np.unique(short[at[i] : at[i + 1]]).tobytes() for i in range(len(at) - 1)], pa.binary())], ["id", "members"])
+        flags = held.value
+        for batch in batches:
+            some = flagged(flags, bits, np.asarray(batch["spot"]))
+            for part, data, offsets in text_blocks([batch.filter(pa.array(some))]):
+                hashes, at, _ = shingles(data, offsets, words)
+                short = (hashes >> U(32)).astype("<u4")
+                yield pa.record_batch([part["doc_id"], pa.array([np.unique(short[at[i] : at[i + 1]]).tobytes() for i in range(len(at) - 1)], pa.binary())], ["id", "members"])
 
     return run
 
 
+def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, members): the shingle set of each document of ids(id), as sorted 32-bit hashes."""
+    spark = docs.sparkSession
+    ids = materialize(ids.distinct(), "ids")
+    bits, flags = bitmap(ids.select(F.xxhash64("id").alias("hash")), ids.count())
+    found = docs.where("doc_id is not null").withColumn("spot", F.xxhash64("doc_id")).mapInArrow(_sets(words, bits, spark.sparkContext.broadcast(flags)), "id long, members binary")
+    return materialize(found.dropDuplicates(["id"]).join(ids, "id", "left_semi"), "sets")
+
+
 def _linked(threshold: float):
     def run(batches):
         for batch in batches:
@@ -185,36 +205,100 @@ def _linked(threshold: float):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(a, b, linked) of pairs(a, b) of doc_id, by the Jaccard similarity of their shingle sets."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, members binary").dropDuplicates(["id"]), "sets")
+def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, linked) of pairs(a, b), by the Jaccard similarity of their sets(id, members)."""
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
     return materialize(joined.select("a", "b", "x", "y").mapInArrow(_linked(threshold), "a long, b long, linked boolean"), "verified")
 
 
 def _across(k: int, least: int):
-    """Pairs of members of different components whose signatures agree often enough."""
+    """What is left to compare in a pair of blocks of a bucket.
+
+    Rows (a, b): members of different components whose signatures agree often enough, listed by each
+    member that has FEW such partners at most. Rows (a, null): a member that has more.
+    """
 
     def run(keys, table):
         ids, labels, side = (np.asarray(table[c]) for c in ("id", "label", "block"))
         raw = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(len(ids), k)
-        low, high = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-        one = side.min() == side.max() and int(keys[1].as_py()) == int(keys[2].as_py())
+        p, q = keys[1].as_py(), keys[2].as_py()
         a, b = [], []
-        if one or side.min() != side.max():
-            for i in low:
-                others = high[high > i] if one else high
-                others = others[labels[others] != labels[i]]
-                close = others[(raw[others] == raw[i]).sum(axis=1) >= least]
-                a += [ids[i]] * len(close)
+        for i in range(len(ids)):
+            others = np.flatnonzero((labels != labels[i]) & (side == (q if side[i] == p else p)))
+            close = others[(raw[others] == raw[i]).sum(axis=1) >= least]
+            if len(close) > FEW:
+                a.append(ids[i])
+                b.append(None)
+            else:
+                a += [int(ids[i])] * len(close)
                 b += ids[close].tolist()
-        low_id, high_id = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-        return pa.table({"a": pa.array(low_id, pa.int64()), "b": pa.array(high_id, pa.int64())})
+        n = len(a)
+        return pa.table({"key": pa.array([keys[0].as_py()] * n, pa.int64()), "p": pa.array([p] * n, pa.int32()), "q": pa.array([q] * n, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+def _dense(threshold: float):
+    """Links that join the members of a group, from the product of its incidence matrix with itself."""
+
+    def run(table):
+        ids, side = np.asarray(table["id"]), np.asarray(table["block"])
+        m = len(ids)
+        sets = [np.frombuffer(x, "<u4") for x in table["members"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        names, back = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(m), size)
+        shared = np.bincount(back, minlength=len(names)) > 1
+        place = np.cumsum(shared) - 1
+        row, column = row[shared[back]], place[back[shared[back]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        one, two = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+        at = np.zeros(m, np.int64)
+        at[one], first = np.arange(len(one)), side[row] == side.min()
+        at[two] = np.arange(len(two))
+        common = np.zeros((len(one), len(two)), np.float32)
+        for low in range(0, int(shared.sum()), 2048):
+            i, j = np.searchsorted(column, [low, low + 2048])
+            r, c, f = row[i:j], column[i:j] - low, first[i:j]
+            x = np.zeros((len(one), 2048), np.float32)
+            x[at[r[f]], c[f]] = 1
+            if side.min() == side.max():
+                y = x
+            else:
+                y = np.zeros((len(two), 2048), np.float32)
+                y[at[r[~f]], c[~f]] = 1
+            common += x @ y.T
+        link = common >= threshold * (size[one][:, None] + size[two][None, :] - common) - 1e-4
+        near = [[] for _ in range(m)]
+        for i, j in zip(*(x.tolist() for x in np.nonzero(link)), strict=True):
+            near[one[i]].append(two[j])
+            near[two[j]].append(one[i])
+        a, b, left = [], [], np.ones(m, bool)
+        for seed in range(m):  # a spanning tree of each component
+            edge = [seed] if left[seed] else []
+            left[seed] = False
+            while edge:
+                i = edge.pop()
+                for j in near[i]:
+                    if left[j]:
+                        left[j] = False
+                        a.append(int(ids[i]))
+                        b.append(int(ids[j]))
+                        edge.append(j)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """members(group, id) with each group in blocks; every pair of blocks (p, q) is one task's work."""
+    sizes = members.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    place = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    place = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return place.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("blocks", "other")
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, class_size, kept) for every row of docs(doc_id, text).
 
@@ -232,22 +316,30 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     keys = heads.select(F.col("head").alias("id"), F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a", "n")
     stars = materialize(keys.join(buckets, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
-    tried = verified(docs, stars, words, threshold)
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    tried = verified(sets_of(docs, ends(stars), words), stars, threshold)
     links = tried.where("linked").select("a", "b")
     labels = components(links)
 
     known = heads.select(F.col("head").alias("id"), "bands", "signature").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "bands", "signature")
     members = known.select("id", "label", F.explode("bands").alias("key"))
     mixed = materialize(members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "n"), "mixed")
-    split = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    place = members.join(mixed, "key").withColumn("blocks", split).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # each pair of blocks is one group; a block goes to as many groups as there are blocks
-    place = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label")
-    place = place.join(known.select("id", "signature"), "id")
-    across = place.groupBy("key", "p", "q").applyInArrow(_across(k, least), "a long, b long").distinct()
-    more = materialize(across.join(tried, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.union(verified(docs, more, words, threshold).where("linked").select("a", "b"))
+    # a small bucket is a group; large ones that share members are one, so that each pair is compared once
+    small = members.join(mixed.where(F.col("n") <= SMALL), "key").select(F.col("key").alias("group"), "id", "label")
+    large = materialize(members.join(mixed.where(F.col("n") > SMALL), "key").select("key", "id", "label"), "large")
+    if not large.isEmpty():
+        joint = components(large.join(large.groupBy("key").agg(F.min("id").alias("a")), "key").select("a", F.col("id").alias("b")).distinct())
+        small = small.union(large.select("id", "label").distinct().join(joint.withColumnRenamed("label", "joint"), "id").select(F.xxhash64("joint", F.lit("large")).alias("group"), "id", "label"))
+    place = _blocks(small).select(F.col("group").alias("key"), "p", "q", "block", "id", "label").join(known.select("id", "signature"), "id")
+    across = materialize(place.groupBy("key", "p", "q").applyInArrow(_across(k, least), "key long, p int, q int, a long, b long"), "across")
+    pairs = across.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    few = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "few")
+    many = materialize(across.where("b is null").select(F.col("key").alias("group"), F.col("a").alias("id")).distinct(), "many")
+    wanted = ends(few).union(many.select("id"))
+    if not wanted.isEmpty():
+        sets = sets_of(docs, wanted, words)
+        dense = _blocks(many).join(sets, "id").groupBy("group", "p", "q").applyInArrow(_dense(threshold), "a long, b long")
+        links = links.union(verified(sets, few, threshold).where("linked").select("a", "b")).union(materialize(dense, "dense"))
         labels = components(links)
 
     classes = heads.select("words_hash", "n_shingles", "head").join(labels.withColumnRenamed("id", "head"), "head", "left").select("words_hash", "n_shingles", F.coalesce("label", "head").alias("class_id"))

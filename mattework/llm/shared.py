@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bitmap(hashes: DataFrame, count: int, most: int = 30) -> tuple[int, np.ndarray]:
+    """(bits, packed flags) of hashes(hash long): the flag at a hash's top `bits` bits is set.
+
+    About 32 flags for each of `count` hashes, but 2**most at most (128 MB): a set that is larger than that
+    lets more through, it loses none. Flags are packed on the executors.
+    """
+    bits = min(most, max(20, math.ceil(math.log2(max(count, 1) * 32))))
+    low = bits - 10
+
+    def pack(key, table):
+        flags = np.zeros(1 << low, bool)
+        flags[np.asarray(table["bit"]) & ((1 << low) - 1)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "flags": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    bit = hashes.select(F.shiftrightunsigned("hash", 64 - bits).alias("bit")).withColumn("part", F.shiftright("bit", low)).distinct()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for part, chunk in bit.groupBy("part").applyInArrow(pack, "part long, flags binary").toLocalIterator():
+        out[part << (low - 3) : (part + 1) << (low - 3)] = np.frombuffer(chunk, np.uint8)
+    return bits, out
+
+
+def flagged(flags: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes have their flag set."""
+    bit = (hashes.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (flags[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): label is the least id of the component, for every id of edges(a, b).
 

@@ -5,11 +5,12 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
 1. Anchors. Of the GRAM-byte grams in each window of `length` bytes the one with the least hash (the
    leftmost of equals) is the window's anchor, so equal windows have equal anchors at equal offsets. All
    windows of consecutive starts with one anchor are one stretch, about length/2 starts each. A stretch
-   whose anchor gram stands nowhere else holds no repeated window. A bitmap of the grams' hashes that
-   stand more than once tells which stretches go on; it has up to 2**30 bits, and a full one only lets
-   more stretches go on.
+   whose anchor gram stands nowhere else holds no repeated window; one that stands twice as a whole is
+   repeated in all of them. Where different stretches share an anchor gram their suffixes are sorted.
+   Two bitmaps tell tasks which stretches count and which are sorted; they have up to 2**30 bits, and a
+   full one only lets more stretches go on.
 2. Runs. A map task sorts the suffixes that start at its anchors (each as far as its stretch's windows
-   reach; equal stretches once, with a count), cuts the sorted run at sampled splitters and front-codes
+   reach; equal stretches once), cuts the sorted run at sampled splitters and front-codes
    it: the length of the common prefix with the suffix before, and the rest.
 3. Merge. A range's task merges its runs with a loser tree whose nodes keep the common prefix of loser and
    winner: unequal prefixes decide at once, equal ones are compared from there on only. Suffixes come out
@@ -32,15 +33,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mattework.llm.bytesops import NAMES, U, gram_hash, mix, prefix_sums, span_hash, text_blocks
-from mattework.llm.shared import materialize, small_batches
+from mattework.llm.shared import bitmap, flagged, materialize, small_batches
 
 LENGTH, GRAM = 400, 32
 #: Bytes of distinct suffixes that a map task holds for a run.
-RUN_BYTES = 24 << 20
+RUN_BYTES = 6 << 20
+#: Bytes of text that are worked on at once.
+TEXT_BYTES = 1 << 19
 #: Suffixes that a range should have; splitters come from a sample of SAMPLE suffixes.
 RANGE, SAMPLE, HEAD = 20_000, 8192, 160
 GROUP = 4096
@@ -82,42 +86,40 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return np.searchsorted(offsets, first, "right") - 1, first, last, at, hashes[at], sums
 
 
-SEEN = "gram long, n long, sampled long, head binary"
+SEEN = "gram long, name long, n long, sampled long, head binary"
+
+
+def names_of(sums: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A stretch's name: the hash of its bytes and of its anchor's place in it."""
+    return mix(span_hash(sums, first, last + length) ^ (at - first).astype(U)).astype(np.int64)
 
 
 def _count(length: int, gram: int):
     def run(batches):
         held, size = [], 0
+        columns = ["gram", "name", "n", "sampled", "head"]
 
-        def out(parts):
-            grams, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.record_batch([pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(grams), pa.int64()), pa.nulls(len(grams), pa.binary())], ["gram", "n", "sampled", "head"])
+        def out():
+            grams, names = (np.concatenate(x) for x in zip(*held, strict=True))
+            names, at, n = np.unique(names, return_index=True, return_counts=True)
+            return pa.record_batch([pa.array(grams[at].astype(np.int64)), pa.array(names), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], columns)
 
-        for _, data, offsets in text_blocks(batches):
+        for _, data, offsets in text_blocks(batches, limit=TEXT_BYTES):
             doc, first, last, at, grams, sums = stretches(data, offsets, length, gram)
-            held.append(grams)
+            names = names_of(sums, first, last, at, length)
+            held.append((grams, names))
             size += len(grams)
-            spot = mix(span_hash(sums, first, last + length))
+            spot = mix(names.astype(U))
             some = np.flatnonzero((spot & U(63)) == 0)
             if len(some):
                 raw = data.tobytes()
                 heads = [raw[a : min(a + HEAD, e)] for a, e in zip(at[some].tolist(), (last[some] + length).tolist(), strict=True)]
-                yield pa.record_batch([pa.array(grams[some].astype(np.int64)), pa.array(np.zeros(len(some), np.int64)), pa.array(spot[some].astype(np.int64)), pa.array(heads, pa.binary())], ["gram", "n", "sampled", "head"])
-            if size > 1 << 21:
-                yield out(held)
+                yield pa.record_batch([pa.array(grams[some].astype(np.int64)), pa.array(names[some]), pa.array(np.zeros(len(some), np.int64)), pa.array(spot[some].astype(np.int64)), pa.array(heads, pa.binary())], columns)
+            if size > 1 << 20:
+                yield out()
                 held, size = [], 0
         if held:
-            yield out(held)
-
-    return run
-
-
-def _bitmap(bits: int, low: int):
-    def run(key, table):
-        at = np.unique(np.asarray(table["bit"]) & ((1 << low) - 1))
-        flags = np.zeros(1 << low, bool)
-        flags[at] = True
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "flags": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+            yield out()
 
     return run
 
@@ -143,11 +145,12 @@ def front_code(entries: list[tuple[bytes, bytes, int, int]]) -> bytes:
         more[i] = name, count
         blob += [right[k:], left]
         before = right
-    return n.to_bytes(4, "little") + head.tobytes() + more.tobytes() + b"".join(blob)
+    return zstandard.ZstdCompressor(level=1).compress(n.to_bytes(4, "little") + head.tobytes() + more.tobytes() + b"".join(blob))
 
 
 def front_decode(run: bytes):
     """(suffix, common prefix with the one before, left part, hash, count) in order."""
+    run = zstandard.ZstdDecompressor().decompress(run)
     n = int.from_bytes(run[:4], "little")
     at = 4 + 12 * n
     head = np.frombuffer(run, "<u4", 3 * n, 4).reshape(n, 3).tolist()
@@ -207,10 +210,10 @@ def merge(runs: list):
 RUNS = "part int, run binary, row_id long, name long, first long, windows long"
 
 
-def _runs(length: int, gram: int, bits: int, bitmap, splitters: list[bytes]):
+def _runs(length: int, gram: int, often, mixed, splitters: list[bytes]):
     def run(batches):
-        flags = np.frombuffer(bitmap.value, np.uint8)
-        shift = U(64 - bits)
+        (bits, held_flags), (mixed_bits, held_mixed) = often, mixed
+        flags, mixed_flags = held_flags.value, held_mixed.value
         held: dict[int, list] = {}
         volume = 0
 
@@ -231,16 +234,17 @@ def _runs(length: int, gram: int, bits: int, bitmap, splitters: list[bytes]):
             right = right or [pa.nulls(n, pa.int64())] * 4
             return pa.record_batch([*left, *right], ["part", "run", "row_id", "name", "first", "windows"])
 
-        for batch, data, offsets in text_blocks(batches):
+        for batch, data, offsets in text_blocks(batches, limit=TEXT_BYTES):
             doc, first, last, at, grams, sums = stretches(data, offsets, length, gram)
-            bit = (grams >> shift).astype(np.int64)
-            go = np.flatnonzero(flags[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            go = np.flatnonzero(flagged(flags, bits, grams))
             if not len(go):
                 continue
             doc, first, last, at = doc[go], first[go], last[go], at[go]
-            name = mix(span_hash(sums, first, last + length) ^ (at - first).astype(U)).astype(np.int64)
+            name = names_of(sums, first, last, at, length)
             rows = np.asarray(batch["row_id"])[doc]
             yield _rows(None, [pa.array(rows), pa.array(name), pa.array(first - offsets[doc]), pa.array(last - first + 1)])
+            go = np.flatnonzero(flagged(mixed_flags, mixed_bits, grams[go]))
+            name, first, last, at = name[go], first[go], last[go], at[go]
             raw = data.tobytes()
             for x, s, e, a in zip(name.tolist(), first.tolist(), (last + length).tolist(), at.tolist(), strict=True):
                 if have := held.get(x):
@@ -392,36 +396,37 @@ CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 def marks_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(row_id, marks) for the rows of docs(row_id, text) that have a repeated window."""
     spark = docs.sparkSession
-    seen = materialize(docs.mapInArrow(_count(length, gram), SEEN), "grams")
-    grams = seen.where("sampled is null").groupBy("gram").agg(F.sum("n").alias("n"))
+    seen = materialize(docs.mapInArrow(_count(length, gram), SEEN), "seen")
+    names = materialize(seen.where("sampled is null").groupBy("gram", "name").agg(F.sum("n").alias("n")), "names")
+    grams = names.groupBy("gram").agg(F.sum("n").alias("n"), (F.min("name") != F.max("name")).alias("mixed"), F.count("*").alias("kinds"))
     often = materialize(grams.where("n > 1"), "often")
-    kinds, volume = often.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = min(30, max(20, math.ceil(math.log2(max(kinds, 1) * 32))))
-    low = bits - 10
-    bit = often.select(F.shiftrightunsigned("gram", 64 - bits).alias("bit")).withColumn("part", F.shiftright("bit", low)).distinct()
-    flags = np.zeros(1 << (bits - 3), np.uint8)
-    for part, chunk in bit.groupBy("part").applyInArrow(_bitmap(bits, low), "part long, flags binary").toLocalIterator():
-        flags[part << (low - 3) : (part + 1) << (low - 3)] = np.frombuffer(chunk, np.uint8)
-    bitmap = spark.sparkContext.broadcast(flags.tobytes())
-    sample = seen.where("sampled is not null").join(often.select("gram"), "gram", "left_semi").select("sampled", "head").orderBy("sampled", "head").limit(SAMPLE).collect()
+    mixed = often.where("mixed")
+    held = []
+    for some in (often, mixed):
+        bits, flags = bitmap(some.select(F.col("gram").alias("hash")), some.count())
+        held.append((bits, spark.sparkContext.broadcast(flags)))
+    volume = mixed.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    sample = seen.where("sampled is not null").join(mixed.select("gram"), "gram", "left_semi").select("sampled", "head").orderBy("sampled", "head").limit(SAMPLE).collect()
     heads = sorted(bytes(r["head"]) for r in sample)
     ranges = max(1, min(math.ceil(volume / RANGE), len(heads)))
     splitters = sorted({heads[i * len(heads) // ranges] for i in range(1, ranges)})
-    work = materialize(docs.mapInArrow(_runs(length, gram, bits, bitmap, splitters), RUNS), "runs")
+    work = materialize(docs.mapInArrow(_runs(length, gram, *held, splitters), RUNS), "runs")
+    for _, sent in held:
+        sent.destroy()
     dealt = work.where("part is not null").select("part", "run").repartition(len(splitters) + 1, "part").sortWithinPartitions("part")
     found = materialize(dealt.mapInArrow(_merge_ranges(length, gram, splitters), MARKS), "marks")
-    # windows of the groups that no task holds whole
-    windows = found.where("hashes is not null").select("name", "n", F.posexplode("hashes").alias("j", "hash"))
-    once = windows.dropDuplicates(["name", "j"])
-    several = once.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
-    open_ = once.join(several, "hash", "left_semi").select("name", F.array("j").alias("lows"), F.array("j").alias("highs"))
-    closed = found.where("hashes is null").select("name", "lows", "highs")
-    each = closed.union(open_).groupBy("name").agg(F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs"))
-    # a stretch that two runs pass on from an open group counts once in `once` but twice in the corpus
-    again = found.where("hashes is not null").groupBy("name").agg(F.sum("n").alias("n"), F.max(F.size("hashes")).alias("w")).where("n > 1").select("name", F.array(F.lit(0)).alias("l"), F.array((F.col("w") - 1).cast("int")).alias("h"))
-    each = each.join(again, "name", "full").select("name", F.coalesce("l", "lows").alias("lows"), F.coalesce("h", "highs").alias("highs"))
-    places = work.where("part is null").select("row_id", "name", "first")
-    return places.join(each, "name").groupBy("row_id").agg(F.collect_set(F.struct("first", "lows", "highs")).alias("marks"))
+    # windows of the groups that no task holds whole; a stretch in several runs counts once
+    windows = found.where("hashes is not null").dropDuplicates(["name"]).select("name", F.posexplode("hashes").alias("j", "hash"))
+    several = windows.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
+    open_ = windows.join(several, "hash", "left_semi").select("name", F.array("j").alias("lows"), F.array("j").alias("highs"))
+    some = found.where("hashes is null").select("name", "lows", "highs").union(open_)
+    # a stretch that stands twice is repeated in all its windows
+    whole = names.where("n > 1").select("name", F.lit(None).cast("array<int>").alias("lows"), F.lit(None).cast("array<int>").alias("highs"))
+    each = some.union(whole).groupBy("name").agg(F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs"), F.max(F.col("lows").isNull()).alias("whole"))
+    places = work.where("part is null").select("row_id", "name", "first", "windows")
+    lows = F.when(F.col("whole"), F.array(F.lit(0))).otherwise(F.col("lows")).alias("lows")
+    highs = F.when(F.col("whole"), F.array((F.col("windows") - 1).cast("int"))).otherwise(F.col("highs")).alias("highs")
+    return places.join(each, "name").groupBy("row_id").agg(F.collect_set(F.struct("first", lows, highs)).alias("marks"))
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: list[str] | None = None) -> DataFrame:
@@ -430,7 +435,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: l
     kept_text is the text without the removed bytes; of a character that is cut through, what is left is
     dropped there, while kept_sha256 is of all the remaining bytes.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 400)
     rest = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     docs = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
