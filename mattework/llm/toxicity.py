@@ -239,7 +239,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows, sample: int = SAMPLE)
     spot = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30))
     shares = [min(1 << 30, int(max(sample / 2, sample - (n - k)) / k * (1 << 30)) + 1) for k in (n - toxic, toxic)]
     chosen = known.where(spot < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]))
-    chosen = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)).cast("int").alias("part")), "labelled")
+    # the sample is bounded, so it goes to the texts and no other text moves
+    chosen = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)).cast("int").alias("part")), "labelled")
     first = chosen.where("part < 3").mapInArrow(_vocabulary, "kind int, hash long, bad long, good long").groupBy("kind", "hash").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = chosen.where("part < 3").agg(F.sum("toxic"), F.count("*")).first()
     ratio = (odds[1] - (odds[0] or 0) + 1) / ((odds[0] or 0) + 1)
