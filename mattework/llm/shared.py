@@ -56,7 +56,7 @@ def bitmap(hashes: DataFrame, count: int, most: int = 30) -> tuple[int, np.ndarr
     lets more through, it loses none. Flags are packed on the executors.
     """
     bits = min(most, max(20, math.ceil(math.log2(max(count, 1) * 32))))
-    low = bits - 10
+    low = bits - 6
 
     def pack(key, table):
         flags = np.zeros(1 << low, bool)
@@ -84,13 +84,14 @@ def components(edges: DataFrame) -> DataFrame:
     labels reaches the driver.
     """
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other"))
-    both = materialize(both.union(both.select("other", "id")).where("id <> other").distinct(), "links")
-    labels = materialize(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("label")), "labels")
+    both = both.union(both.select("other", "id")).union(both.select("id", "id")).union(both.select("other", "other"))
+    both = materialize(both.distinct(), "links")  # an id is its own neighbour, too
+    labels = materialize(both.groupBy("id").agg(F.min("other").alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
-        least = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        moved = least.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("far", "label")).alias("label"))
+        own = F.max(F.when(F.col("id") == F.col("other"), F.col("label")))
+        least = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(own.alias("was"), F.min("label").alias("near"))
+        jump = labels.select(F.col("id").alias("near"), F.col("label").alias("far"))
+        moved = least.join(jump, "near", "left").select("id", "was", F.least("near", F.coalesce("far", "near")).alias("label"))
         moved = materialize(moved, "labels")
         labels = moved.select("id", "label")
         if moved.where("was <> label").isEmpty():
