@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,12 +93,23 @@ def blocks(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_blocks(batches, column: str = "text", limit: int = 1 << 21):
     """(batch rows of the block, its bytes, its offsets) for each block of each batch."""
     for batch in batches:
         data, offsets = column_bytes(batch.column(batch.schema.get_field_index(column)))
         for i, j in blocks(offsets, limit):
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    _powers.clear()
+    give_back()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
