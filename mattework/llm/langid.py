@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mattework.llm.bytesops import LOWER, NAMES, SPACE, U, gram_hash, prefix_sums, text_blocks
+from mattework.llm.bytesops import LOWER, NAMES, SPACE, U, give_back, gram_hash, prefix_sums, text_blocks
 from mattework.llm.shared import small_batches
 
 BUCKET_BITS, DIM = 13, 16
@@ -78,11 +78,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(features: np.ndarray, labels: np.ndarray, names: list[str], fold: np.ndarray, epochs: int = 30, rate: float = 2.0, seed: int = 7) -> Model:
-    """features: (texts, buckets) shares of the subwords; fold: 0 train, 1 temperature, 2 rejection."""
+class Shares:
+    """Each text's shares of the subwords, kept sparse; only the rows asked for are made dense."""
+
+    def __init__(self):
+        self.kinds: list[np.ndarray] = []
+        self.shares: list[np.ndarray] = []
+
+    def add(self, kinds: list[int], counts: list[int]):
+        self.kinds.append(np.array(kinds, np.int32))
+        self.shares.append((np.array(counts, np.float32) / np.float32(sum(counts) or 1)).astype(np.float16))
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), 1 << BUCKET_BITS), np.float32)
+        for i, r in enumerate(rows.tolist()):
+            out[i, self.kinds[r]] = self.shares[r]
+        return out
+
+
+def train(features: Shares, labels: np.ndarray, names: list[str], fold: np.ndarray, epochs: int = 30, rate: float = 2.0, seed: int = 7) -> Model:
+    """fold: 0 train, 1 temperature, 2 rejection."""
     rng = np.random.default_rng(seed)
     k = len(names)
-    embed = rng.normal(0, 0.1, (features.shape[1], DIM)).astype(np.float32)
+    embed = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     weight, bias = np.zeros((DIM, k), np.float32), np.zeros(k, np.float32)
     rows = np.flatnonzero(fold == 0)
     scale = np.float32(20.0)  # shares are small; the mean vector is scaled to unit order
@@ -91,7 +109,7 @@ def train(features: np.ndarray, labels: np.ndarray, names: list[str], fold: np.n
         rng.shuffle(rows)
         for low in range(0, len(rows), 32):
             some = rows[low : low + 32]
-            x = features[some] * scale
+            x = features.dense(some) * scale
             h = x @ embed
             g = softmax(h @ weight + bias).astype(np.float32)
             g[np.arange(len(some)), labels[some]] -= 1
@@ -102,15 +120,18 @@ def train(features: np.ndarray, labels: np.ndarray, names: list[str], fold: np.n
             embed -= step * (x.T @ back)
     logits = scale * embed @ weight
 
-    def scores(at, t):
-        return softmax((features[at] @ logits + bias) / t)
+    def raw(at):
+        """Logits plus bias of the rows, a few hundred at a time."""
+        parts = [features.dense(at[i : i + 256]) @ logits + bias for i in range(0, len(at), 256)]
+        return np.concatenate(parts) if parts else np.zeros((0, k), np.float32)
 
     at = np.flatnonzero(fold == 1)
     steps = np.geomspace(0.25, 8, 40)
-    loss = [-np.log(np.maximum(scores(at, t)[np.arange(len(at)), labels[at]], 1e-12)).mean() for t in steps] if len(at) else [0.0]
+    z = raw(at)
+    loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(at)), labels[at]], 1e-12)).mean() for t in steps] if len(at) else [0.0]
     t = float(steps[int(np.argmin(loss))]) if len(at) else 1.0
     at = np.flatnonzero(fold == 2)
-    p = scores(at, t) if len(at) else np.zeros((0, k))
+    p = softmax(raw(at) / t) if len(at) else np.zeros((0, k))
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == labels[at]]) if len(at) else np.zeros(0)
     reject = min(float(right[int(len(right) * REJECT_SHARE)]), 1.5 / k, 0.6) if len(right) else 0.0
     return Model(names, (logits / t).astype(np.float64), (bias / t).astype(np.float64), reject)
@@ -138,18 +159,17 @@ def learn(docs: DataFrame, train_rows, sample: int = SAMPLE) -> Model | None:
     spot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 30, int(sample / r["count"] * (1 << 30)) + 1))]), F.col("lang"))
     chosen = known.where(F.col("lang").isin(names) & (spot < share)).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)).alias("fold"))
-    texts, labels, fold = [], [], []
+    features, labels, fold = Shares(), [], []
     for r in chosen.mapInArrow(_histograms, "lang string, fold long, kinds array<int>, counts array<int>").toLocalIterator():
-        row = np.zeros(1 << BUCKET_BITS, np.float32)
-        if r["kinds"]:
-            row[r["kinds"]] = r["counts"]
-            row /= row.sum()
-        texts.append(row.astype(np.float16))
+        features.add(r["kinds"], r["counts"])
         labels.append(names.index(r["lang"]))
         fold.append(1 if r["fold"] == 0 else 2 if r["fold"] == 1 else 0)
-    if not texts:
+    if not labels:
         return None
-    return train(np.array(texts).astype(np.float32), np.array(labels), names, np.array(fold))
+    model = train(features, np.array(labels), names, np.array(fold))
+    del features
+    give_back()
+    return model
 
 
 def _predict(held):
