@@ -14,6 +14,7 @@ from mattework.operators import adapters, components
 from mattework.operators import matte as m
 from mattework.operators import views as v
 from mattework.plans import key_image as k
+from mattework.plans import viewport as vp
 from mattework.plans.stages import stage
 from mattework.settings import Settings
 from mattework.sources import rasters as s
@@ -101,6 +102,9 @@ PLAIN: dict[str, Callable[[Dialect], str]] = {
     "tile_crop_prune": lambda d: f"SELECT image_id, tile_id FROM ({v.tile_grid(d, f'SELECT p_partkey AS image_id, 48 AS h, cast(40 + p_size as int) AS w FROM {d.table("part")}', 16, 4)}) t WHERE core_x0 < 30 AND core_x1 > 10 AND core_y0 < 20 AND core_y1 > 5",
     "tile_count": lambda d: f"SELECT image_id, count(*) AS tiles FROM ({v.tile_grid(d, f'SELECT p_partkey AS image_id, cast(20 + p_size as int) AS h, 64 AS w FROM {d.table("part")}', 16, 4)}) t GROUP BY image_id",
     "resize_area": lambda d: v.resize_area(d, s.frames(d), 2),
+    "resize_area_any": lambda d: vp.resize_area_any(d, s.frames(d), (s.HEIGHT, s.WIDTH), (7, 11)),
+    "proxy_shape": lambda d: vp.proxy_sql(d, f"SELECT p_partkey AS image_id, cast(600 + p_size * 37 as int) AS h, cast(900 + p_partkey % 1700 as int) AS w FROM {d.table('part')}", 1800),
+    "visible_crop": lambda d: vp.crop_sql(d, f"SELECT p_partkey AS image_id, cast(200 + p_size * 37 as int) AS h, cast(250 + p_partkey % 1700 as int) AS w, cast(100 + p_partkey % 1500 as int) AS view_h, cast(150 + p_partkey % 1900 as int) AS view_w, p_partkey % 1777 / 2e0 AS cx, p_size * 21 / 2e0 AS cy FROM {d.table('part')}"),
     "resize_nearest": lambda d: v.resize_nearest(d, s.frames(d), (s.HEIGHT, s.WIDTH), (9, 24)),
     "display_to_full": lambda d: pick(s.frames(d), f"{PX}, {d.rint('y / 0.37e0')} AS full_y, {d.rint('x / 0.37e0')} AS full_x"),
     "checkerboard": lambda d: pick(v.checkerboard(d, soft(d), 5), f"{PX}, cr, cg, cb"),
