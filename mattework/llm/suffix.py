@@ -37,17 +37,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mattework.llm.bytesops import NAMES, U, gram_hash, mix, prefix_sums, span_hash, text_blocks
+from mattework.llm.bytesops import NAMES, U, give_back, gram_hash, mix, prefix_sums, span_hash, text_blocks
 from mattework.llm.shared import bitmap, flagged, materialize, small_batches
 
 LENGTH, GRAM = 400, 32
 #: Bytes of distinct suffixes that a map task holds for a run.
 RUN_BYTES = 6 << 20
-#: Bytes of text that are worked on at once.
+#: Bytes of text that are worked on at once; a longer text is worked on in pieces.
 TEXT_BYTES = 1 << 19
+#: Suffixes of a run that are packed, and unpacked again, at once.
+BLOCK = 64
 #: Suffixes that a range should have; splitters come from a sample of SAMPLE suffixes.
 RANGE, SAMPLE, HEAD = 20_000, 8192, 160
 GROUP = 4096
+#: Documents of an Arrow batch.
+ROWS = 400
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -86,6 +90,21 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return np.searchsorted(offsets, first, "right") - 1, first, last, at, hashes[at], sums
 
 
+def pieces(batches, length: int):
+    """(rows of the batch, bytes, offsets, place of the first byte in its text) of blocks of whole texts.
+
+    A text of more than TEXT_BYTES comes in pieces that overlap by length - 1 bytes, so each window is in one
+    piece. A stretch that a cut divides is two stretches with one anchor gram, which are sorted as others are.
+    """
+    for batch, data, offsets in text_blocks(batches, limit=TEXT_BYTES):
+        if len(offsets) > 2 or len(data) < TEXT_BYTES + length:
+            yield batch, data, offsets, 0
+            continue
+        for low in range(0, len(data) - length + 1, TEXT_BYTES):
+            part = data[low : low + TEXT_BYTES + length - 1]
+            yield batch, part, np.array([0, len(part)]), low
+
+
 SEEN = "gram long, name long, n long, sampled long, head binary"
 
 
@@ -104,7 +123,7 @@ def _count(length: int, gram: int):
             names, at, n = np.unique(names, return_index=True, return_counts=True)
             return pa.record_batch([pa.array(grams[at].astype(np.int64)), pa.array(names), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], columns)
 
-        for _, data, offsets in text_blocks(batches, limit=TEXT_BYTES):
+        for _, data, offsets, _ in pieces(batches, length):
             doc, first, last, at, grams, sums = stretches(data, offsets, length, gram)
             names = names_of(sums, first, last, at, length)
             held.append((grams, names))
@@ -135,33 +154,39 @@ def _common(a: bytes, b: bytes, k: int) -> int:
 
 
 def front_code(entries: list[tuple[bytes, bytes, int, int]]) -> bytes:
-    """A sorted run of (suffix, left part, hash, count)."""
-    n, before, blob = len(entries), b"", []
-    head = np.zeros((n, 3), "<u4")
-    more = np.zeros((n, 2), "<i8")
-    for i, (right, left, name, count) in enumerate(entries):
-        k = _common(before, right, 0)
-        head[i] = k, len(right) - k, len(left)
-        more[i] = name, count
-        blob += [right[k:], left]
-        before = right
-    return zstandard.ZstdCompressor(level=1).compress(n.to_bytes(4, "little") + head.tobytes() + more.tobytes() + b"".join(blob))
-
-
-def front_decode(run: bytes):
-    """(suffix, common prefix with the one before, left part, hash, count) in order."""
-    run = zstandard.ZstdDecompressor().decompress(run)
-    n = int.from_bytes(run[:4], "little")
-    at = 4 + 12 * n
-    head = np.frombuffer(run, "<u4", 3 * n, 4).reshape(n, 3).tolist()
-    more = np.frombuffer(run, "<i8", 2 * n, at).reshape(n, 2).tolist()
-    at += 16 * n
-    before = b""
-    for (k, rest, left), (name, count) in zip(head, more, strict=True):
-        before = before[:k] + run[at : at + rest]
-        at += rest
-        yield before, k, run[at : at + left], name, count
-        at += left
+    """A sorted run of (suffix, left part, hash, count), in blocks that are unpacked one by one."""
+    before, out, pack = b"", [], zstandard.ZstdCompressor(level=1)
+    for low in range(0, len(entries), BLOCK):
+        block = entries[low : low + BLOCK]
+        head = np.zeros((len(block), 3), "<u4")
+        more = np.zeros((len(block), 2), "<i8")
+        blob = []
+        for i, (right, left, name, count) in enumerate(block):
+            k = _common(before, right, 0)
+            head[i] = k, len(right) - k, len(left)
+            more[i] = name, count
+            blob += [right[k:], left]
+            before = right
+        packed = pack.compress(head.tobytes() + more.tobytes() + b"".join(blob))
+        out += [len(block).to_bytes(4, "little"), len(packed).to_bytes(4, "little"), packed]
+    return b"".join(out)
+
+
+def front_decode(run):
+    """(suffix, common prefix with the one before, left part, hash, count) in order; holds one block unpacked."""
+    run, start, before, unpack = memoryview(run), 0, b"", zstandard.ZstdDecompressor()
+    while start < len(run):
+        n, size = (int.from_bytes(run[start + i : start + i + 4], "little") for i in (0, 4))
+        block = unpack.decompress(run[start + 8 : start + 8 + size])
+        start += 8 + size
+        head = np.frombuffer(block, "<u4", 3 * n).reshape(n, 3).tolist()
+        more = np.frombuffer(block, "<i8", 2 * n, 12 * n).reshape(n, 2).tolist()
+        at = 28 * n
+        for (k, rest, left), (name, count) in zip(head, more, strict=True):
+            before = before[:k] + block[at : at + rest]
+            at += rest
+            yield before, k, block[at : at + left], name, count
+            at += left
 
 
 def merge(runs: list):
@@ -234,7 +259,7 @@ def _runs(length: int, gram: int, often, mixed, splitters: list[bytes]):
             right = right or [pa.nulls(n, pa.int64())] * 4
             return pa.record_batch([*left, *right], ["part", "run", "row_id", "name", "first", "windows"])
 
-        for batch, data, offsets in text_blocks(batches, limit=TEXT_BYTES):
+        for batch, data, offsets, low in pieces(batches, length):
             doc, first, last, at, grams, sums = stretches(data, offsets, length, gram)
             go = np.flatnonzero(flagged(flags, bits, grams))
             if not len(go):
@@ -242,7 +267,7 @@ def _runs(length: int, gram: int, often, mixed, splitters: list[bytes]):
             doc, first, last, at = doc[go], first[go], last[go], at[go]
             name = names_of(sums, first, last, at, length)
             rows = np.asarray(batch["row_id"])[doc]
-            yield _rows(None, [pa.array(rows), pa.array(name), pa.array(first - offsets[doc]), pa.array(last - first + 1)])
+            yield _rows(None, [pa.array(rows), pa.array(name), pa.array(first - offsets[doc] + low), pa.array(last - first + 1)])
             go = np.flatnonzero(flagged(mixed_flags, mixed_bits, grams[go]))
             name, first, last, at = name[go], first[go], last[go], at[go]
             raw = data.tobytes()
@@ -305,7 +330,7 @@ def _merge_ranges(length: int, gram: int, splitters: list[bytes]):
                 for g, t in zip(group, tested.tolist(), strict=True):
                     if g[4] > 1:
                         rows.append((g[3], [0], [t - 1], None, 0, g[4]))
-                    rows.append((g[3], None, None, hashes[low : low + t].astype(np.int64).tolist(), 0, g[4]))
+                    rows.append((g[3], None, None, hashes[low : low + t].astype(np.int64), 0, g[4]))
                     low += t
                 return
             _, back = np.unique(hashes, return_inverse=True)
@@ -349,15 +374,17 @@ def _merge_ranges(length: int, gram: int, splitters: list[bytes]):
 
         held, at = [], None
         for batch in batches:
-            for part, blob in zip(batch["part"].to_pylist(), batch["run"].to_pylist(), strict=True):
+            for part, blob in zip(batch["part"].to_pylist(), batch["run"], strict=True):
                 if part != at and held:
                     yield from of_range(held)
                     held = []
                 at = part
-                held.append(blob)
+                held.append(blob.as_buffer())
         if held:
             yield from of_range(held)
         yield out()
+        held = []
+        give_back()
 
     return run
 
@@ -385,6 +412,8 @@ def _apply(length: int):
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.record_batch([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array(texts, pa.string()), batch["rest"]], [*CUT_NAMES, "kept_text", "rest"])
+            rows, texts = [], []
+        give_back()
 
     return run
 
@@ -414,7 +443,9 @@ def marks_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
     for _, sent in held:
         sent.destroy()
     dealt = work.where("part is not null").select("part", "run").repartition(len(splitters) + 1, "part").sortWithinPartitions("part")
+    small_batches(spark, 16)  # a row is a part of a run here
     found = materialize(dealt.mapInArrow(_merge_ranges(length, gram, splitters), MARKS), "marks")
+    small_batches(spark, ROWS)
     # windows of the groups that no task holds whole; a stretch in several runs counts once
     windows = found.where("hashes is not null").dropDuplicates(["name"]).select("name", F.posexplode("hashes").alias("j", "hash"))
     several = windows.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
@@ -435,7 +466,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: l
     kept_text is the text without the removed bytes; of a character that is cut through, what is left is
     dropped there, while kept_sha256 is of all the remaining bytes.
     """
-    small_batches(docs.sparkSession, 400)
+    small_batches(docs.sparkSession, ROWS)
     rest = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     docs = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))

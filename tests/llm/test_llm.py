@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,8 +73,6 @@ def test_dense_step(docs, monkeypatch):
 def test_suffix(docs, empty, monkeypatch):
     got = sorted((tuple(r) for r in suffix.removed_bytes(docs).collect()), key=repr)
     raws = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    from collections import Counter
-
     seen = Counter(b[i : i + 400] for _, b in raws for i in range(len(b) - 399))
     want = []
     for doc, b in raws:
@@ -216,3 +215,23 @@ def test_pipeline(spark, tmp_path, docs):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in rows}
     assert 4 in ids and not ids & {0, 1, 2, 5, 6, 7} and 8 in ids and 9 not in ids
+
+
+def test_suffix_of_a_text_that_is_worked_on_in_pieces(spark):
+    rng = np.random.default_rng(11)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    shared, cut = letters(900), suffix.TEXT_BYTES
+    long = bytearray(letters(2 * cut + 5000))
+    for at in (cut - 500, cut + 100, 2 * cut - 399):  # across a cut, from it on, up to one
+        long[at : at + 900] = shared
+    texts = {1: bytes(long), 2: letters(300) + shared[100:], 3: bytes(long[cut - 1000 : cut + 50]), 4: b"short"}
+    windows = Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
+    want = {}
+    for k, t in texts.items():
+        gone = np.zeros(len(t) + 400, bool)
+        for i in range(len(t) - 399):
+            if windows[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        want[k] = (int(gone.sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone[: len(t)]].tobytes()).hexdigest())
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix.removed_bytes(docs).collect()} == want and want[1][0] > 1800
