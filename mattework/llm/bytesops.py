@@ -102,7 +102,7 @@ def give_back() -> None:
         pass
 
 
-def text_blocks(batches, column: str = "text", limit: int = 1 << 21):
+def text_blocks(batches, column: str = "text", limit: int = 1 << 19):
     """(batch rows of the block, its bytes, its offsets) for each block of each batch."""
     for batch in batches:
         data, offsets = column_bytes(batch.column(batch.schema.get_field_index(column)))
