@@ -9,9 +9,9 @@ each node, from the deepest seen context up. A context never seen in training pa
 estimate. The sum of the logarithms is the code length.
 
 Counts are of all grams of DEPTH + 1 bytes of the training texts, gathered exactly; the trees are worked
-out by their two nearest bytes, in parallel. What scoring needs (estimate and weight, 16 bits each) is
-broadcast in tables whose size is a parameter: dense for depths 0 and 1, 2**SLOT_BITS[d] hashed slots
-for depth d, where contexts that share a slot share their counts.
+out by their two nearest bytes, in parallel, and no context shares a count with another. Every distinct gram
+of all rows is scored once where its tree is, so the model grows with the corpus. Scores by gram are broadcast
+if there are at most GRAMS; beyond that, each document's gram counts are joined with them.
 
 The base is a unigram model of words with add-one smoothing. Its vocabulary is broadcast if it has at most
 VOCABULARY words; beyond that, each document's word counts are joined with it. Words are compared by
@@ -21,7 +21,7 @@ as 1/2. Repeated rows are scored each; null doc_ids are training rows.
 
 from __future__ import annotations
 
-import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,7 @@ from mattework.llm.langid import fold_of
 from mattework.llm.shared import materialize, small_batches
 
 DEPTH = 5
-#: Slots of the tables of depths 2 to DEPTH.
-SLOT_BITS = {2: 20, 3: 21, 4: 22, 5: 22}
-CHUNK_BITS = 14
+GRAMS = 6_000_000
 VOCABULARY = 6_000_000
 END = int(mix(np.array([0xE0D], U))[0].astype(np.int64))
 
@@ -93,51 +91,59 @@ def lift(key: np.ndarray, a: np.ndarray, b: np.ndarray, weighted: np.ndarray, de
     return up, a, b, total, np.exp(own - np.log(2) - total)
 
 
-NODES = "depth int, slot long, a double, b double, held double"
-TOP = "key long, a double, b double, weighted double"
+class Nodes(NamedTuple):
+    """Nodes of one depth: sorted keys (context << 8 | node), counts, log Pw, weight of stopping."""
 
+    key: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    weighted: np.ndarray
+    stop: np.ndarray
 
-def slots_of(key: np.ndarray, depth: int) -> np.ndarray:
-    return (mix(key ^ mix(np.full(1, depth, U))) >> U(64 - SLOT_BITS[depth])).astype(np.int64) if depth > 1 else key.astype(np.int64)
 
+class Model(NamedTuple):
+    """Counts (gram, n) as a table, n of training rows only, and the nodes of depths 0 and 1."""
+
+    counts: DataFrame
+    top: list[Nodes]
 
-def _subtree(table: pa.Table) -> pa.Table:
-    """Nodes of depths DEPTH..2 below one pair of nearest bytes; depth 2 with its log Pw for the tree's top."""
-    grams, n = np.asarray(table["gram"]).astype(U), np.asarray(table["n"])
-    key, a, b = decisions(grams, n)
-    weighted, stop, depth, out = log_kt(a, b), np.ones(len(key)), DEPTH, []
-    while True:
-        out.append((np.full(len(key), depth, np.int32), slots_of(key, depth), a, b, stop * (a + b), key.astype(np.int64), weighted))
-        if depth == 2:
-            break
-        depth -= 1
-        key, a, b, weighted, stop = lift(key, a, b, weighted, depth)
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-    return pa.table([pa.array(c) for c in cols], names=["depth", "slot", "a", "b", "held", "key", "weighted"])
 
+NODE = "key long, a double, b double, weighted double"
+NEAR = "shiftrightunsigned(gram, 8) & 65535"
 
-def _pack(a, b, held) -> np.ndarray:
-    p = np.clip(np.rint((b + 0.5) / (a + b + 1) * 65536), 1, 65535).astype("<u2")
-    stop = np.clip(np.rint(held / np.maximum(a + b, 1e-9) * 65535), 0, 65535).astype("<u2")
-    return np.stack([p, stop], axis=1)
+
+def subtree(table: pa.Table) -> dict[int, Nodes]:
+    """Nodes of depths 2..DEPTH below one pair of nearest bytes, of the grams with counts."""
+    grams, n = np.asarray(table["gram"]).astype(U), np.asarray(table["n"])
+    grams, n = grams[n > 0], n[n > 0]
+    if not len(grams):
+        return {}
+    key, a, b = decisions(grams, n)
+    out = {DEPTH: Nodes(key, a, b, log_kt(a, b), np.ones(len(key)))}
+    for depth in range(DEPTH - 1, 1, -1):
+        below = out[depth + 1]
+        out[depth] = Nodes(*lift(below.key, below.a, below.b, below.weighted, depth))
+    return out
 
 
-def _chunk(key, table):
-    out = np.zeros((1 << CHUNK_BITS, 2), "<u2")
-    at = np.asarray(table["slot"]) & ((1 << CHUNK_BITS) - 1)
-    out[at] = _pack(*(np.asarray(table[c]) for c in ("a", "b", "held")))
-    return pa.table({"depth": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int64()), "packed": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+def _second(table: pa.Table) -> pa.Table:
+    nodes = subtree(table).get(2)
+    cols = nodes[:4] if nodes else [np.zeros(0)] * 4
+    return pa.table([pa.array(np.asarray(c).astype(t)) for c, t in zip(cols, (np.int64, float, float, float), strict=True)], names=["key", "a", "b", "weighted"])
 
 
 def _count_grams(batches):
     held, size = [], 0
 
     def out():
+        # a held-out row's gram counts 0; its mark stands above the 48 bits
         grams, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch([pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+        n[grams >> U(48) > 0] = 0
+        return pa.record_batch([pa.array((grams & U((1 << 48) - 1)).astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-    for _, data, offsets in text_blocks(batches):
-        held.append(grams_of(data, offsets))
+    for batch, data, offsets in text_blocks(batches):
+        mark = np.asarray(batch["held_out"].to_pylist(), U) << U(48)
+        held.append(grams_of(data, offsets) | np.repeat(mark, np.diff(offsets)))
         size += len(data)
         if size > 6 << 20:
             yield out()
@@ -146,49 +152,41 @@ def _count_grams(batches):
         yield out()
 
 
-def fit(texts: DataFrame) -> list[np.ndarray]:
-    """Packed tables by depth, from all training texts(text)."""
-    spark = texts.sparkSession
-    grams = materialize(texts.mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    near = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    nodes = grams.withColumn("near", near).groupBy("near").applyInArrow(lambda t: _subtree(t), f"{NODES}, key long, weighted double")
-    nodes = materialize(nodes.withColumn("key", F.when(F.col("depth") == 2, F.col("key"))).withColumn("weighted", F.when(F.col("depth") == 2, F.col("weighted"))), "nodes")
-    # depths 1 and 0: at most 65,280 and 255 nodes
-    top = nodes.where("depth = 2").withColumn("nearest", F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFF)))
+def fit(texts: DataFrame) -> Model:
+    """The model of texts(text), learned from all rows, or from those that are not held_out if there is such a column."""
+    if "held_out" not in texts.columns:
+        texts = texts.withColumn("held_out", F.lit(False))
+    grams = materialize(texts.select("text", "held_out").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    second = grams.groupBy(F.expr(NEAR).alias("near")).applyInArrow(lambda t: _second(t), NODE)
+    nearest = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFF))
 
     def first(table: pa.Table) -> pa.Table:
-        key, a, b, weighted, stop = lift(np.asarray(table["key"]).astype(U), *(np.asarray(table[c]) for c in ("a", "b", "weighted")), 1)
-        return pa.table([pa.array(x) for x in (key.astype(np.int64), a, b, weighted, stop)], names=["key", "a", "b", "weighted", "stop"])
-
-    one = sorted(tuple(r) for r in top.groupBy("nearest").applyInArrow(lambda t: first(t), "key long, a double, b double, weighted double, stop double").collect())
-    tables = [np.zeros((256, 2), "<u2"), np.zeros((65536, 2), "<u2"), *(np.zeros((1 << SLOT_BITS[d], 2), "<u2") for d in range(2, DEPTH + 1))]
-    if one:
-        key, a, b, weighted, stop = (np.array(c) for c in zip(*one, strict=True))
-        tables[1][key] = _pack(a, b, stop * (a + b))
-        key, a, b, weighted, stop = lift(key.astype(U), a, b, weighted, 0)
-        tables[0][key.astype(np.int64)] = _pack(a, b, stop * (a + b))
-    # one exchange by chunk serves both the sums by slot and the packing of a chunk's slots
-    dealt = nodes.select("depth", F.shiftright("slot", CHUNK_BITS).alias("chunk"), "slot", "a", "b", "held").repartition("depth", "chunk")
-    sums = dealt.groupBy("depth", "chunk", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("held").alias("held"))
-    packed = sums.groupBy("depth", "chunk").applyInArrow(_chunk, "depth int, chunk long, packed binary")
-    for depth, chunk, raw in packed.toLocalIterator():  # the tables' fixed size in all
-        tables[depth][chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(raw), "<u2").reshape(-1, 2)
-    return tables
-
-
-def gram_scores(grams: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each gram's last byte after the others."""
+        nodes = lift(np.asarray(table["key"]).astype(U), *(np.asarray(table[c]) for c in ("a", "b", "weighted")), 1)
+        return pa.table([pa.array(nodes[0].astype(np.int64)), *(pa.array(x) for x in nodes[1:])], names=["key", "a", "b", "weighted", "stop"])
+
+    # depths 1 and 0: at most 65,280 and 255 nodes
+    one = sorted(tuple(r) for r in second.groupBy(nearest.alias("nearest")).applyInArrow(lambda t: first(t), f"{NODE}, stop double").collect())
+    if not one:
+        return Model(grams, [])
+    key, *rest = (np.array(c) for c in zip(*one, strict=True))
+    depth1 = Nodes(key.astype(U), *rest)
+    return Model(grams, [Nodes(*lift(depth1.key, depth1.a, depth1.b, depth1.weighted, 0)), depth1])
+
+
+def log_probability(grams: np.ndarray, trees: dict[int, Nodes]) -> np.ndarray:
+    """log10 probability of each gram's last byte after the others; trees has the nodes by depth."""
     symbol, context = grams & U(255), grams >> U(8)
     total = np.zeros(len(grams))
     for level in range(8):
         node = U(1 << level) | symbol >> U(8 - level)
         p, any_ = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
-        for depth in range(DEPTH, -1, -1):
+        for depth in sorted(trees, reverse=True):
+            nodes = trees[depth]
             key = (context & U((1 << (8 * depth)) - 1)) << U(8) | node
-            found = tables[depth][slots_of(key, depth)]
-            seen = found[:, 0] > 0
-            own = found[:, 0] / 65536.0
-            stop = np.where(any_, found[:, 1] / 65535.0, 1.0)
+            at = np.minimum(np.searchsorted(nodes.key, key), len(nodes.key) - 1)
+            seen = nodes.key[at] == key
+            own = (nodes.b[at] + 0.5) / (nodes.a[at] + nodes.b[at] + 1)
+            stop = np.where(any_, nodes.stop[at], 1.0)
             p = np.where(seen, stop * own + (1 - stop) * p, p)
             any_ |= seen
         one = (symbol >> U(7 - level) & U(1)) > 0
@@ -196,26 +194,24 @@ def gram_scores(grams: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-class Scorer:
-    """Scores of grams, kept in a direct-mapped cache of fixed size."""
+def score_grams(model: Model) -> DataFrame:
+    """(gram, score) of every gram of the model's counts, also of those that no training row has."""
+    top = model.counts.sparkSession.sparkContext.broadcast(model.top)
 
-    BITS = 20
+    def run(table: pa.Table) -> pa.Table:
+        trees = dict(enumerate(top.value)) | subtree(table)
+        return pa.table({"gram": table["gram"], "score": pa.array(log_probability(np.asarray(table["gram"]).astype(U), trees))})
 
-    def __init__(self, tables: list[np.ndarray]):
-        self.tables = tables
-        self.keys, self.values = np.full(1 << self.BITS, U(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << self.BITS)
+    return model.counts.select("gram", "n").groupBy(F.expr(NEAR).alias("near")).applyInArrow(lambda t: run(t), "gram long, score double")
 
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        slot = ((grams * U(0x9E3779B97F4A7C15)) >> U(64 - self.BITS)).astype(np.int64)
-        out = self.values[slot]
-        missed = np.flatnonzero(self.keys[slot] != grams)
-        if len(missed):
-            new = np.unique(grams[missed])
-            score = gram_scores(new, self.tables)
-            out[missed] = score[np.searchsorted(new, grams[missed])]
-            at = ((new * U(0x9E3779B97F4A7C15)) >> U(64 - self.BITS)).astype(np.int64)
-            self.keys[at], self.values[at] = new, score
-        return out
+
+def gram_scores(grams: np.ndarray, model: Model) -> np.ndarray:
+    """log10 probability of each of a few grams' last bytes after the others."""
+    spark = model.counts.sparkSession
+    asked = spark.createDataFrame([(int(g), 0) for g in grams.astype(np.int64)], "gram long, n long")
+    counts = model.counts.union(asked).groupBy("gram").agg(F.sum("n").alias("n"))
+    scores = {r.gram: r.score for r in score_grams(Model(counts, model.top)).join(asked.select("gram"), "gram", "left_semi").collect()}
+    return np.array([scores[int(g)] for g in grams.astype(np.int64)])
 
 
 # --- the base: words -----------------------------------------------------------------------------
@@ -248,13 +244,17 @@ def _blob(batches):
         yield pa.record_batch([pa.array([np.asarray(batch["hash"]).tobytes()], pa.binary()), pa.array([np.minimum(np.asarray(batch["n"]), 2**31 - 1).astype("<i4").tobytes()], pa.binary())], ["hashes", "counts"])
 
 
+def _score_blob(batches):
+    for batch in batches:
+        yield pa.record_batch([pa.array([np.asarray(batch[c]).tobytes()], pa.binary()) for c in ("gram", "score")], ["grams", "scores"])
+
+
 SCORED = "doc_id long, held_out boolean, row_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(held, tokens: int, kinds: int):
     def run(batches):
-        tables, vocabulary = held.value
-        scorer = Scorer(tables)
+        table, vocabulary = held.value
         below = np.log10(float(tokens) + (kinds + 1))
         end = 0
         if vocabulary is not None:
@@ -262,7 +262,10 @@ def _score(held, tokens: int, kinds: int):
             at = np.searchsorted(hashes, END)
             end = int(counts[at]) if at < len(hashes) and hashes[at] == END else 0
         for batch, data, offsets in text_blocks(batches):
-            score = sums_by(scorer(grams_of(data, offsets)), offsets)
+            score = np.zeros(batch.num_rows)
+            if table is not None and len(data):
+                new, back = np.unique(grams_of(data, offsets).astype(np.int64), return_inverse=True)
+                score = sums_by(table[1][np.searchsorted(table[0], new)][back], offsets)
             names, at = words_of(data, offsets)
             n = np.diff(at) + 1
             known, base = np.zeros(len(n), np.int64), np.zeros(len(n))
@@ -287,7 +290,15 @@ def _word_rows(batches):
         yield pa.record_batch([pa.array(np.concatenate([owner, np.asarray(batch["row_id"])])), pa.array(np.concatenate([names.astype(np.int64), np.full(batch.num_rows, END, np.int64)]))], ["row_id", "hash"])
 
 
-def score_texts(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def _gram_rows(batches):
+    for batch, data, offsets in text_blocks(batches):
+        # grams have 48 bits, and a block has at most 2**16 rows (small_batches)
+        each, n = np.unique(grams_of(data, offsets) | np.repeat(np.arange(batch.num_rows), np.diff(offsets)).astype(U) << U(48), return_counts=True)
+        owner = np.asarray(batch["row_id"])[(each >> U(48)).astype(np.int64)]
+        yield pa.record_batch([pa.array(owner), pa.array((each & U((1 << 48) - 1)).astype(np.int64)), pa.array(n.astype(np.int64))], ["row_id", "gram", "k"])
+
+
+def score_texts(docs: DataFrame, vocabulary: int = VOCABULARY, grams: int = GRAMS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs(doc_id, text).
 
     Learned from the rows with crc32(doc_id as text) mod 7 other than 2.
@@ -297,7 +308,11 @@ def score_texts(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(fold_of(7) == 2, F.lit(False)).alias("held_out"))
     docs = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
     texts = docs.where("not held_out").select("text")
-    tables = fit(texts)
+    scores = materialize(score_grams(fit(docs)), "scores")
+    table = None
+    if scores.count() <= grams:
+        blobs = list(scores.orderBy("gram").mapInArrow(_score_blob, "grams binary, scores binary").toLocalIterator())
+        table = (np.frombuffer(b"".join(bytes(r[0]) for r in blobs), np.int64), np.frombuffer(b"".join(bytes(r[1]) for r in blobs), np.float64))
     words = materialize(texts.mapInArrow(_count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
     kinds, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     broadcast = None
@@ -306,11 +321,15 @@ def score_texts(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
         hashes = np.frombuffer(b"".join(bytes(r[0]) for r in blobs), np.int64)
         counts = np.frombuffer(b"".join(bytes(r[1]) for r in blobs), "<i4")
         broadcast = (hashes, counts)
-    held = spark.sparkContext.broadcast((tables, broadcast))
+    held = spark.sparkContext.broadcast((table, broadcast))
     scored = docs.mapInArrow(_score(held, tokens, kinds), SCORED)
     if broadcast is None:
         per = docs.select("row_id", "text").dropDuplicates(["row_id"]).mapInArrow(_word_rows, "row_id long, hash long").groupBy("row_id", "hash").agg(F.count("*").alias("k"))
         c = F.coalesce("n", F.lit(0))
         joined = per.join(words, "hash", "left").groupBy("row_id").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("n_known"), F.sum(F.col("k") * (F.log10(c + 1.0) - F.log10(F.lit(float(tokens + kinds + 1))))).alias("base_score"))
         scored = scored.drop("n_known", "base_score").join(joined, "row_id")
+    if table is None:
+        per = docs.select("row_id", "text").dropDuplicates(["row_id"]).mapInArrow(_gram_rows, "row_id long, gram long, k long")
+        joined = per.join(scores, "gram").groupBy("row_id").agg(F.sum(F.col("k") * F.col("score")).alias("score"))
+        scored = scored.drop("score").join(joined, "row_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import zlib
 from collections import Counter
@@ -167,6 +168,55 @@ def test_ctw_is_a_distribution(docs):
     assert abs((10 ** ctw.gram_scores(grams, tables)).sum() - 1) < 1e-9
 
 
+def ctw_plain(train, texts):
+    """log10 probability of texts by the definition, on dictionaries of whole contexts."""
+    bits = lambda t: [(t[max(0, i - 5) : i].rjust(5, b"\0")[::-1], 1 << k | c >> 8 - k, c >> 7 - k & 1) for i, c in enumerate(t) for k in range(8)]
+    count = Counter((c[:d], node, bit) for t in train for c, node, bit in bits(t) for d in range(6))
+    kids = {}
+    for c, node, _ in count:
+        if c:
+            kids.setdefault((c[:-1], node), set()).add(c)
+    ab = lambda c, node: (count[c, node, 0], count[c, node, 1])
+    lg, weigh = math.lgamma, {}
+
+    def weighted(c, node):
+        if (c, node) not in weigh:
+            a, b = ab(c, node)
+            own = lg(a + 0.5) + lg(b + 0.5) - 2 * lg(0.5) - lg(a + b + 1)
+            total, stop = own, 1.0
+            if len(c) < 5:
+                total = float(np.logaddexp(own, sum(weighted(k, node)[0] for k in kids[c, node])) - math.log(2))
+                stop = math.exp(own - math.log(2) - total)
+            weigh[c, node] = total, stop
+        return weigh[c, node]
+
+    def score(t):
+        out = 0.0
+        for c, node, bit in bits(t):
+            p, deeper = 0.5, False
+            for d in range(5, -1, -1):
+                a, b = ab(c[:d], node)
+                if a + b:
+                    stop = weighted(c[:d], node)[1] if deeper else 1.0
+                    p, deeper = stop * (b + 0.5) / (a + b + 1) + (1 - stop) * p, True
+            out += math.log10(p if bit else 1 - p)
+        return out
+
+    return [score(t) for t in texts]
+
+
+def test_ctw_scores_are_exact(spark):
+    rng = random.Random(11)
+    rows = [(i, words(rng, 12)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 0 < len(train) < len(rows)
+    want = ctw_plain(train, [t.encode() for _, t in rows])
+    for limit in (ctw.GRAMS, 0):  # broadcast and joined
+        got = {r.doc_id: r.score for r in ctw.score_texts(docs, grams=limit).collect()}
+        assert all(abs(got[i] - want[i]) < 1e-8 * abs(want[i]) for i, _ in rows)
+
+
 def test_languages_and_toxicity_take_hostile_inputs(spark, docs, empty):
     got = {r.doc_id: r for r in langid.predict_languages(docs).collect()}
     assert got[0].lang_pred == got[1].lang_pred == got[2].lang_pred == "und" and got[1].score == 0 and got[4].lang_pred == "en"
