@@ -7,6 +7,8 @@ decides about a document but where the language classifier learns from it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,23 +27,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of equal texts."""
-    return _kept(docs, exact.exact_groups(docs))
+    """Keeps the row with the least doc_id of each group of equal texts."""
+    return _kept(docs, exact.exact_groups)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group that links of similarity 0.8 join."""
-    return _kept(docs, dartminhash.near_groups(docs))
-
-
-def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Documents whose id is kept; a null id is a document of its own, and of repeated ids one row stays."""
-    keep = judged.where("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").select(*COLUMNS)
-    ids = docs.groupBy("doc_id").count().where("count > 1")
-    if ids.isEmpty():
-        return stay
-    return stay.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null").select(*COLUMNS))
+    """Keeps the row with the least doc_id of each group that links of similarity 0.8 join."""
+    return _kept(docs, dartminhash.near_groups)
+
+
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that judge keeps of docs, each judged by its own text.
+
+    Where ids are null or stand at several rows, rows are numbered by (doc_id, text), null ids last, and
+    judged under their numbers: one row of each group stays, that of the least doc_id.
+    """
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.join(judge(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = materialize(ordered.withColumn("row", F.monotonically_increasing_id()), "rows")
+    keep = judge(rows.select(F.col("row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("row"))
+    return rows.join(keep, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

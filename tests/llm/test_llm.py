@@ -267,6 +267,26 @@ def test_pipeline(spark, tmp_path, docs):
     assert 4 in ids and not ids & {0, 1, 2, 5, 6, 7} and 8 in ids and 9 not in ids
 
 
+@pytest.mark.parametrize("stage", ["exact_duplicates", "near_duplicates"])
+def test_pipeline_judges_rows_not_ids(spark, stage):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    # expected: rows in order of (doc_id, text) with the first of each text, null ids last
+    cases = {
+        "one null id": ([(None, a), (1, b)], [(None, a), (1, b)]),
+        "one id with two texts": ([(1, a), (2, a), (2, b)], [(1, a), (2, b)]),
+        "equal rows without an id": ([(None, a), (None, a), (None, b), (3, b)], [(None, a), (3, b)]),
+        "all ids apart": ([(1, a), (2, a), (3, c)], [(1, a), (3, c)]),
+        "equal rows of one id": ([(5, d), (5, d), (4, c)], [(5, d), (4, c)]),
+    }
+    for name, (rows, want) in cases.items():
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        got = getattr(corpus_pipeline, stage)(spark, docs, "").collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr), name
+
+
 def test_suffix_of_a_text_that_is_worked_on_in_pieces(spark):
     rng = np.random.default_rng(11)
     letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
