@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mattework.functions.sql import SPARK, Dialect
+from mattework.functions.sql import SPARK, Dialect, clip, lerp, linear, luma, num
 from mattework.operators import components
 from mattework.operators import matte as m
 from mattework.operators import views as v
@@ -21,11 +21,18 @@ def with_alpha(d: Dialect, connected: str, s: Settings) -> str:
         connected = m.add(connected, interior=f"greatest(connected, CASE WHEN prob >= {round(s.aggressive_threshold * 255)} THEN 1 ELSE 0 END)")
     else:
         connected = m.add(connected, interior="connected")
-    out = m.merged_masks(connected, s, "interior", "background")
-    out = m.alpha(d, m.trimap(out, s), s)
+    return original_alpha(d, trimap_alpha(d, m.merged_masks(connected, s, "interior", "background"), s))
+
+
+def trimap_alpha(d: Dialect, merged: str, s: Settings) -> str:
+    """From prob and background: edge and alpha2, before guided refinement and the image's own alpha."""
+    out = m.alpha(d, m.trimap(merged, s), s)
     out = f"SELECT * FROM ({out}) t"
     out = m.alpha_hint(d, out, s, "CASE WHEN keep > 127 THEN 255 ELSE alpha0 END", "alpha1")
-    out = m.add(out, alpha2="CASE WHEN keep > 127 THEN 255 WHEN remove > 127 THEN 0 ELSE alpha1 END")
+    return m.add(out, alpha2="CASE WHEN keep > 127 THEN 255 WHEN remove > 127 THEN 0 ELSE alpha1 END")
+
+
+def original_alpha(d: Dialect, out: str) -> str:
     return m.add(out, alpha=f"CASE WHEN a0 IS NULL THEN alpha2 ELSE {d.rint('alpha2 * greatest(0e0, least(1e0, a0))')} END")
 
 
@@ -46,18 +53,71 @@ def result(src: str) -> str:
     return f"SELECT image_id, y, x, or_ AS r, og_ AS g, ob_ AS b, alpha, background, edge, fringe, despill, prob, hint, kr, kg, kb, a_true, fr, fg, fb FROM (SELECT *, \"or\" AS or_, og AS og_, ob AS ob_ FROM ({src}) s) t"
 
 
+def screened(spark: SparkSession, pixels: DataFrame, s: Settings) -> DataFrame:
+    """pixels with (kr, kg, kb) as sampled from each image's border, for callers whose key is only nominal."""
+    if not s.auto_border_sample:
+        return pixels
+    border = m.border("SELECT * FROM {src}", max(1, s.border_sample_width, s.sample_size))
+    told = _sql(spark, m.screen_color(SPARK, border, s), pixels).select("image_id", "sr", "sg", "sb")
+    if s.auto_detect_key_color:
+        auto = _sql(spark, m.auto_color(SPARK, border), pixels).select("image_id", *[F.col(f"s{c}").alias(f"a{c}") for c in "rgb"])
+        told = told.join(auto, "image_id", "left").select("image_id", *[F.coalesce(f"a{c}", f"s{c}").alias(f"s{c}") for c in "rgb"])
+    return pixels.join(told, "image_id").withColumns({f"k{c}": F.col(f"s{c}") for c in "rgb"}).drop("sr", "sg", "sb")
+
+
+def _flagged(pixels: DataFrame, on: DataFrame, name: str) -> DataFrame:
+    """pixels with `name` 1 where on(image_id, y, x) has them, else 0."""
+    return pixels.join(on.withColumn("hit", F.lit(1)), ["image_id", "y", "x"], "left").withColumn(name, F.coalesce("hit", F.lit(0))).drop("hit")
+
+
+def _refined(spark: SparkSession, rough: DataFrame, s: Settings) -> DataFrame:
+    """alpha2 of soft edge pixels smoothed along the image's edges, in images whose box around them (with what
+    the filter reads) has at most guided_max_pixels."""
+    rough = stage(rough, "rough")
+    radius = max(1, s.guided_radius)
+    margin = 2 * radius + 2
+    soft = "edge = 1 AND alpha2 > 0 AND alpha2 < 255"
+    size = rough.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    box = rough.where(soft).groupBy("image_id").agg(*[g(c).alias(f"{c}{i}") for c in "yx" for i, g in enumerate((F.min, F.max))])
+    side = lambda c, n: f"cast(least({n}, {c}1 + {margin + 1}) - greatest(0, {c}0 - {margin}) as bigint)"
+    fits = box.join(size, "image_id").select("image_id", F.expr(f"{side('y', 'h')} * {side('x', 'w')} <= {s.guided_max_pixels}").alias("fits"))
+    light = luma(*(linear(SPARK, c) for c in "rgb"))
+    out = m.guided("SELECT * FROM {src}", light, "alpha2 / 255e0", radius, s.guided_eps)
+    strength = num(min(1.0, max(0.0, s.guided_alpha_refine)))
+    blended = SPARK.rint("255e0 * " + clip(lerp("alpha2 / 255e0", "guided", strength)))
+    out = m.add(out, alpha3=f"CASE WHEN {soft} AND fits THEN {blended} ELSE alpha2 END")
+    out = _sql(spark, out, rough.join(fits, "image_id", "left"))
+    return out.select(*[c for c in rough.columns if c != "alpha2"], F.col("alpha3").alias("alpha2"))
+
+
 def key_frames(spark: SparkSession, pixels: DataFrame, s: Settings, shape: tuple[int, int]) -> DataFrame:
-    """The result of pixels(image_id, y, x, r, g, b, kr, kg, kb, a0, keep, remove, hint, ...)."""
+    """The result of pixels(image_id, y, x, r, g, b, kr, kg, kb, a0, keep, remove, hint, ...); k* is the screen's colour."""
     d = SPARK
     prob = _sql(spark, m.probability(d, "SELECT * FROM {src}", s), pixels).select(*pixels.columns, "prob")
     prob = stage(prob, "prob")
     cut = f"prob >= {s.thresholds[0]}"
-    seen = components.border_connected(prob, cut)
+    if s.erode_expand:
+        moved = m.morph(m.add("SELECT * FROM {src}", on_=f"CASE WHEN {cut} THEN 1 ELSE 0 END"), "on_", abs(s.erode_expand), "candidate", dilate=s.erode_expand > 0)
+        seen = components.border_connected(_sql(spark, moved, prob).select("image_id", "y", "x", "candidate"), "candidate = 1")
+    else:
+        seen = components.border_connected(prob, cut)
+    joined = _flagged(prob, seen, "connected")
+    if s.aggressive_interior_removal:
+        hot = components.remove_small(prob, f"prob >= {round(s.aggressive_threshold * 255)}", s.aggressive_min_area, protect_border=False)
+        joined = _flagged(joined, hot, "hot").withColumn("interior", F.greatest("connected", "hot")).drop("hot")
+    else:
+        joined = joined.withColumn("interior", F.col("connected"))
+    merged = _sql(spark, m.merged_masks("SELECT * FROM {src}", s, "interior", "background"), joined)
     if s.min_area > 1:
-        on = prob.join(seen.withColumn("on", F.lit(1)), ["image_id", "y", "x"], "left")
-        seen = components.fill_holes(on.withColumn("on", F.coalesce("on", F.lit(0))), "on = 1", s.min_area)
-    joined = prob.join(seen.withColumn("hit", F.lit(1)), ["image_id", "y", "x"], "left").withColumn("connected", F.coalesce("hit", F.lit(0))).drop("hit")
-    matte = _sql(spark, with_alpha(d, "SELECT * FROM {src}", s), joined)
+        merged = stage(merged.drop("interior"), "merged")
+        large = stage(_flagged(merged.drop("background"), components.remove_small(merged, "background = 1", s.min_area), "large"), "large")
+        filled = _flagged(large, components.fill_holes(large, "large = 1", s.min_area), "interior")
+        merged = _sql(spark, m.merged_masks("SELECT * FROM {src}", s, "interior", "background"), filled)
+    rough = _sql(spark, trimap_alpha(d, "SELECT * FROM {src}", s), merged)
+    rough = rough.select(*pixels.columns, "prob", "background", "edge", "alpha2")
+    if s.guided_alpha_refine > 0:
+        rough = _refined(spark, rough, s)
+    matte = _sql(spark, original_alpha(d, "SELECT * FROM {src}"), rough)
     matte = matte.select("image_id", "y", "x", "r", "g", "b", "kr", "kg", "kb", "prob", "background", "edge", "alpha", "hint", *[c for c in ("a_true", "fr", "fg", "fb") if c in matte.columns])
     matte = stage(matte, "matte")  # colours read it four times
     return _sql(spark, coloured(d, "SELECT * FROM {src}", s, shape), matte)
@@ -78,4 +138,4 @@ def duck_connected(d: Dialect, frames: str, s: Settings) -> str:
     return flood + ", lit AS MATERIALIZED (SELECT px.*, CASE WHEN r.image_id IS NULL THEN 0 ELSE 1 END AS connected FROM px LEFT JOIN reach r USING (image_id, y, x))"
 
 
-__all__ = ["RESULT", "coloured", "duck_connected", "key_frames", "result", "v", "with_alpha"]
+__all__ = ["RESULT", "coloured", "duck_connected", "key_frames", "result", "screened", "v", "with_alpha"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mattework.plans.key_image import key_frames
+from mattework.plans.key_image import key_frames, screened
 from mattework.settings import Settings
 from mattework.sources.images import PNG_GLOB, png_pixels
 
@@ -20,6 +20,7 @@ def key_images(spark: SparkSession, pixels: DataFrame, s: Settings) -> DataFrame
     """The result of images of any sizes: at most 158 radii of the screen map, each a plan of its own."""
     kr, kg, kb = s.key_color
     ready = pixels.withColumns({"kr": F.lit(kr), "kg": F.lit(kg), "kb": F.lit(kb)} | {n: F.expr(e) for n, e in MASKS.items() if n not in pixels.columns})
+    ready = screened(spark, ready, s)
     ready = ready.withColumn("radius", F.expr(RADIUS))
     parts = []
     for (radius,) in sorted(ready.select("radius").distinct().collect()):

@@ -1,5 +1,7 @@
 """Every query of the matte engine against its oracle in another engine, and helper assertions."""
 
+from dataclasses import replace
+
 import duckdb
 import pytest
 
@@ -7,6 +9,7 @@ from mattework.functions import sql as f
 from mattework.operators import adapters
 from mattework.operators.matte import ellipse
 from mattework.plans import catalog
+from mattework.plans import key_image as k
 from mattework.settings import Settings, normalized_crop, odd_kernel, preset
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +53,45 @@ def test_adapter(spark):
     assert adapters.capability("mattework.operators.adapters:luma_hint").available
     with pytest.raises(ValueError):
         adapters.mask_u8([[1, 2]], (2, 2), "hint")
+
+
+GREEN, RED = (0, 220, 50), (200, 30, 30)
+SMALL = Settings(edge_refine_radius=1, despeckle_min_area=0, cleanup=0, fringe_band_radius=1)
+
+
+def frame(spark, colour, side=14, key=GREEN):
+    """Pixels of one frame, coloured by (y, x), the key as its screen."""
+    rows = [(1, y, x, *colour(y, x), *key, None, 0, 0, None) for y in range(side) for x in range(side)]
+    return spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int, kr int, kg int, kb int, a0 double, keep int, remove int, hint int")
+
+
+def keyed(spark, pixels, s, column="background"):
+    return {(r.y, r.x): r[column] for r in k.key_frames(spark, pixels, s, (14, 14)).select("y", "x", column).collect()}
+
+
+def test_key_frames_erodes_and_expands(spark):
+    pixels = frame(spark, lambda y, x: RED if 5 <= y <= 8 and 5 <= x <= 8 else GREEN)
+    found = {e: keyed(spark, pixels, replace(SMALL, erode_expand=e)) for e in (-1, 0, 1)}
+    assert [found[e][4, 6] for e in (-1, 0, 1)] == [0, 1, 1] and [found[e][5, 6] for e in (-1, 0, 1)] == [0, 0, 1]
+
+
+def test_key_frames_clears_specks_after_the_merges(spark):
+    pixels = frame(spark, lambda y, x: GREEN if y in (0, 13) or x in (0, 13) or (y, x) in {(6, 6), (6, 7)} else RED)
+    hot = replace(SMALL, aggressive_interior_removal=True)
+    found = [keyed(spark, pixels, s)[6, 6] for s in (SMALL, hot, replace(hot, aggressive_min_area=3), replace(hot, despeckle_min_area=3))]
+    assert found == [0, 1, 0, 0]
+
+
+def test_key_frames_refines_alpha(spark):
+    mixed = tuple((a + b) // 2 for a, b in zip(GREEN, RED))
+    pixels = frame(spark, lambda y, x: GREEN if x < 6 else mixed if x == 6 and y % 3 else RED)
+    plain, guided, capped = (keyed(spark, pixels, replace(SMALL, **g), "alpha") for g in ({}, {"guided_alpha_refine": 1.0, "guided_radius": 2}, {"guided_alpha_refine": 1.0, "guided_max_pixels": 1}))
+    assert plain != guided and plain == capped and all(guided[p] == a for p, a in plain.items() if a in (0, 255))
+
+
+def test_screen_is_sampled_from_the_border(spark):
+    pixels = frame(spark, lambda y, x: RED if 5 <= y <= 8 and 5 <= x <= 8 else (0, 200, 60))
+    key = lambda s: {(r.kr, r.kg, r.kb) for r in k.screened(spark, pixels, s).select("kr", "kg", "kb").collect()}
+    s = replace(SMALL, border_sample_width=2)
+    assert key(s) == {(0, 206, 57)} and key(replace(s, auto_border_sample=False)) == {GREEN}
+    assert key(replace(s, auto_detect_key_color=True)) == {(0, 203, 58)}
