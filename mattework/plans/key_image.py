@@ -12,6 +12,7 @@ from mattework.operators import views as v
 from mattework.plans.stages import stage
 from mattework.settings import Settings, screen_radius
 
+PX = ["image_id", "y", "x"]
 RESULT = ["image_id", "y", "x", "r", "g", "b", "alpha", "background", "edge", "fringe", "despill", "prob"]
 
 
@@ -36,12 +37,13 @@ def original_alpha(d: Dialect, out: str) -> str:
     return m.add(out, alpha=f"CASE WHEN a0 IS NULL THEN alpha2 ELSE {d.rint('alpha2 * greatest(0e0, least(1e0, a0))')} END")
 
 
-def coloured(d: Dialect, matte: str, s: Settings, shape: tuple[int, int]) -> str:
-    """From the matte: fringe, screen map, nearest inner colour and the repaired colours o*."""
+def coloured(d: Dialect, matte: str, s: Settings, shape: tuple[int, int], near: str | None = None) -> str:
+    """From the matte: fringe, screen map, nearest inner colour and the repaired colours o*. near has the
+    nearest seeds (image_id, y, x, ny, nx); without it they are looked for within the radius."""
     out = m.fringe(d, m.spill(matte), s)
     out = m.screen_map(d, out, f"prob >= {s.thresholds[0]}", screen_radius(*shape))
     if s.nearest_radius:
-        near = m.nearest(f"SELECT image_id, y, x, alpha, background, fringe, prob FROM ({out}) f", s)
+        near = near or m.nearest(f"SELECT image_id, y, x, alpha, background, fringe, prob FROM ({out}) f", s)
         pick = f"SELECT image_id AS i_, y AS y_, x AS x_, r AS nr, g AS ng, b AS nb FROM ({out}) c"
         out = f"SELECT o.*, nr, ng, nb FROM ({out}) o LEFT JOIN ({near}) n ON o.image_id = n.image_id AND o.y = n.y AND o.x = n.x LEFT JOIN ({pick}) p ON n.image_id = i_ AND ny = y_ AND nx = x_"
     else:
@@ -90,6 +92,32 @@ def _refined(spark: SparkSession, rough: DataFrame, s: Settings) -> DataFrame:
     return out.select(*[c for c in rough.columns if c != "alpha2"], F.col("alpha3").alias("alpha2"))
 
 
+def nearest_seeds(spark: SparkSession, marked: DataFrame, s: Settings) -> DataFrame:
+    """image_id, y, x, ny, nx: the nearest seed at any distance of each fringe pixel of an image that has a seed.
+
+    What finds none within the radius looks again with the doubled one, until nothing is left. A far pixel is
+    no seed, so its nearest is one with a neighbour that is none: only such seeds meet it.
+    """
+    marked = stage(marked, "marked")
+    found = stage(_sql(spark, m.nearest("SELECT * FROM {src}", s), marked).select(*PX, "ny", "nx"), "near")
+    seeds = _sql(spark, m.seeds("SELECT * FROM {src}", s), marked).select(*PX)
+    rim = _sql(spark, m.morph("SELECT * FROM {src}", "seed", 1, "inner", dilate=False), _flagged(marked.select(*PX), seeds, "seed"))
+    rim = rim.where("seed = 1 AND inner = 0").select("image_id", F.col("y").alias("sy"), F.col("x").alias("sx"))
+    left = marked.where("fringe > 0").select(*PX).join(seeds.select("image_id").distinct(), "image_id", "left_semi").join(found, PX, "left_anti")
+    left, radius = stage(left, "left"), s.nearest_radius
+    while not left.isEmpty():
+        radius *= 2
+        cell = lambda c, step=0: F.floor(F.col(c) / radius) + step  # noqa: B023, E731
+        steps = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+        target = left.withColumn("dy", steps).withColumn("dx", steps).select(*PX, cell("y", F.col("dy")).alias("by_"), cell("x", F.col("dx")).alias("bx_"))
+        pairs = target.join(rim.withColumns({"by_": cell("sy"), "bx_": cell("sx")}), ["image_id", "by_", "bx_"])
+        pairs = pairs.withColumn("d2", F.expr("cast(y - sy as bigint) * (y - sy) + cast(x - sx as bigint) * (x - sx)")).where(F.col("d2") <= radius * radius)
+        more = pairs.groupBy(*PX).agg(F.min(F.struct("d2", "sy", "sx")).alias("best")).select(*PX, F.col("best.sy").alias("ny"), F.col("best.sx").alias("nx"))
+        more = stage(more, "near")
+        found, left = found.unionByName(more), stage(left.join(more, PX, "left_anti"), "left")
+    return found
+
+
 def key_frames(spark: SparkSession, pixels: DataFrame, s: Settings, shape: tuple[int, int]) -> DataFrame:
     """The result of pixels(image_id, y, x, r, g, b, kr, kg, kb, a0, keep, remove, hint, ...); k* is the screen's colour."""
     d = SPARK
@@ -120,7 +148,15 @@ def key_frames(spark: SparkSession, pixels: DataFrame, s: Settings, shape: tuple
     matte = _sql(spark, original_alpha(d, "SELECT * FROM {src}"), rough)
     matte = matte.select("image_id", "y", "x", "r", "g", "b", "kr", "kg", "kb", "prob", "background", "edge", "alpha", "hint", *[c for c in ("a_true", "fr", "fg", "fb") if c in matte.columns])
     matte = stage(matte, "matte")  # colours read it four times
-    return _sql(spark, coloured(d, "SELECT * FROM {src}", s, shape), matte)
+    if not s.nearest_radius:
+        return _sql(spark, coloured(d, "SELECT * FROM {src}", s, shape), matte)
+    marked = _sql(spark, m.fringe(d, m.spill("SELECT * FROM {src}"), s), matte).select(*PX, "alpha", "background", "fringe", "prob")
+    near = nearest_seeds(spark, marked, s)
+    name = f"mattework_near_{id(near):x}"
+    near.createOrReplaceTempView(name)
+    out = _sql(spark, coloured(d, "SELECT * FROM {src}", s, shape, f"SELECT * FROM {name}"), matte)
+    spark.catalog.dropTempView(name)
+    return out
 
 
 def _sql(spark: SparkSession, text: str, src: DataFrame) -> DataFrame:

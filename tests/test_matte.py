@@ -95,3 +95,14 @@ def test_screen_is_sampled_from_the_border(spark):
     s = replace(SMALL, border_sample_width=2)
     assert key(s) == {(0, 206, 57)} and key(replace(s, auto_border_sample=False)) == {GREEN}
     assert key(replace(s, auto_detect_key_color=True)) == {(0, 203, 58)}
+
+
+def test_nearest_seed_at_any_distance(spark):
+    seeds = {(1, y, x) for y in range(3) for x in range(4)} | {(1, 2, 60), (2, 0, 0)}
+    targets = {(1, 0, 9), (1, 2, 31), (1, 2, 32), (1, 1, 90), (2, 3, 79), (3, 0, 5)}
+    rows = [(i, y, x, 255 if (i, y, x) in seeds else 100, 0, 90 if (i, y, x) in targets else 0, 0) for i in (1, 2, 3) for y in range(4) for x in range(92)]
+    marked = spark.createDataFrame(rows, "image_id long, y int, x int, alpha int, background int, fringe int, prob int")
+    assert SMALL.nearest_radius == 8
+    got = {(r.image_id, r.y, r.x): (r.ny, r.nx) for r in k.nearest_seeds(spark, marked, SMALL).collect()}
+    want = {(i, y, x): min(((y - b) ** 2 + (x - c) ** 2, b, c) for j, b, c in seeds if j == i)[1:] for i, y, x in targets if i < 3}
+    assert got == want
