@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = f"file://{tempfile.mkdtemp(prefix='mattework-')}"
     return _own["dir"]
@@ -45,17 +48,29 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of `rows` rows for what is executed within; the session's own bound comes back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bitmap(hashes: DataFrame, count: int, most: int = 30) -> tuple[int, np.ndarray]:
+def bitmap(hashes: DataFrame, count: int, most: int = 30, flags_each: int = 32) -> tuple[int, np.ndarray]:
     """(bits, packed flags) of hashes(hash long): the flag at a hash's top `bits` bits is set.
 
-    About 32 flags for each of `count` hashes, but 2**most at most (128 MB): a set that is larger than that
-    lets more through, it loses none. Flags are packed on the executors.
+    About flags_each flags for each of `count` hashes, but 2**most at most (128 MB): a set that is larger
+    than that lets more through, it loses none. Flags are packed on the executors.
     """
-    bits = min(most, max(20, math.ceil(math.log2(max(count, 1) * 32))))
+    bits = min(most, max(20, math.ceil(math.log2(max(count, 1) * flags_each))))
     low = bits - 6
 
     def pack(key, table):

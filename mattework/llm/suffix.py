@@ -7,22 +7,27 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    windows of consecutive starts with one anchor are one stretch, about length/2 starts each. A stretch
    whose anchor gram stands nowhere else holds no repeated window; one that stands twice as a whole is
    repeated in all of them. Where different stretches share an anchor gram their suffixes are sorted.
-   Two bitmaps tell tasks which stretches count and which are sorted; they have up to 2**30 bits, and a
-   full one only lets more stretches go on.
+   Of equal stretches one place, the owner, is sorted for all. Two bitmaps tell tasks which stretches
+   count and which places are owners; they have up to 2**30 bits, and a full one only lets more go on.
 2. Runs. A map task sorts the suffixes that start at its anchors (each as far as its stretch's windows
-   reach; equal stretches once), cuts the sorted run at sampled splitters and front-codes
-   it: the length of the common prefix with the suffix before, and the rest.
+   reach; ties by what stands left of the anchor, read backwards), cuts the sorted run at splitters
+   and front-codes it: the length of the common prefix with the suffix before, and the rest. Splitters are
+   sampled suffixes; one inside a group of at most GROUP members moves to the group's start.
 3. Merge. A range's task merges its runs with a loser tree whose nodes keep the common prefix of loser and
    winner: unequal prefixes decide at once, equal ones are compared from there on only. Suffixes come out
    with the common prefix to the one before.
 4. Groups. Suffixes with a common prefix of GRAM bytes are one anchor's group. A window can be repeated
    only if the common prefix with a neighbour covers its part right of the anchor; those windows are
-   hashed with their left part and counted. Groups that a splitter cuts, or of more than GROUP members,
-   pass the hashes of their windows on to a distributed count instead, so no group is held in one task.
-5. Marks go back to the documents.
+   hashed with their left part and counted. In a group of more than GROUP members, which no task holds,
+   windows that a neighbour repeats are found by both common lengths, right and left of the anchor, and
+   given as spans. The others are bounded on the right by the neighbours in order and on the left by those in
+   the order of the left parts, sorted by all tasks; what lies within both is hashed and counted by all.
+5. Marks go back to the documents. Stretches that stand at very many places are sent to all tasks (at most
+   HOT_NAMES of them); the others are joined.
 
 Null and empty texts have no byte and lose none. Repeated rows repeat each other. An empty table gives
-an empty result. Windows are compared by 64-bit hashes of their 400 bytes.
+an empty result. Columns of docs other than doc_id, text and those in `keep` are not looked at, whatever their
+names. Windows are compared by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mattework.llm.bytesops import NAMES, U, give_back, gram_hash, mix, prefix_sums, span_hash, text_blocks
-from mattework.llm.shared import bitmap, flagged, materialize, small_batches
+from mattework.llm.shared import batch_rows, bitmap, flagged, materialize, small_batches
 
 LENGTH, GRAM = 400, 32
 #: Bytes of distinct suffixes that a map task holds for a run.
@@ -47,9 +52,16 @@ RUN_BYTES = 6 << 20
 TEXT_BYTES = 1 << 19
 #: Suffixes of a run that are packed, and unpacked again, at once.
 BLOCK = 64
-#: Suffixes that a range should have; splitters come from a sample of SAMPLE suffixes.
-RANGE, SAMPLE, HEAD = 20_000, 8192, 160
-GROUP = 4096
+#: Suffixes that a range should have, and the most ranges; a range's share grows with the corpus beyond them.
+RANGE, RANGES = 20_000, 16_384
+#: One in SAMPLED stretches is a candidate for a splitter, OVERSAMPLE candidates are looked at for each range.
+SAMPLED, OVERSAMPLE = 64, 4
+#: Members of a group that one task judges.
+GROUP = 8192
+#: A stretch at more than one in HOT_NAMES of all places (at least HOT_PLACES) is not joined by its name.
+HOT_NAMES, HOT_PLACES = 2000, 1000
+#: Windows of an Arrow batch.
+WINDOWS = 1 << 16
 #: Documents of an Arrow batch.
 ROWS = 400
 
@@ -105,7 +117,7 @@ def pieces(batches, length: int):
             yield batch, part, np.array([0, len(part)]), low
 
 
-SEEN = "gram long, name long, n long, sampled long, head binary"
+SEEN = "gram long, name long, n long, place long, sampled long, head binary, rear binary"
 
 
 def names_of(sums: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -113,27 +125,38 @@ def names_of(sums: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarr
     return mix(span_hash(sums, first, last + length) ^ (at - first).astype(U)).astype(np.int64)
 
 
+def places_of(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of where a stretch stands: its row and its first byte there."""
+    return mix(rows.astype(U) ^ mix(first.astype(U))).astype(np.int64)
+
+
 def _count(length: int, gram: int):
+    """Distinct stretches of a task with their number and one of their places; sampled ones with their bytes."""
+
     def run(batches):
         held, size = [], 0
-        columns = ["gram", "name", "n", "sampled", "head"]
+        columns = ["gram", "name", "n", "place", "sampled", "head", "rear"]
 
         def out():
-            grams, names = (np.concatenate(x) for x in zip(*held, strict=True))
+            grams, names, places = (np.concatenate(x) for x in zip(*held, strict=True))
             names, at, n = np.unique(names, return_index=True, return_counts=True)
-            return pa.record_batch([pa.array(grams[at].astype(np.int64)), pa.array(names), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], columns)
+            none = [pa.nulls(len(n), t) for t in (pa.int64(), pa.binary(), pa.binary())]
+            return pa.record_batch([pa.array(grams[at].astype(np.int64)), pa.array(names), pa.array(n.astype(np.int64)), pa.array(places[at]), *none], columns)
 
-        for _, data, offsets, _ in pieces(batches, length):
+        for batch, data, offsets, low in pieces(batches, length):
             doc, first, last, at, grams, sums = stretches(data, offsets, length, gram)
             names = names_of(sums, first, last, at, length)
-            held.append((grams, names))
+            held.append((grams, names, places_of(np.asarray(batch["row_id"])[doc], first - offsets[doc] + low)))
             size += len(grams)
             spot = mix(names.astype(U))
-            some = np.flatnonzero((spot & U(63)) == 0)
+            some = np.flatnonzero(spot % U(SAMPLED) == 0)
             if len(some):
-                raw = data.tobytes()
-                heads = [raw[a : min(a + HEAD, e)] for a, e in zip(at[some].tolist(), (last[some] + length).tolist(), strict=True)]
-                yield pa.record_batch([pa.array(grams[some].astype(np.int64)), pa.array(names[some]), pa.array(np.zeros(len(some), np.int64)), pa.array(spot[some].astype(np.int64)), pa.array(heads, pa.binary())], columns)
+                _, once = np.unique(spot[some], return_index=True)
+                some = some[once]
+                raw, none = data.tobytes(), pa.nulls(len(some), pa.int64())
+                heads = [raw[a:e] for a, e in zip(at[some].tolist(), (last[some] + length).tolist(), strict=True)]
+                rears = [raw[s:a][::-1] for s, a in zip(first[some].tolist(), at[some].tolist(), strict=True)]
+                yield pa.record_batch([pa.array(grams[some].astype(np.int64)), pa.array(names[some]), none, none, pa.array(spot[some].astype(np.int64)), pa.array(heads, pa.binary()), pa.array(rears, pa.binary())], columns)
             if size > 1 << 20:
                 yield out()
                 held, size = [], 0
@@ -153,44 +176,44 @@ def _common(a: bytes, b: bytes, k: int) -> int:
     return k
 
 
-def front_code(entries: list[tuple[bytes, bytes, int, int]]) -> bytes:
-    """A sorted run of (suffix, left part, hash, count), in blocks that are unpacked one by one."""
+def front_code(entries: list[tuple[bytes, bytes, int]]) -> bytes:
+    """A sorted run of (suffix, left part backwards, name), in blocks that are unpacked one by one."""
     before, out, pack = b"", [], zstandard.ZstdCompressor(level=1)
     for low in range(0, len(entries), BLOCK):
         block = entries[low : low + BLOCK]
         head = np.zeros((len(block), 3), "<u4")
-        more = np.zeros((len(block), 2), "<i8")
+        names = np.array([name for _, _, name in block], "<i8")
         blob = []
-        for i, (right, left, name, count) in enumerate(block):
+        for i, (right, rear, _) in enumerate(block):
             k = _common(before, right, 0)
-            head[i] = k, len(right) - k, len(left)
-            more[i] = name, count
-            blob += [right[k:], left]
+            head[i] = k, len(right) - k, len(rear)
+            blob += [right[k:], rear]
             before = right
-        packed = pack.compress(head.tobytes() + more.tobytes() + b"".join(blob))
+        packed = pack.compress(head.tobytes() + names.tobytes() + b"".join(blob))
         out += [len(block).to_bytes(4, "little"), len(packed).to_bytes(4, "little"), packed]
     return b"".join(out)
 
 
 def front_decode(run):
-    """(suffix, common prefix with the one before, left part, hash, count) in order; holds one block unpacked."""
+    """(suffix, common prefix with the one before, left part backwards, name) in order; holds one block unpacked."""
     run, start, before, unpack = memoryview(run), 0, b"", zstandard.ZstdDecompressor()
     while start < len(run):
         n, size = (int.from_bytes(run[start + i : start + i + 4], "little") for i in (0, 4))
         block = unpack.decompress(run[start + 8 : start + 8 + size])
         start += 8 + size
         head = np.frombuffer(block, "<u4", 3 * n).reshape(n, 3).tolist()
-        more = np.frombuffer(block, "<i8", 2 * n, 12 * n).reshape(n, 2).tolist()
-        at = 28 * n
-        for (k, rest, left), (name, count) in zip(head, more, strict=True):
+        names = np.frombuffer(block, "<i8", n, 12 * n).tolist()
+        at = 20 * n
+        for (k, rest, rear), name in zip(head, names, strict=True):
             before = before[:k] + block[at : at + rest]
             at += rest
-            yield before, k, block[at : at + left], name, count
-            at += left
+            yield before, k, block[at : at + rear], name
+            at += rear
 
 
 def merge(runs: list):
-    """(suffix, common prefix with the last one, left part, hash, count) of all runs, merged.
+    """(suffix, common prefix with the last one, left part backwards, name) of all runs, merged; equal
+    suffixes by the left part backwards.
 
     A loser tree. What a node keeps of its loser is the common prefix with the winner that beat it; on the
     way of the next suffix from the winner's run that prefix is one with the last output.
@@ -208,7 +231,7 @@ def merge(runs: list):
             return a, b
         x, y = heads[a][0], heads[b][0]
         k = _common(x, y, known[a])
-        if k == len(x) or (k < len(y) and x[k] < y[k]):
+        if heads[a][2] <= heads[b][2] if k == len(x) == len(y) else k == len(x) or (k < len(y) and x[k] < y[k]):
             known[b] = k
             return a, b
         known[a] = k
@@ -222,8 +245,8 @@ def merge(runs: list):
 
     win = build(1)
     while known[win] >= 0:
-        right, _, left, name, count = heads[win]
-        yield right, known[win], left, name, count
+        right, _, rear, name = heads[win]
+        yield right, known[win], rear, name
         heads[win] = next(runs[win], None)
         known[win] = heads[win][1] if heads[win] else -1
         node = (size + win) >> 1
@@ -235,20 +258,20 @@ def merge(runs: list):
 RUNS = "part int, run binary, row_id long, name long, first long, windows long"
 
 
-def _runs(length: int, gram: int, often, mixed, splitters: list[bytes]):
+def _runs(length: int, gram: int, often, owners, splitters: list[tuple[bytes, bytes]]):
     def run(batches):
-        (bits, held_flags), (mixed_bits, held_mixed) = often, mixed
-        flags, mixed_flags = held_flags.value, held_mixed.value
-        held: dict[int, list] = {}
+        (bits, held_flags), (owner_bits, held_owners) = often, owners
+        flags, owner_flags = held_flags.value, held_owners.value
+        held: dict[int, tuple] = {}
         volume = 0
 
         def out():
-            entries = sorted((r, lft, name, n) for name, (r, lft, n) in held.items())
+            entries = sorted((right, rear, name) for name, (right, rear) in held.items())
             parts: list[list] = [[] for _ in range(len(splitters) + 1)]
             at = 0
             for e in entries:
-                while at < len(splitters) and e[0] >= splitters[at]:
-                    at = bisect.bisect_right(splitters, e[0], at)
+                if at < len(splitters) and e[:2] >= splitters[at]:
+                    at = bisect.bisect_right(splitters, e[:2], at)
                 parts[at].append(e)
             full = [i for i, p in enumerate(parts) if p]
             return _rows([pa.array(full, pa.int32()), pa.array([front_code(parts[i]) for i in full], pa.binary())])
@@ -266,16 +289,13 @@ def _runs(length: int, gram: int, often, mixed, splitters: list[bytes]):
                 continue
             doc, first, last, at = doc[go], first[go], last[go], at[go]
             name = names_of(sums, first, last, at, length)
-            rows = np.asarray(batch["row_id"])[doc]
-            yield _rows(None, [pa.array(rows), pa.array(name), pa.array(first - offsets[doc] + low), pa.array(last - first + 1)])
-            go = np.flatnonzero(flagged(mixed_flags, mixed_bits, grams[go]))
-            name, first, last, at = name[go], first[go], last[go], at[go]
+            rows, begin = np.asarray(batch["row_id"])[doc], first - offsets[doc] + low
+            yield _rows(None, [pa.array(rows), pa.array(name), pa.array(begin), pa.array(last - first + 1)])
+            go = np.flatnonzero(flagged(owner_flags, owner_bits, places_of(rows, begin)))
             raw = data.tobytes()
-            for x, s, e, a in zip(name.tolist(), first.tolist(), (last + length).tolist(), at.tolist(), strict=True):
-                if have := held.get(x):
-                    have[2] += 1
-                else:
-                    held[x] = [raw[a:e], raw[s:a], 1]
+            for x, s, e, a in zip(name[go].tolist(), first[go].tolist(), (last[go] + length).tolist(), at[go].tolist(), strict=True):
+                if x not in held:
+                    held[x] = raw[a:e], raw[s:a][::-1]
                     volume += e - s + 200
             if volume > RUN_BYTES:
                 yield out()
@@ -287,7 +307,7 @@ def _runs(length: int, gram: int, often, mixed, splitters: list[bytes]):
     return run
 
 
-MARKS = "name long, lows array<int>, highs array<int>, hashes array<long>, base int, n long"
+MARKS = "name long, lows array<int>, highs array<int>, top int, head binary, rear binary, chained boolean"
 
 
 def _spans(flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -295,93 +315,101 @@ def _spans(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), (edge[1::2] - 1).tolist()
 
 
-def _merge_ranges(length: int, gram: int, splitters: list[bytes]):
-    cut = {s[:gram] for s in splitters}
+def _merge_ranges(length: int, gram: int):
+    """Spans of repeated windows of the stretches of a range. Of a stretch whose group no task holds whole, those
+    that its neighbours prove, with its bytes and `top`, the last window that may be repeated; chained: the first span
+    is proven by the neighbour before."""
 
     def run(batches):
         rows: list[tuple] = []
 
-        def judge(group: list[list], partial: bool):
-            """group: [suffix, prefix with the one before, left part, hash, count], in order."""
-            if len(group) == 1 and not partial:
-                right, _, left, name, n = group[0]
-                if n > 1:
-                    rows.append((name, [0], [len(left) + len(right) - length], None, 0, n))
+        def judge(group: list[list]):
+            """All members [suffix, prefix with the one before, left part backwards, name] of a group, in order."""
+            if len(group) == 1:
                 return
-            whole = np.frombuffer(b"".join([g[2] + g[0] for g in group]), np.uint8)
+            whole = np.frombuffer(b"".join([g[2][::-1] + g[0] for g in group]), np.uint8)
             sizes = np.array([len(g[2]) + len(g[0]) for g in group])
             begin = np.cumsum(sizes) - sizes
-            windows = sizes - length + 1
-            if not partial:  # windows that a neighbour's common prefix covers right of the anchor
-                near = np.array([g[1] for g in group] + [0])
-                near[0] = 0
-                near = np.maximum(near[:-1], near[1:])
-                tested = np.clip(near + np.array([len(g[2]) for g in group]) - length + 1, 0, windows)
-            else:
-                tested = windows
+            near = np.array([g[1] for g in group] + [0])
+            near[0] = 0
+            near = np.maximum(near[:-1], near[1:])
+            tested = np.clip(near + np.array([len(g[2]) for g in group]) - length + 1, 0, sizes - length + 1)
             total = int(tested.sum())
-            which = np.repeat(np.arange(len(group)), tested)
-            j = np.arange(total) - np.repeat(np.cumsum(tested) - tested, tested)
-            start = begin[which] + j
-            hashes = span_hash(prefix_sums(NAMES[whole]), start, start + length) if total else np.zeros(0, U)
-            count = np.array([g[4] for g in group])
-            if partial:
-                low = 0
-                for g, t in zip(group, tested.tolist(), strict=True):
-                    if g[4] > 1:
-                        rows.append((g[3], [0], [t - 1], None, 0, g[4]))
-                    rows.append((g[3], None, None, hashes[low : low + t].astype(np.int64), 0, g[4]))
-                    low += t
+            if not total:
                 return
-            _, back = np.unique(hashes, return_inverse=True)
-            often = np.bincount(back, weights=count[which]) >= 2 if total else np.zeros(0, bool)
-            flag = often[back] if total else np.zeros(0, bool)
+            which = np.repeat(np.arange(len(group)), tested)
+            start = begin[which] + np.arange(total) - np.repeat(np.cumsum(tested) - tested, tested)
+            hashes = span_hash(prefix_sums(NAMES[whole]), start, start + length)
+            order = np.argsort(hashes)
+            same = np.diff(hashes[order]) == 0
+            flag = np.zeros(total, bool)
+            flag[order[:-1][same]] = flag[order[1:][same]] = True
             low = 0
-            for g, t, w in zip(group, tested.tolist(), windows.tolist(), strict=True):
-                if g[4] > 1:
-                    rows.append((g[3], [0], [w - 1], None, 0, g[4]))
-                elif flag[low : low + t].any():
-                    rows.append((g[3], *_spans(flag[low : low + t]), None, 0, g[4]))
+            for g, t in zip(group, tested.tolist(), strict=True):
+                if flag[low : low + t].any():
+                    rows.append((g[3], *_spans(flag[low : low + t]), None, None, None, None))
                 low += t
 
+        def judge_open(line: list[list], first: int, last: int):
+            """Members first..last-1 of a line of members; one at the line's end may have a neighbour elsewhere."""
+            for i in range(first, last):
+                right, _, rear, name = line[i]
+                lows, highs, reach, chained = [], [], 0, False
+                for a, b in ((i - 1, i), (i, i + 1)):
+                    if a < 0 or b == len(line):
+                        reach = len(right)
+                        continue
+                    k, left = line[b][1], _common(line[a][2], line[b][2], 0)
+                    reach = max(reach, k)
+                    if k + left >= length:
+                        lows.append(len(rear) - left)
+                        highs.append(len(rear) - length + k)
+                        chained |= b == i
+                top = len(rear) - length + reach
+                if top >= 0:
+                    rows.append((name, lows, highs, top, right, rear, chained))
+
         def out():
-            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int64())
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            made = pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["name", "lows", "highs", "hashes", "base", "n"])
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            made = pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["name", "lows", "highs", "top", "head", "rear", "chained"])
             rows.clear()
             return made
 
-        def of_range(runs):
+        def of_range(runs, cut: set[bytes]):
             group: list[list] = []
-            partial, same = False, {}
-            for right, k, left, name, n in merge([front_decode(r) for r in runs]):
-                if group and (k < gram or len(group) >= GROUP):
-                    partial = partial or right[:gram] == group[0][0][:gram]
-                    judge(group, partial or group[0][0][:gram] in cut)
-                    partial = partial and right[:gram] == group[0][0][:gram]
-                    group = []
-                    if len(rows) > 2000:
-                        yield out()
-                if not group or group[-1][0] != right:
-                    same = {}
-                if have := same.get(name):  # an equal stretch of another run
-                    have[4] += n
-                else:
-                    same[name] = [right, k, left, name, n]
-                    group.append(same[name])
-            if group:
-                judge(group, partial or group[0][0][:gram] in cut)
-
-        held, at = [], None
+            seen = 0  # members at the group's head that are judged already and stay as neighbours
+
+            def end():
+                if seen or (group and group[0][0][:gram] in cut):
+                    judge_open(group, seen, len(group))
+                elif group:
+                    judge(group)
+
+            for right, k, rear, name in merge([front_decode(r) for r in runs]):
+                if group and k < gram:
+                    end()
+                    group, seen = [], 0
+                elif group and group[-1][3] == name:  # the same stretch of another run
+                    continue
+                elif len(group) > GROUP:
+                    judge_open(group, seen, len(group) - 1)
+                    group, seen = group[-2:], 1
+                group.append([right, k, rear, name])
+                if len(rows) > 2000:
+                    yield out()
+            end()
+
+        held, cut, at = [], set(), None
         for batch in batches:
-            for part, blob in zip(batch["part"].to_pylist(), batch["run"], strict=True):
+            for part, blob, ends in zip(batch["part"].to_pylist(), batch["run"], batch["ends"].to_pylist(), strict=True):
                 if part != at and held:
-                    yield from of_range(held)
+                    yield from of_range(held, cut)
                     held = []
-                at = part
+                at, cut = part, set(ends)
                 held.append(blob.as_buffer())
         if held:
-            yield from of_range(held)
+            yield from of_range(held, cut)
         yield out()
         held = []
         give_back()
@@ -389,6 +417,52 @@ def _merge_ranges(length: int, gram: int, splitters: list[bytes]):
     return run
 
 
+def _open_windows(length: int, gram: int):
+    """(name, j, hash) of the windows of MARKS rows, sorted by the gram and the left part backwards, that neighbours
+    on both sides allow. Of a chain of neighbours that prove a window to each other its first gives it, for members
+    elsewhere. The first and last row of a task may have neighbours in other tasks."""
+
+    def run(batches):
+        made: list[tuple] = []
+        size = 0
+
+        def windows(row, left: int):
+            name, lows, highs, top, right, rear, chained = row
+            low = len(rear) - min(left, len(rear))
+            open_ = np.ones(top + 1, bool)
+            open_[:low] = False
+            if chained:
+                open_[lows[0] : highs[0] + 1] = False
+            j = np.flatnonzero(open_)
+            sums = prefix_sums(NAMES[np.frombuffer(rear[::-1] + right, np.uint8)])
+            made.append((np.full(len(j), name, np.int64), j.astype(np.int32), span_hash(sums, j, j + length).astype(np.int64)))
+            return len(j)
+
+        def out():
+            cols = [np.concatenate(c) for c in zip(*made, strict=True)]
+            made.clear()
+            return pa.record_batch([pa.array(c) for c in cols], ["name", "j", "hash"])
+
+        held, before = None, 0
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("name", "lows", "highs", "top", "head", "rear", "chained")), strict=True):
+                if held is None:
+                    before = len(row[5])
+                else:
+                    left = _common(held[5], row[5], 0) if held[4][:gram] == row[4][:gram] else 0
+                    size += windows(held, max(before, left))
+                    before = left
+                held = row
+                if size > WINDOWS:
+                    yield out()
+                    size = 0
+        if held:
+            windows(held, len(held[5]))
+            yield out()
+
+    return run
+
+
 def _apply(length: int):
     def run(batches):
         for batch in batches:
@@ -422,42 +496,68 @@ CUT_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
+def _splitters(seen: DataFrame, mixed: DataFrame, gram: int) -> list[tuple[bytes, bytes]]:
+    """Bounds (suffix, left part backwards) of the ranges, each range about as many distinct suffixes."""
+    volume = mixed.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    ranges = min(math.ceil(volume / RANGE), RANGES)
+    if ranges < 2:
+        return []
+    once = seen.where("sampled is not null").groupBy("sampled").agg(F.min(F.struct("gram", "head", "rear")).alias("s")).select("sampled", "s.*")
+    some = once.join(mixed.select("gram", (F.col("kinds") > GROUP).alias("large")), "gram").orderBy("sampled").limit(OVERSAMPLE * ranges)
+    heads = sorted((bytes(r["head"]), bytes(r["rear"]), r["large"]) for r in some.select("head", "rear", "large").toLocalIterator())
+    picked = [heads[i * len(heads) // ranges] for i in range(1, ranges)] if heads else []
+    return sorted({(head, rear) if large else (head[:gram], b"") for head, rear, large in picked})
+
+
 def marks_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(row_id, marks) for the rows of docs(row_id, text) that have a repeated window."""
     spark = docs.sparkSession
     seen = materialize(docs.mapInArrow(_count(length, gram), SEEN), "seen")
-    names = materialize(seen.where("sampled is null").groupBy("gram", "name").agg(F.sum("n").alias("n")), "names")
-    grams = names.groupBy("gram").agg(F.sum("n").alias("n"), (F.min("name") != F.max("name")).alias("mixed"), F.count("*").alias("kinds"))
+    names = seen.where("sampled is null").groupBy("gram", "name").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+    names = materialize(names, "names")
+    grams = names.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
     often = materialize(grams.where("n > 1"), "often")
-    mixed = often.where("mixed")
+    mixed = often.where("kinds > 1")
+    owners = materialize(names.join(mixed.select("gram"), "gram", "left_semi").select(F.col("place").alias("hash")), "owners")
     held = []
-    for some in (often, mixed):
-        bits, flags = bitmap(some.select(F.col("gram").alias("hash")), some.count())
+    for some in (often.select(F.col("gram").alias("hash")), owners):
+        bits, flags = bitmap(some, some.count(), flags_each=16)
         held.append((bits, spark.sparkContext.broadcast(flags)))
-    volume = mixed.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
-    sample = seen.where("sampled is not null").join(mixed.select("gram"), "gram", "left_semi").select("sampled", "head").orderBy("sampled", "head").limit(SAMPLE).collect()
-    heads = sorted(bytes(r["head"]) for r in sample)
-    ranges = max(1, min(math.ceil(volume / RANGE), len(heads)))
-    splitters = sorted({heads[i * len(heads) // ranges] for i in range(1, ranges)})
+    splitters = _splitters(seen, mixed, gram)
     work = materialize(docs.mapInArrow(_runs(length, gram, *held, splitters), RUNS), "runs")
     for _, sent in held:
         sent.destroy()
-    dealt = work.where("part is not null").select("part", "run").repartition(len(splitters) + 1, "part").sortWithinPartitions("part")
-    small_batches(spark, 16)  # a row is a part of a run here
-    found = materialize(dealt.mapInArrow(_merge_ranges(length, gram, splitters), MARKS), "marks")
-    small_batches(spark, ROWS)
-    # windows of the groups that no task holds whole; a stretch in several runs counts once
-    windows = found.where("hashes is not null").dropDuplicates(["name"]).select("name", F.posexplode("hashes").alias("j", "hash"))
-    several = windows.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
-    open_ = windows.join(several, "hash", "left_semi").select("name", F.array("j").alias("lows"), F.array("j").alias("highs"))
-    some = found.where("hashes is null").select("name", "lows", "highs").union(open_)
+    # the grams whose group a splitter cuts, at the ranges on either side of it
+    ends: list[list[bytes]] = [[] for _ in range(len(splitters) + 1)]
+    for i, (head, _) in enumerate(splitters):
+        if len(head) > gram:
+            ends[i].append(head[:gram])
+            ends[i + 1].append(head[:gram])
+    cuts = spark.createDataFrame([(i, e) for i, e in enumerate(ends)], "part int, ends array<binary>")
+    dealt = work.where("part is not null").select("part", "run").join(F.broadcast(cuts), "part")
+    dealt = dealt.repartition(len(splitters) + 1, "part").sortWithinPartitions("part")
+    with batch_rows(spark, 16):  # a row is a part of a run here
+        found = materialize(dealt.mapInArrow(_merge_ranges(length, gram), MARKS), "marks")
+    some = found.where("size(lows) > 0").select("name", "lows", "highs")
+    left = found.where("top is not null")
+    if not left.isEmpty():
+        order = [F.substring("head", 1, gram), F.col("rear"), F.col("name")]
+        lined = left.dropDuplicates(["name"]).repartitionByRange(*order).sortWithinPartitions(*order)
+        windows = materialize(lined.mapInArrow(_open_windows(length, gram), "name long, j int, hash long"), "windows")
+        several = windows.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
+        some = some.union(windows.join(several, "hash", "left_semi").select("name", F.array("j").alias("lows"), F.array("j").alias("highs")))
     # a stretch that stands twice is repeated in all its windows
-    whole = names.where("n > 1").select("name", F.lit(None).cast("array<int>").alias("lows"), F.lit(None).cast("array<int>").alias("highs"))
+    most = max(HOT_PLACES, names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_NAMES)
+    hot = F.broadcast(names.where(f"n > {most}").select("name"))
+    none = F.lit(None).cast("array<int>")
+    whole = names.where(f"n > 1 and n <= {most}").select("name", none.alias("lows"), none.alias("highs"))
     each = some.union(whole).groupBy("name").agg(F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs"), F.max(F.col("lows").isNull()).alias("whole"))
     places = work.where("part is null").select("row_id", "name", "first", "windows")
-    lows = F.when(F.col("whole"), F.array(F.lit(0))).otherwise(F.col("lows")).alias("lows")
-    highs = F.when(F.col("whole"), F.array((F.col("windows") - 1).cast("int"))).otherwise(F.col("highs")).alias("highs")
-    return places.join(each, "name").groupBy("row_id").agg(F.collect_set(F.struct("first", lows, highs)).alias("marks"))
+    all_ = (F.array(F.lit(0)), F.array((F.col("windows") - 1).cast("int")))
+    lows, highs = (F.when(F.col("whole"), a).otherwise(F.col(c)).alias(c) for a, c in zip(all_, ("lows", "highs"), strict=True))
+    cold = places.join(hot, "name", "left_anti").join(each, "name").select("row_id", "first", lows, highs)
+    marked = cold.union(places.join(hot, "name", "left_semi").select("row_id", "first", *all_))
+    return marked.groupBy("row_id").agg(F.collect_set(F.struct("first", "lows", "highs")).alias("marks"))
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: list[str] | None = None) -> DataFrame:
