@@ -5,19 +5,23 @@ rest is a remainder of 1..capacity-1 ids. What the driver sees is a histogram of
 `capacity` numbers whatever the input. It fills one window at a time: the longest remaining length goes
 in, and a subset-sum dynamic program over Python integers used as bitsets finds the largest sum of the
 remaining multiset that fits beside it; backtracking through the kept bitsets gives how many of each
-length. The pattern is used as often as the counts allow, so there are at most a few thousand patterns.
-Where the closest sum leaves slack, a remaining longer piece is cut to fill it; what is left at the very
-end is cut into sequences of a power of two, which need no padding. Pieces get their place by their rank
-within their length, ranks coming from counts by (length, salt), so that no task holds a hot length.
+length. Where the closest sum leaves slack, a remaining longer piece is cut to fill it. The pattern, its cut
+with it, is used as often as the counts allow, so the number of patterns depends on the lengths that occur and
+not on how often they do. What is left at the very end is cut into sequences of a power of two, which need no
+padding. Pieces get their place by their rank within their length, ranks coming from counts by (length,
+salt), so that no task holds a hot length; they meet placements by (length, block of ranks).
 
 Null text counts as empty (a piece of the end id alone). Repeated rows are packed each on its own, also
-under a shared or null doc_id. An empty table gives an empty result. Other columns are not read.
+under a shared or null doc_id. A text of any length is encoded whole. An empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,25 +34,25 @@ from mattework.llm.shared import materialize, small_batches
 
 CAPACITY = 1024
 END_ID = 0
-#: Pieces of one length are ranked in so many parts.
-SALTS = 64
+#: Pieces of one length are ranked in so many parts, those of whole windows in more.
+SALTS, FULL_SALTS = 64, 2048
+#: Cut pieces whose documents are found by a broadcast of their ids; more are joined.
+FEW = 50_000
 
 
 @dataclass(frozen=True)
 class Placement:
-    """Ranks [first, last) of a length: the r-th goes to sequence seq + (r-first)//per at offset + (r-first)%per*length.
-
-    cut: lengths into which the (one) piece is cut; it then is no placement itself, its parts have lengths
-    and ranks of their own and are placed by `parts`: (start within the piece, length, seq, offset).
-    """
+    """Ids [start, start + size) of the pieces of a length with ranks [first, last): those of the r-th go to sequence
+    seq + (r-first)//per at offset + (r-first)%per*size. A piece that is cut has a placement for each part."""
 
     length: int
     first: int
     last: int
+    start: int
+    size: int
     seq: int
     offset: int
-    per: int
-    parts: tuple[tuple[int, int, int, int], ...] = ()
+    per: int = 1
 
 
 def closest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -72,79 +76,81 @@ def closest(counts: dict[int, int], room: int) -> dict[int, int]:
 
 
 class _Pool:
-    """Counts of what remains of each length, split into pieces by rank and into cut-off ends."""
+    """What remains: for each size the runs (length, first rank, number, start) of equal parts of pieces."""
 
     def __init__(self, histogram: dict[int, int]):
         self.counts = {k: v for k, v in histogram.items() if v}
-        self.next = dict.fromkeys(histogram, 0)
-        self.whole = dict(self.counts)  # ranks not yet given out
-        self.ends: dict[int, list[tuple[int, int, int]]] = {}  # length -> (origin length, origin rank, start)
-        self.cuts: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        self.runs = {k: deque([(k, 0, v, 0)]) for k, v in self.counts.items()}
         self.out: list[Placement] = []
 
-    def used(self, length: int, n: int):
-        self.counts[length] -= n
-        if not self.counts[length]:
-            del self.counts[length]
-
-    def place(self, length: int, per: int, times: int, seq: int, offset: int):
-        """per pieces of the length in each of `times` sequences from seq on."""
-        self.used(length, per * times)
-        if times == 1:
-            for _ in range(per):
-                if ends := self.ends.get(length):
-                    at, rank, start = ends.pop()
-                    self.cuts[at, rank].append((start, length, seq, offset))
-                else:
-                    r = self.next[length]
-                    self.out.append(Placement(length, r, r + 1, seq, offset, 1))
-                    self.next[length], self.whole[length] = r + 1, self.whole[length] - 1
-                offset += length
-        else:
-            r = self.next[length]
-            self.out.append(Placement(length, r, r + per * times, seq, offset, per))
-            self.next[length], self.whole[length] = r + per * times, self.whole[length] - per * times
-
-    def cut(self, length: int, take: int, seq: int, offset: int):
-        """The first `take` ids of a piece of this length go to the sequence; the others become a new piece."""
-        self.used(length, 1)
-        if ends := self.ends.get(length):
-            at, rank, start = ends.pop()
-        else:
-            at, rank, start = length, self.next[length], 0
-            self.next[length], self.whole[length] = rank + 1, self.whole[length] - 1
-            self.cuts[at, rank] = []
-        self.cuts[at, rank].append((start, take, seq, offset))
-        if length > take:
-            self.ends.setdefault(length - take, []).append((at, rank, start + take))
-            self.counts[length - take] = self.counts.get(length - take, 0) + 1
+    def take(self, size: int, n: int):
+        """Runs of n parts of this size, which are then no longer there."""
+        self.counts[size] -= n
+        if not self.counts[size]:
+            del self.counts[size]
+        while n:
+            length, first, have, start = self.runs[size].popleft()
+            if have > n:
+                self.runs[size].appendleft((length, first + n, have - n, start))
+            got = min(have, n)
+            yield length, first, got, start
+            n -= got
+
+    def place(self, size: int, per: int, times: int, seq: int, offset: int):
+        """per parts of the size in each of `times` sequences from seq on."""
+        at = 0
+        for length, first, n, start in self.take(size, per * times):
+            while n:  # whole sequences at once, the parts before and after them one by one
+                many = n // per * per if at % per == 0 and n >= per else 1
+                self.out.append(Placement(length, first, first + many, start, size, seq + at // per, offset + at % per * size, per if many > 1 else 1))
+                at, first, n = at + many, first + many, n - many
+
+    def cut(self, size: int, take: int, times: int, seq: int, offset: int):
+        """The first ids of a part of this size fill each of `times` sequences; the others become new parts."""
+        at = 0
+        for length, first, n, start in self.take(size, times):
+            self.out.append(Placement(length, first, first + n, start, take, seq + at, offset))
+            self.runs.setdefault(size - take, deque()).append((length, first, n, start + take))
+            self.counts[size - take] = self.counts.get(size - take, 0) + n
+            at += n
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Placement]:
     """Placements for all pieces of the histogram {length: count}, lengths 1..capacity."""
     pool, seq = _Pool(histogram), 0
     if full := pool.counts.get(capacity):
-        pool.place(capacity, 1, full, 0, 0) if full > 1 else pool.place(capacity, 1, 1, 0, 0)
+        pool.place(capacity, 1, full, 0, 0)
         seq = full
     while pool.counts:
         if sum(k * v for k, v in pool.counts.items()) <= capacity:
             break
-        top = max(pool.counts)
-        rest = dict(pool.counts)
-        rest[top] -= 1
-        pattern = closest(rest, capacity - top)
-        pattern[top] = pattern.get(top, 0) + 1
-        slack = capacity - sum(k * v for k, v in pattern.items())
-        times = 1 if slack else max(1, min(pool.whole.get(k, 0) // v for k, v in pattern.items()))
+        # sizes with many parts first, so that patterns are used often; all sizes where those leave nothing to cut
+        for least in (max(pool.counts.values()) // 2, 0):
+            rest = {k: v for k, v in pool.counts.items() if v > least}
+            top = max(rest)
+            rest[top] -= 1
+            pattern = closest(rest, capacity - top)
+            pattern[top] = pattern.get(top, 0) + 1
+            slack = capacity - sum(k * v for k, v in pattern.items())
+            fillers = [(v // (pattern.get(k, 0) + 1), k) for k, v in pool.counts.items() if k >= slack and v > pattern.get(k, 0)]
+            if not slack or fillers:
+                break
+        need, filler = dict(pattern), 0
+        if slack:  # cut the part that is there most often, or use one as it is
+            filler = max(fillers)[1]
+            need[filler] = need.get(filler, 0) + 1
+        times = min(pool.counts[k] // v for k, v in need.items())
         offset = 0
-        for length, per in sorted(pattern.items(), reverse=True):
-            pool.place(length, per, times, seq, offset)
-            offset += length * per
-        if slack and pool.counts:  # every piece that is left is longer than the slack
-            pool.cut(min(pool.counts), slack, seq, capacity - slack)
+        for size, per in sorted(pattern.items(), reverse=True):
+            pool.place(size, per, times, seq, offset)
+            offset += size * per
+        if slack and slack == filler:
+            pool.place(filler, 1, times, seq, offset)
+        elif slack:
+            pool.cut(filler, slack, times, seq, offset)
         seq += times
     rest = sum(k * v for k, v in pool.counts.items())
-    while rest:  # less than a window: sequences of a power of two
+    while rest:  # a window at most: sequences of a power of two
         size = capacity if rest == capacity else 1 << (rest.bit_length() - 1)
         offset = 0
         while offset < size:
@@ -153,12 +159,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Placement]
             if take == length:
                 pool.place(length, 1, 1, seq, offset)
             else:
-                pool.cut(length, take, seq, offset)
+                pool.cut(length, take, 1, seq, offset)
             offset += take
         rest -= size
         seq += 1
-    cut = [Placement(k, r, r + 1, -1, 0, 1, tuple(sorted(parts))) for (k, r), parts in pool.cuts.items()]
-    return pool.out + cut
+    return pool.out
+
+
+def blocks_of(placements: list[Placement], total: dict[int, int]) -> tuple[dict[int, int], list[tuple]]:
+    """By how many bits ranks of a length are cut into blocks, and the placements by (length, block): as many
+    blocks as placements at most, so a rank meets few placements and there are about twice as many rows."""
+    number: dict[int, int] = {}
+    for p in placements:
+        number[p.length] = number.get(p.length, 0) + 1
+    shift = {k: max(0, (n // number[k]).bit_length()) for k, n in total.items()}
+    return shift, [(p.length, block, p.first, p.last, p.start, p.size, p.seq, p.offset, p.per) for p in placements for block in range(p.first >> shift[p.length], (p.last - 1 >> shift[p.length]) + 1)]
 
 
 # --- token ids ---------------------------------------------------------------------------------
@@ -169,11 +184,14 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, as the tokenizers library gives them for the file.
 
-    Where the file's ids follow the order of its merges, tiktoken gives the same ids from the same
-    vocabulary three times as fast; texts with an added token in them, and other files, go to the library.
+    Where the file is a byte-level BPE whose ids follow the order of its merges and PROBES come out alike, tiktoken
+    gives the library's ids from the same vocabulary five times as fast. Other files, texts with an added token in
+    them and texts with a very long run of one kind go to the library itself.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    LONG, RUN = 50_000, re.compile(r"\s{5000}|\S{5000}")
+    PROBES = ("", " ", "a", " a b  c\n\n d\t", "It's I'll we've'd 'S", "x\u00a0\u2003y\u3000z \u200b", "\u00e9e\u0301 \u00df\u0130\u01c5 \u0645\u0631\u062d\u0628\u0627 \u4f60\u597d \U0001f600\ufe0f", "12 \u0664\u00b2\u2163 3.5e-7", "#!? ...--__//", "\x00\x1c\x85\u2028 end  ")
 
     def __init__(self, path: str):
         import json
@@ -185,20 +203,27 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = None
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        vocab, merges = told["model"]["vocab"], told["model"]["merges"]
+        split, model = told.get("pre_tokenizer") or {}, told["model"]
+        if split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space", True) or told.get("normalizer") or model["type"] != "BPE":
+            return
+        vocab, merges = model["vocab"], model["merges"]
         made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
-        self.fast = None
-        if made == sorted(made) and (told["pre_tokenizer"] or {}).get("use_regex") and not told["normalizer"]:
-            back = {s: b for b, s in enumerate(byte_symbols())}
-            ranks = {bytes(back[c] for c in token): i for token, i in vocab.items()}
-            self.fast = tiktoken.Encoding("of-file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        back = {s: b for b, s in enumerate(byte_symbols())}
+        if made == sorted(made) and not model.get("ignore_merges") and not model.get("dropout"):
+            ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+            fast = tiktoken.Encoding("of-file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            if all(fast(x) == self.library(x) for x in self.PROBES):
+                self.fast = fast
+
+    def library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is None or any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.array(self.fast(text), "<u4").tobytes()
+        slow = self.fast is None or any(x in text for x in self.special) or (len(text) > self.LONG and self.RUN.search(text))
+        return np.array(self.library(text) if slow else self.fast(text), "<u4").tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -238,17 +263,18 @@ PACKED_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequenc
 
 
 def _recut(path: str, end: bytes):
-    """The parts of the few pieces that the plan cuts, from their documents' texts."""
+    """The parts of the pieces that the plan cuts, from their documents' texts; rows of one text follow each other."""
 
     def run(batches):
         encode = encoder(path)
+        at, ids = None, b""
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                ids = encode(r["text"] or "") + end
-                for p in r["parts"]:
-                    at = r["start"] + p["start"]
-                    rows.append((r["doc_id"], at, p["length"], zlib.crc32(ids[4 * at : 4 * (at + p["length"])]), r["doc_tokens"], p["seq"], p["offset"]))
+            columns = (batch[c].to_pylist() for c in ("doc_id", "row_id", "start", "size", "sequence_id", "offset"))
+            for doc, row, start, size, seq, offset, text in zip(*columns, batch["text"], strict=True):
+                if row != at:
+                    at, ids = row, encode(text.as_py() or "") + end
+                rows.append((doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), len(ids) // 4, seq, offset))
             yield _batch(rows, PACKED_NAMES)
 
     return run
@@ -261,26 +287,29 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     end = struct.pack("<I", end_id)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("row_id"))
     pieces = materialize(docs.mapInArrow(_pieces(tokenizer_path, capacity, end), PIECES), "pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_id", "start"), F.lit(SALTS)))
-    counts = salted.groupBy("length", "salt").count().collect()  # capacity x SALTS rows at most
+    salts = F.when(F.col("length") == capacity, FULL_SALTS).otherwise(SALTS)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_id", "start"), salts))
+    counts = salted.groupBy("length", "salt").count().collect()  # capacity x SALTS + FULL_SALTS rows at most
     base, total = [], {}
     for length, salt, n in sorted(tuple(r) for r in counts):
         base.append((length, salt, total.get(length, 0)))
         total[length] = total.get(length, 0) + n
-    placements = plan(total, capacity)
-    bases = spark.createDataFrame(base, "length long, salt long, base long")
-    place = spark.createDataFrame(
-        [(p.length, p.first, p.last, p.seq, p.offset, p.per, [*p.parts]) for p in placements],
-        "length long, first long, last long, seq long, at long, per long, parts array<struct<start:long,length:long,seq:long,offset:long>>",
-    )
+    shift, places = blocks_of(plan(total, capacity), total)
+    bases = spark.createDataFrame([(*b, shift[b[0]]) for b in base], "length long, salt long, base long, shift int")
+    place = spark.createDataFrame(places, "length long, block long, first long, last long, from long, size long, seq long, at long, per long")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "row_id", "start")
     ranked = salted.withColumn("nth", F.row_number().over(order) - 1).join(F.broadcast(bases), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("nth"))
+    ranked = ranked.withColumn("block", F.expr("shiftright(rank, shift)"))
     # both tables are bounded by capacity, not by the input
-    placed = ranked.join(F.broadcast(place), (ranked["length"] == place["length"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).drop(place["length"])
-    placed = materialize(placed.select("doc_id", "row_id", "start", "length", "ids_crc32", "doc_tokens", "first", "rank", "seq", "at", "per", "parts"), "placed")
+    placed = ranked.join(F.broadcast(place), ["length", "block"]).where("rank >= first and rank < last")
     step = F.col("rank") - F.col("first")
-    whole = placed.where("seq >= 0").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("seq") + F.floor(step / F.col("per"))).cast("long").alias("sequence_id"), (F.col("at") + step % F.col("per") * F.col("length")).cast("long").alias("offset"))
-    few = placed.where("seq < 0").select("row_id", "start", "doc_tokens", "parts", F.col("doc_id").alias("id"))  # a few thousand rows at most
-    texts = docs.join(F.broadcast(few.select("row_id").distinct()), "row_id", "left_semi").dropDuplicates(["row_id"]).select("row_id", "text")
-    cut = texts.join(F.broadcast(few), "row_id").select(F.col("id").alias("doc_id"), "text", "start", "doc_tokens", "parts")
-    return whole.unionByName(cut.mapInArrow(_recut(tokenizer_path, end), PACKED))
+    seq, at = (F.col("seq") + F.floor(step / F.col("per"))).cast("long"), (F.col("at") + step % F.col("per") * F.col("size")).cast("long")
+    placed = placed.select("doc_id", "row_id", (F.col("start") + F.col("from")).alias("start"), "length", "size", "ids_crc32", "doc_tokens", seq.alias("sequence_id"), at.alias("offset"))
+    placed = materialize(placed, "placed")
+    whole = placed.where("size = length").select(*PACKED_NAMES)
+    parts = materialize(placed.where("size < length").select("doc_id", "row_id", "start", "size", "sequence_id", "offset"), "parts")
+    few = parts.select("row_id").distinct()
+    small = parts.count() <= FEW
+    texts = docs.select("row_id", "text").join(F.broadcast(few) if small else few, "row_id", "left_semi").dropDuplicates(["row_id"])
+    found = texts.join(F.broadcast(parts) if small else parts, "row_id")
+    return whole.unionByName(found.mapInArrow(_recut(tokenizer_path, end), PACKED))
