@@ -1,6 +1,7 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A byte (A-Z in lower case) is eight binary decisions, from the high bit down; a decision's node is the bits
+A text is its bytes (A-Z in lower case) and one end, a byte that UTF-8 never has, so that the probabilities of all
+texts add up to at most 1. A byte is eight binary decisions, from the high bit down; a decision's node is the bits
 before it. For each node there is a context tree over the DEPTH bytes before, nearest first (zero bytes
 before a text's start). Every tree node s has counts (a, b) of zeros and ones, its Krichevsky-Trofimov
 block probability Pe(s), and the weighted probability Pw(s) = Pe(s)/2 + (product of Pw of its children)/2;
@@ -15,12 +16,14 @@ if there are at most GRAMS; beyond that, each document's gram counts are joined
 
 The base is a unigram model of words with add-one smoothing. Its vocabulary is broadcast if it has at most
 VOCABULARY words; beyond that, each document's word counts are joined with it. Words are compared by
-64-bit hashes. Null counts as empty: one token (the end), score 0. An empty training set scores every bit
-as 1/2. Repeated rows are scored each; null doc_ids are training rows.
+64-bit hashes. Null counts as empty: one token (the end) and the end's score. An empty training set scores every bit
+as 1/2. Repeated rows are scored each; null doc_ids are training rows. Texts of any length are scored whole, in
+blocks of whole texts. An empty table gives an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -33,25 +36,27 @@ from mattework.llm.langid import fold_of
 from mattework.llm.shared import materialize, small_batches
 
 DEPTH = 5
+#: The end of a text.
+LAST = 0xFF
 GRAMS = 6_000_000
 VOCABULARY = 6_000_000
 END = int(mix(np.array([0xE0D], U))[0].astype(np.int64))
 
 
-def grams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each byte with the DEPTH before it: byte | nearest << 8 | ... ; zeros before a text's start."""
-    low = LOWER[data].astype(U)
+def grams_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte of the texts and of their ends with the DEPTH before it: byte | nearest << 8 | ... ; zeros before a
+    text's start. And the offsets of the texts into these."""
+    low = np.insert(LOWER[data], offsets[1:], LAST).astype(U)
+    offsets = offsets + np.arange(len(offsets))
     out = low.copy()
     for j in range(1, DEPTH + 1):
         before = np.zeros_like(low)
-        before[j:] = low[:-j] if j < len(low) else 0
-        if j >= len(low):
-            before[:] = 0
+        before[j:] = low[: max(0, len(low) - j)]
         for i in range(j):  # the first j bytes of a text have fewer before them
             at = offsets[:-1] + i
             before[at[at < offsets[1:]]] = 0
         out |= before << U(8 * j)
-    return out
+    return out, offsets
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -143,8 +148,9 @@ def _count_grams(batches):
 
     for batch, data, offsets in text_blocks(batches):
         mark = np.asarray(batch["held_out"].to_pylist(), U) << U(48)
-        held.append(grams_of(data, offsets) | np.repeat(mark, np.diff(offsets)))
-        size += len(data)
+        found, at = grams_of(data, offsets)
+        held.append(found | np.repeat(mark, np.diff(at)))
+        size += len(found)
         if size > 6 << 20:
             yield out()
             held, size = [], 0
@@ -249,7 +255,7 @@ def _score_blob(batches):
         yield pa.record_batch([pa.array([np.asarray(batch[c]).tobytes()], pa.binary()) for c in ("gram", "score")], ["grams", "scores"])
 
 
-SCORED = "doc_id long, held_out boolean, row_id long, n_tokens long, n_known long, base_score double, score double"
+SCORED = "doc_id long, held_out boolean, row_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(held, tokens: int, kinds: int):
@@ -263,9 +269,10 @@ def _score(held, tokens: int, kinds: int):
             end = int(counts[at]) if at < len(hashes) and hashes[at] == END else 0
         for batch, data, offsets in text_blocks(batches):
             score = np.zeros(batch.num_rows)
-            if table is not None and len(data):
-                new, back = np.unique(grams_of(data, offsets).astype(np.int64), return_inverse=True)
-                score = sums_by(table[1][np.searchsorted(table[0], new)][back], offsets)
+            if table is not None:
+                found, ends = grams_of(data, offsets)
+                new, back = np.unique(found.astype(np.int64), return_inverse=True)
+                score = sums_by(table[1][np.searchsorted(table[0], new)][back], ends)
             names, at = words_of(data, offsets)
             n = np.diff(at) + 1
             known, base = np.zeros(len(n), np.int64), np.zeros(len(n))
@@ -278,7 +285,7 @@ def _score(held, tokens: int, kinds: int):
                 known = sums_by(c > 0, at) + (end > 0)
                 logs = np.log10(c + 1.0) - below
                 base = np.array([logs[at[i] : at[i + 1]].sum() for i in range(len(n))]) + (np.log10(end + 1.0) - below)
-            yield pa.record_batch([batch["doc_id"], batch["held_out"], batch["row_id"], pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "row_id", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.record_batch([batch["doc_id"], batch["held_out"], batch["row_id"], pa.array(np.diff(offsets)), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "row_id", "n_bytes", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -293,13 +300,15 @@ def _word_rows(batches):
 def _gram_rows(batches):
     for batch, data, offsets in text_blocks(batches):
         # grams have 48 bits, and a block has at most 2**16 rows (small_batches)
-        each, n = np.unique(grams_of(data, offsets) | np.repeat(np.arange(batch.num_rows), np.diff(offsets)).astype(U) << U(48), return_counts=True)
+        found, at = grams_of(data, offsets)
+        each, n = np.unique(found | np.repeat(np.arange(batch.num_rows), np.diff(at)).astype(U) << U(48), return_counts=True)
         owner = np.asarray(batch["row_id"])[(each >> U(48)).astype(np.int64)]
         yield pa.record_batch([pa.array(owner), pa.array((each & U((1 << 48) - 1)).astype(np.int64)), pa.array(n.astype(np.int64))], ["row_id", "gram", "k"])
 
 
 def score_texts(docs: DataFrame, vocabulary: int = VOCABULARY, grams: int = GRAMS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs(doc_id, text).
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of
+    docs(doc_id, text). bits_per_byte is the code length of the text and its end by their number of bytes.
 
     Learned from the rows with crc32(doc_id as text) mod 7 other than 2.
     """
@@ -332,4 +341,4 @@ def score_texts(docs: DataFrame, vocabulary: int = VOCABULARY, grams: int = GRAM
         per = docs.select("row_id", "text").dropDuplicates(["row_id"]).mapInArrow(_gram_rows, "row_id long, gram long, k long")
         joined = per.join(scores, "gram").groupBy("row_id").agg(F.sum(F.col("k") * F.col("score")).alias("score"))
         scored = scored.drop("score").join(joined, "row_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") / F.lit(math.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
