@@ -1,6 +1,6 @@
 """Near-duplicate detection by DartMinHash.
 
-A document is the set (or multiset) of its word shingles. Darts are thrown by hashing at the regions of
+A document is the multiset of its word shingles: a shingle weighs as much as often as it stands there. Darts are thrown by hashing at the regions of
 each element: the weight axis is cut into cells [0,1), [1,2), [2,4), ..., and in each cell darts arrive as
 a Poisson process along the rank axis, each with a hashed rank, weight and coordinate. A dart hits if its
 weight is below the element's. Only ranks below (k ln k + 2k) / total weight are thrown, twice as many
@@ -9,8 +9,8 @@ dart of each of the k coordinates is the signature; two documents agree in a coo
 probability of their weighted Jaccard similarity.
 
 Signatures are cut into bands of `rows` coordinates. Two documents with a similarity of 0.8 share none of
-the 20 bands of 4 with a probability of 3e-5. Every link is decided by the exact Jaccard similarity of
-the shingle sets (held as 32-bit hashes):
+the 20 bands of 4 with a probability of 3e-5. Every link is decided by the exact weighted Jaccard similarity
+of the multisets, held as sets of 32-bit hashes of (shingle, how many of it stood before):
 
 1. Documents of the same words in the same order are one from the start.
 2. In each bucket everyone is compared with the least member, then links give components.
@@ -25,8 +25,8 @@ So a group of many thousand near copies costs a few rows a member. Step 3 has no
 of many components costs m**2 / 2 signature comparisons, spread over pairs of blocks.
 
 Null and empty texts, and texts of white space alone, have no shingle and no link. A text of less than
-five words is one shingle. Repeated rows (also of one doc_id) are copies of each other. An empty table
-gives an empty result. Columns other than doc_id and text are not read.
+five words is one shingle. Repeated rows (also of one doc_id) are copies of each other. Texts are worked on whole,
+however long. An empty table gives an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -44,13 +44,15 @@ from mattework.llm.shared import bitmap, components, flagged, materialize, small
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Standard deviations below the threshold at which signatures rule a pair out.
-MARGIN = 4.0
+MARGIN = 5.0
 #: Members of a bucket that one task compares with one another.
 BLOCK = 1024
 #: Members of a bucket that is a group by itself.
 SMALL = 256
 #: Partners in a block that a member lists; a member of more is compared with all such by a matrix product.
 FEW = 8
+#: Groups of more than BLOCK members whose numbers are broadcast; those of more groups are joined.
+LARGE_GROUPS = 100_000
 _WEIGHT, _SLOT, _STEP = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3)
 
 
@@ -132,6 +134,20 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
     return span_hash(sums, first, last), to, whole
 
 
+def weighed(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each document, how often each stands there, the documents' offsets into both; and
+    for each shingle in the order (document, shingle) a hash of it and of the number of equal ones before."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    turn = np.arange(len(hashes)) - np.repeat(first, np.diff(np.append(first, len(hashes))))
+    single = np.where(turn > 0, mix(hashes + turn.astype(U) * _STEP), hashes)
+    return hashes[first], np.diff(np.append(first, len(hashes))).astype(np.float64), np.searchsorted(owner[first], np.arange(len(at))), single
+
+
 def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     n, k = signature.shape
     keys = np.zeros((n, k // rows), U)
@@ -147,7 +163,8 @@ def _sign(words: int, bands: int, rows: int):
     def run(batches):
         for batch, data, offsets in text_blocks(batches):
             hashes, at, whole = shingles(data, offsets, words)
-            signature = signatures(hashes, None, at, bands * rows)
+            elements, weights, of, _ = weighed(hashes, at)
+            signature = signatures(elements, weights, of, bands * rows)
             full = np.diff(at) > 0
             keys = band_keys(signature, rows).astype(np.int64)
             size = np.where(full, bands, 0)
@@ -167,7 +184,7 @@ def _sign(words: int, bands: int, rows: int):
 
 
 def _sets(words: int, bits: int, held):
-    """Sets of the documents whose flag is set, so that no other text moves."""
+    """Multisets of the documents whose flag is set, so that no other text moves."""
 
     def run(batches):
         flags = held.value
@@ -175,14 +192,14 @@ def _sets(words: int, bits: int, held):
             some = flagged(flags, bits, np.asarray(batch["spot"]))
             for part, data, offsets in text_blocks([batch.filter(pa.array(some))]):
                 hashes, at, _ = shingles(data, offsets, words)
-                short = (hashes >> U(32)).astype("<u4")
+                short = (weighed(hashes, at)[3] >> U(32)).astype("<u4")
                 yield pa.record_batch([part["doc_id"], pa.array([np.unique(short[at[i] : at[i + 1]]).tobytes() for i in range(len(at) - 1)], pa.binary())], ["id", "members"])
 
     return run
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, members): the shingle set of each document of ids(id), as sorted 32-bit hashes."""
+    """(id, members): the shingle multiset of each document of ids(id), as sorted 32-bit hashes."""
     spark = docs.sparkSession
     ids = materialize(ids.distinct(), "ids")
     bits, flags = bitmap(ids.select(F.xxhash64("id").alias("hash")), ids.count())
@@ -293,8 +310,9 @@ def _dense(threshold: float):
 
 def _blocks(members: DataFrame) -> DataFrame:
     """members(group, id) with each group in blocks; every pair of blocks (p, q) is one task's work."""
-    sizes = members.groupBy("group").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    place = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = materialize(members.groupBy("group").count().where(F.col("count") > BLOCK).select("group", F.ceil(F.col("count") / BLOCK).cast("int").alias("more")), "sizes")
+    place = members.join(F.broadcast(sizes) if sizes.count() <= LARGE_GROUPS else sizes, "group", "left").withColumn("blocks", F.coalesce("more", F.lit(1))).drop("more")
+    place = place.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     place = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return place.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("blocks", "other")
 
