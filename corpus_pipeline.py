@@ -16,6 +16,9 @@ from mattework.llm import dartminhash, exact, langid, packing, suffix
 from mattework.llm.queries import tokenizer_path
 from mattework.llm.shared import materialize, table
 
+#: Bytes from which a string that stands elsewhere is cut: 50 words of four letters and a space, so that a passage of
+#: more than 50 words is found in prose of usual words, while shorter lines stay.
+REPEAT = 250
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -52,8 +55,8 @@ def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every string of 400 bytes that also stands elsewhere; n_chars is that of the text that is left."""
-    cut = suffix.cut_repeats(docs, keep=["lang", "source", "n_chars"])
+    """Cuts every string of REPEAT bytes that also stands elsewhere; n_chars is that of the text that is left."""
+    cut = suffix.cut_repeats(docs, length=REPEAT, keep=["lang", "source", "n_chars"])
     left = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "rest.lang", "rest.source", left.alias("n_chars"))
 
