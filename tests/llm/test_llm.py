@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -38,8 +39,6 @@ def empty(spark):
 
 
 def test_exact(docs, empty):
-    import re
-
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     got, all_ = exact.exact_groups(docs).collect(), docs.collect()
     for r in got:
@@ -64,6 +63,37 @@ def test_dart_signatures_estimate_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - w[:120].sum() / w.sum()) < 0.06
 
 
+@pytest.mark.parametrize("limits", [{}, {"FEW": 0, "BLOCK": 4, "SMALL": 2, "LARGE_GROUPS": 0}])
+def test_near_against_all_pairs(spark, monkeypatch, limits):
+    """Classes are the components of all pairs with a weighted Jaccard similarity of shingle counts of 0.8 or more."""
+    for name, value in limits.items():
+        monkeypatch.setattr(dartminhash, name, value)
+    rng = random.Random(21)
+    texts = []
+    for _ in range(12):
+        base = words(rng, 120).split()
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = words(rng, 1)
+            texts.append(" ".join(copy))
+    line = words(rng, 6)
+    texts += [" ".join([line] * n + [words(random.Random(n // 9), 30)]) for n in range(1, 30, 2)]
+    rng.shuffle(texts)
+    bags = []
+    for t in texts:
+        w = t.lower().split()
+        bags.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+    label = list(range(len(texts)))
+    for i in range(len(bags)):
+        for j in range(i):
+            if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total():
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {r.doc_id: r.class_id for r in dartminhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == label and 20 < len(set(label)) < len(label)
+
+
 def test_dense_step(docs, monkeypatch):
     monkeypatch.setattr(dartminhash, "FEW", 0)
     monkeypatch.setattr(dartminhash, "BLOCK", 2)
@@ -88,16 +118,43 @@ def test_suffix(docs, empty, monkeypatch):
     assert sorted((tuple(r) for r in suffix.removed_bytes(docs).collect()), key=repr) == got
 
 
+@pytest.mark.parametrize(("group", "share", "hot"), [(8192, 20_000, 1000), (2, 7, 1), (1, 3, 2)])
+def test_suffix_groups_that_are_cut(spark, monkeypatch, group, share, hot):
+    """Passages and near copies in very many documents; ranges, groups and hot names of any size give one result."""
+    for name, value in (("GROUP", group), ("RANGE", share), ("SAMPLED", 1), ("HOT_PLACES", hot), ("HOT_NAMES", 10**9), ("WINDOWS", 50)):
+        monkeypatch.setattr(suffix, name, value)
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    short, long, base = text(34), text(90), text(200)
+    texts = [text(60) + (short if i % 2 else long) + text(60) for i in range(60)] + ["", None, base, base]
+    for _ in range(40):
+        at = rng.randrange(200)
+        texts.append(base[:at] + text(rng.randint(0, 2)) + base[at + 1 :])
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + 40] for b in raws for i in range(len(b) - 39))
+    want = {}
+    for k, b in enumerate(raws):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 39):
+            if seen[b[i : i + 40]] > 1:
+                gone[i : i + 40] = True
+        want[k] = (int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = suffix.cut_repeats(docs, length=40, gram=8).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
+
+
 def test_loser_tree_merges_front_coded_runs():
     rng = random.Random(1)
-    runs = [sorted((bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))), b"", i, 1) for i in range(40)) for _ in range(5)]
+    some = lambda n: bytes(rng.choice(b"ab") for _ in range(rng.randint(0, n)))
+    runs = [sorted((some(9), some(3), i) for i in range(40)) for _ in range(5)]
     merged = list(suffix.merge([suffix.front_decode(suffix.front_code(r)) for r in runs]))
-    assert [m[0] for m in merged] == sorted(e[0] for r in runs for e in r)
+    assert [(m[0], m[2]) for m in merged] == sorted(e[:2] for r in runs for e in r)
     for a, b in zip(merged, merged[1:], strict=False):
         assert b[1] == suffix._common(a[0], b[0], 0)
 
 
-def test_packing(docs, empty):
+def test_packing(docs, empty, monkeypatch):
     from tokenizers import Tokenizer
 
     path = tokenizer_path("byte_bpe_50k.json")
@@ -119,6 +176,55 @@ def test_packing(docs, empty):
             at += p.length
         assert at == 1024 or at & (at - 1) == 0
     assert packing.pack(empty, path).count() == 0
+    monkeypatch.setattr(packing, "FEW", 0)
+    assert sorted(map(tuple, packing.pack(docs, path).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+
+
+def test_closest_against_all_subsets():
+    rng = random.Random(4)
+    for _ in range(200):
+        counts = {rng.randint(1, 12): rng.randint(0, 3) for _ in range(4)}
+        room = rng.randint(0, 30)
+        sums = {0}
+        for length, n in counts.items():
+            sums = {s + length * k for s in sums for k in range(n + 1)}
+        got = packing.closest(counts, room)
+        assert all(0 < n <= counts[k] for k, n in got.items()) and sum(k * n for k, n in got.items()) == max(s for s in sums if s <= room)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_places_each_id_once(seed):
+    rng = random.Random(seed)
+    most = (1, 3, 40)[seed % 3]
+    histogram = {rng.randint(1, 64): rng.randint(1, most) for _ in range(rng.randint(1, 40))}
+    placements, sequences, pieces = packing.plan(histogram, 64), {}, {}
+    shift, blocks = packing.blocks_of(placements, histogram)
+    for length, block, first, last, start, size, seq, offset, per in blocks:
+        for r in range(first, last):
+            if r >> shift[length] == block:
+                sequences.setdefault(seq + (r - first) // per, []).append((offset + (r - first) % per * size, size))
+                pieces.setdefault((length, r), []).append((start, size))
+    for kind, whole in ((sequences, lambda _, n: n == 64 or n & (n - 1) == 0), (pieces, lambda key, n: n == key[0])):
+        for key, parts in kind.items():
+            at = 0
+            for start, size in sorted(parts):
+                assert start == at
+                at += size
+            assert whole(key, at)
+    assert set(pieces) == {(k, r) for k, n in histogram.items() for r in range(n)}
+
+
+def test_plan_does_not_grow_with_the_rows():
+    assert len(packing.plan({600: 10**6})) < 100 and len(packing.plan({k: 10**6 - k for k in range(1, 1025)})) < 20_000
+
+
+def test_ids_of_very_long_runs():
+    encode = packing.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    mixed = "".join(chr(rng.choice([rng.randint(1, 0x2FF), rng.randint(0x3000, 0x9FFF), rng.randint(0x1F300, 0x1FAFF), 32, 10])) for _ in range(60_000))
+    assert encode.fast
+    for text in (" " * 2_000_000, "\n" * 300_000 + "a", "a" * 200_000, mixed):
+        assert np.frombuffer(encode(text), "<u4").tolist() == encode.library(text)
 
 
 def test_bpe(docs, empty):
@@ -156,7 +262,18 @@ def test_lcp_is_local():
 def test_ctw(docs, empty):
     got = {r.doc_id: r for r in ctw.score_texts(docs).collect() if r.doc_id is not None}
     joined = {r.doc_id: r for r in ctw.score_texts(docs, vocabulary=0).collect() if r.doc_id is not None}
-    assert got[0].n_tokens == 1 and got[0].score == 0.0 and got[4].score < 0
+    assert got[0].n_tokens == 1 and got[4].score < got[0].score < 0 and got[0].score == got[1].score
+    rows = docs.collect()
+    of = lambda r: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")] + [None]
+    learned = Counter(w for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for w in of(r))
+    total, kinds = sum(learned.values()), len(learned)
+    for r in rows:
+        if r.doc_id is not None and r.doc_id != 4 and all(c.isascii() or not c.isupper() for c in r.text or ""):
+            base = sum(math.log10((learned[w] + 1) / (total + kinds + 1)) for w in of(r))
+            told = got[r.doc_id]
+            assert abs(told.base_score - base) < 1e-6 * abs(base) and told.train_tokens == total and told.n_tokens == len(of(r))
+            assert told.n_known == sum(learned[w] > 0 for w in of(r)) and told.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+            assert abs(told.bits_per_byte + told.score / math.log10(2) / (len((r.text or "").encode()) + 1)) < 1e-9
     for i, r in got.items():
         assert r.n_known == joined[i].n_known and abs(r.base_score - joined[i].base_score) < 1e-6 * abs(r.base_score)
     assert ctw.score_texts(empty).count() == 0
@@ -207,11 +324,11 @@ def ctw_plain(train, texts):
 
 def test_ctw_scores_are_exact(spark):
     rng = random.Random(11)
-    rows = [(i, words(rng, 12)) for i in range(30)]
+    rows = [(i, words(rng, 12) if i else "") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     train = [t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     assert 0 < len(train) < len(rows)
-    want = ctw_plain(train, [t.encode() for _, t in rows])
+    want = ctw_plain([t + b"\xff" for t in train], [t.encode() + b"\xff" for _, t in rows])
     for limit in (ctw.GRAMS, 0):  # broadcast and joined
         got = {r.doc_id: r.score for r in ctw.score_texts(docs, grams=limit).collect()}
         assert all(abs(got[i] - want[i]) < 1e-8 * abs(want[i]) for i, _ in rows)
