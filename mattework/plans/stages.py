@@ -14,8 +14,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """df written to the folder in spark.checkpoint.dir (one of our own only where that is unset), and read."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
-        root = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='mattework-')}" if "dir" not in _own else "")
+        root = _own["dir"] = _own.get("dir") or f"file://{tempfile.mkdtemp(prefix='mattework-')}"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
