@@ -35,9 +35,22 @@ class Dialect:
         return f"mattework_{name}" if self.spark else name
 
     def series(self, n: str, alias: str) -> str:
-        """A lateral relation alias(i) of 0..n-1."""
+        """A relation alias(i) of 0..n-1."""
         return f"(SELECT explode(sequence(0, {n} - 1)) AS i) AS {alias}" if self.spark else f"(SELECT unnest(range(cast({n} as bigint))) AS i) AS {alias}"
 
+    def count(self, n: str, name: str) -> str:
+        """To stand after a FROM item: each of its rows for every name = 0..n-1, without a join in Spark."""
+        return f"LATERAL VIEW explode(sequence(0, {n} - 1)) v_{name} AS {name}" if self.spark else f"CROSS JOIN (SELECT unnest(range(cast({n} as bigint))) AS {name}) v_{name}"
+
+    def each(self, values: list, name: str) -> str:
+        """To stand after a FROM item: each of its rows for every name of a few literals."""
+        told = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+        return f"LATERAL VIEW explode(array({told})) v_{name} AS {name}" if self.spark else f"CROSS JOIN (SELECT unnest([{told}]) AS {name}) v_{name}"
+
+    def without(self, *columns: str) -> str:
+        """All columns but these."""
+        return f"* {'EXCEPT' if self.spark else 'EXCLUDE'} ({', '.join(columns)})"
+
     def unpack(self, array: str, alias: str) -> str:
         """(pos, val) of an array column, positions from 0."""
         return f"LATERAL VIEW posexplode({array}) {alias} AS pos, val" if self.spark else f", LATERAL (SELECT unnest(range(len({array}))) AS pos, unnest({array}) AS val) {alias}"

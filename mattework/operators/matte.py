@@ -47,19 +47,28 @@ def probability(d: Dialect, src: str, s: Settings) -> str:
 
 
 def spill(src: str) -> str:
-    """spill 0..: the key channel's lead, or the projection on the key's residual for a key without a lead."""
-    mean = "(qr + qg + qb) / 3e0"
-    norm = f"greatest(sqrt((qr - {mean}) * (qr - {mean}) + (qg - {mean}) * (qg - {mean}) + (qb - {mean}) * (qb - {mean})), 1e-4)"
-    pm = "(pr + pg + pb) / 3e0"
-    along = f"((pr - {pm}) * (qr - {mean}) + (pg - {pm}) * (qg - {mean}) + (pb - {pm}) * (qb - {mean})) / {norm}"
-    return add(key_terms(src), spill=f"CASE WHEN dom > 0.12e0 THEN greatest(lead_, 0e0) / greatest({of_key('star', 'pr', 'pg', 'pb')}, {num(1 / 255)}) ELSE {clip(along)} END")
+    """spill 0..1: the key channel's lead, or for a key without a lead what of the pixel's colour, its luma taken off,
+    lies along the key's (nothing for a gray key)."""
+    out = add(key_terms(src), plum=luma("pr", "pg", "pb"), qlum=luma("qr", "qg", "qb"))
+    out = add(out, qnorm="sqrt((qr - qlum) * (qr - qlum) + (qg - qlum) * (qg - qlum) + (qb - qlum) * (qb - qlum))")
+    along = "((pr - plum) * (qr - qlum) + (pg - plum) * (qg - qlum) + (pb - plum) * (qb - qlum)) / greatest(qnorm, 1e-4)"
+    lead = f"greatest(lead_, 0e0) / greatest({of_key('star', 'pr', 'pg', 'pb')}, {num(1 / 255)})"
+    return add(out, spill=f"CASE WHEN dom > 0.12e0 THEN {clip(lead)} WHEN qnorm < 1e-4 THEN 0e0 ELSE {clip(along)} END")
 
 
-def border(src: str, width: int) -> str:
-    """Pixels of the frame's border: width, but half the height or width at most."""
+#: Border pixels beyond which only every n-th is looked at. Fixed value.
+BORDER_MOST = 160_000
+
+
+def border(src: str, width: int, most: int = BORDER_MOST) -> str:
+    """Pixels of the frame's border: width, but half the height or width at most. Of more than `most`, every n-th in
+    the order top, bottom, left, right."""
     out = add(src, h_="max(y) OVER (PARTITION BY image_id, x) + 1", w_="max(x) OVER (PARTITION BY image_id, y) + 1")
     out = add(out, bw_=f"cast(least({width}, greatest(1, floor(h_ / 2e0)), greatest(1, floor(w_ / 2e0))) as int)")
-    return f"SELECT * FROM ({out}) b WHERE y < bw_ OR y >= h_ - bw_ OR x < bw_ OR x >= w_ - bw_"
+    out = f"SELECT * FROM ({out}) b WHERE y < bw_ OR y >= h_ - bw_ OR x < bw_ OR x >= w_ - bw_"
+    place = "CASE WHEN y < bw_ THEN y * w_ + x WHEN y >= h_ - bw_ THEN (y - h_ + 2 * bw_) * w_ + x WHEN x < bw_ THEN 2 * bw_ * w_ + (y - bw_) * bw_ + x ELSE 2 * bw_ * w_ + (h_ - 3 * bw_ + y) * bw_ + x - w_ + bw_ END"
+    out = add(out, place_=place, all_="2 * bw_ * w_ + 2 * bw_ * greatest(0, h_ - 2 * bw_)")
+    return f"SELECT * FROM ({out}) p WHERE all_ <= {most} OR place_ % greatest(1, cast(floor(all_ / {num(most)}) as int)) = 0"
 
 
 def candidates(src: str, s: Settings) -> str:
@@ -85,11 +94,15 @@ def hue_histogram(d: Dialect, src: str) -> str:
 
 def auto_color(d: Dialect, src: str) -> str:
     """image_id, hue, sr, sg, sb: the median of the cluster around the heaviest hue (the least of equals);
-    none where its channels lie within 28 levels, blended with the key where it is close to it."""
+    none where too few pixels are saturated or in the cluster, or its channels lie within 28 levels; blended with
+    the key where it is close to it."""
     h, sat, v = hsv(d, "r", "g", "b")
+    seen = f"SELECT image_id, r, g, b, kr, kg, kb, {h} AS hue, {sat} AS sat, {v} AS v FROM ({src}) s"
+    seen = f"SELECT *, sat >= 48 AND v >= 42 AS usable FROM ({seen}) u"
+    enough = f"SELECT image_id, count(*) AS total FROM ({seen}) e GROUP BY image_id HAVING count(*) FILTER (WHERE usable) >= greatest(24, floor(count(*) / 160e0))"
     top = f"SELECT image_id, hue AS top FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY weight DESC, hue) AS nth FROM ({hue_histogram(d, src)}) w) t WHERE nth = 1"
-    near = f"SELECT p.*, top FROM (SELECT image_id, r, g, b, kr, kg, kb, {h} AS hue, {sat} AS sat, {v} AS v FROM ({src}) s) p JOIN ({top}) t ON p.image_id = t.image_id WHERE sat >= 48 AND v >= 42 AND least(abs(hue - top), 180 - abs(hue - top)) <= 7"
-    out = f"SELECT image_id, top AS hue, min(kr) AS kr, min(kg) AS kg, min(kb) AS kb, {', '.join(f'{d.median(c)} AS m{c}' for c in 'rgb')} FROM ({near}) n GROUP BY image_id, top"
+    near = f"SELECT p.*, top, total FROM ({seen}) p JOIN ({top}) t ON p.image_id = t.image_id JOIN ({enough}) e ON p.image_id = e.image_id WHERE usable AND least(abs(hue - top), 180 - abs(hue - top)) <= 7"
+    out = f"SELECT image_id, top AS hue, min(kr) AS kr, min(kg) AS kg, min(kb) AS kb, {', '.join(f'{d.median(c)} AS m{c}' for c in 'rgb')} FROM ({near}) n GROUP BY image_id, top HAVING count(*) >= greatest(16, floor(min(total) / 220e0))"
     far = "sqrt((mr - kr) * (mr - kr) + (mg - kg) * (mg - kg) + (mb - kb) * (mb - kb))"
     return f"SELECT image_id, hue, {', '.join(d.rint(f'CASE WHEN {far} < 55e0 THEN 0.85e0 * m{c} + 0.15e0 * k{c} ELSE m{c} END') + f' AS s{c}' for c in 'rgb')} FROM ({out}) m WHERE greatest(mr, mg, mb) - least(mr, mg, mb) >= 28e0"
 
@@ -128,22 +141,21 @@ def morph(src: str, column: str, radius: int, out: str, dilate: bool = True) ->
 
 
 def gaussian(src: str, column: str, kernel: int, out: str) -> str:
-    """Separable Gaussian of 3 or 5 taps, sigma max(0.2, k/5), mirrored at the border without its pixel."""
+    """Separable Gaussian of an odd number of taps, sigma max(0.2, k/5), mirrored at the border without its pixel
+    (for lines longer than half the kernel; in a shorter one a place mirrored twice takes the pixel itself)."""
     if kernel <= 1:
         return add(src, **{out: column})
-    if kernel > 5:
-        raise ValueError("kernels of 3 or 5 taps are supported")
     sigma, r = max(0.2, kernel / 5), kernel // 2
     weights = [math.exp(-j * j / (2 * sigma * sigma)) for j in range(r + 1)]
     total = weights[0] + 2 * sum(weights[1:])
-    of = column
+    of, name = column, lambda j: f"{out}_{'b' if j < 0 else 'a'}{abs(j)}"
     for axis, at, made in ((ROW, "x", f"{out}_gx"), (COLUMN, "y", out)):
-        last = f"max({at}) OVER ({axis} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        steps = {name(j): f"{'lag' if j < 0 else 'lead'}({of}, {abs(j)}) OVER ({axis})" for j in range(-r, r + 1) if j}
+        src = f"SELECT *, {', '.join(f'{e} AS {at}_{c}' for c, e in steps.items())}, max({at}) OVER ({axis} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS {at}_{out}_end FROM ({src}) s"
+        tap = lambda j: f"{at}_{name(j)}" if j else of  # noqa: B023, E731
+        side = lambda j, place: f"coalesce({tap(j)}, CASE {place} {' '.join(f'WHEN {i} THEN {tap(-j + 2 * i * (1 if j > 0 else -1))}' for i in range(abs(j)))} END, {of})"  # noqa: B023, E731
         terms = [f"{num(weights[0] / total)} * {of}"]
-        for j in range(1, r + 1):
-            before, after = f"lag({of}, {j}) OVER ({axis})", f"lead({of}, {j}) OVER ({axis})"
-            inner = of if j == 2 else after
-            terms.append(f"{num(weights[j] / total)} * (coalesce({before}, CASE WHEN {at} = 1 THEN {inner} END, {after}, {of}) + coalesce({after}, CASE WHEN {at} = {last} - 1 THEN {of if j == 2 else before} END, {before}, {of}))")
+        terms += [f"{num(weights[j] / total)} * ({side(-j, at)} + {side(j, f'({at}_{out}_end - {at})')})" for j in range(1, r + 1)]
         src = add(src, **{made: " + ".join(terms)})
         of = made
     return src
@@ -163,7 +175,7 @@ def guided(src: str, guide: str, target: str, radius: int, eps: float) -> str:
 def screen_map(d: Dialect, src: str, known: str, radius: int) -> str:
     """sr, sg, sb: the mean colour of known background around a pixel, the key where there is none."""
     out = add(src, sm_n=f"CASE WHEN {known} THEN 1 ELSE 0 END", **{f"sm_{c}": f"CASE WHEN {known} THEN {c} ELSE 0 END" for c in "rgb"})
-    out = box(out, ["sm_n", "sm_r", "sm_g", "sm_b"], radius, replicate=False)
+    out = box(out, ["sm_n", "sm_r", "sm_g", "sm_b"], radius)
     return add(out, **{f"s{c}": d.rint(f"CASE WHEN sm_n_box > 0 THEN sm_{c}_box / cast(greatest(sm_n_box, 1) as double) ELSE cast(k{c} as double) END") for c in "rgb"})
 
 
@@ -201,11 +213,20 @@ def alpha(d: Dialect, src: str, s: Settings) -> str:
 def alpha_hint(d: Dialect, src: str, s: Settings, before: str, out: str) -> str:
     """Raises alpha where the hint says foreground; never makes background."""
     k = min(1.0, max(0.0, s.alpha_hint_strength))
+    if not k:
+        return add(src, **{out: before})
     allowed = f"hint IS NOT NULL AND hint >= {s.alpha_hint_minimum_alpha} AND background = 0"
     raised = d.rint(f"greatest(cast({before} as double), {before} * {num(1 - k)} + hint * {num(k)})")
     return add(src, **{out: f"CASE WHEN {allowed} AND hint >= {s.alpha_hint_foreground_threshold} THEN greatest({raised}, hint) WHEN {allowed} THEN {raised} ELSE {before} END"})
 
 
+def cleared_edge(d: Dialect, src: str, s: Settings, alpha: str) -> str:
+    """edge 0 on kept pixels and where the hint says core and alpha is nearly full."""
+    core = f"hint IS NOT NULL AND hint >= {max(s.alpha_hint_foreground_threshold, s.alpha_hint_minimum_alpha)} AND background = 0 AND {alpha} >= 248" if s.alpha_hint_strength > 0 else "false"
+    out = add(src, edge_=f"CASE WHEN keep > 127 OR ({core}) THEN 0 ELSE edge END")
+    return f"SELECT {d.without('edge', 'edge_')}, edge_ AS edge FROM ({out}) e"
+
+
 def merged_masks(src: str, s: Settings, of: str, out: str) -> str:
     """Background without hinted and kept pixels, with removed ones that are not kept."""
     return add(src, **{out: f"CASE WHEN keep > 127 THEN 0 WHEN remove > 127 THEN 1 WHEN hint >= {s.alpha_hint_foreground_threshold} THEN 0 ELSE {of} END"})
@@ -222,18 +243,22 @@ def fringe(d: Dialect, src: str, s: Settings) -> str:
     return add(out, fringe=d.rint("255e0 * " + clip(f"{band} * {edge} * {weight}")))
 
 
+def seed_limit(s: Settings) -> int:
+    return max(48, s.thresholds[1] + 32)
+
+
 def seeds(src: str, s: Settings) -> str:
-    return f"SELECT * FROM ({src}) s WHERE alpha >= 250 AND background = 0 AND fringe <= 24 AND prob <= {max(48, s.thresholds[1] + 32)}"
+    return f"SELECT * FROM ({src}) s WHERE alpha >= 250 AND background = 0 AND fringe <= 24 AND prob <= {seed_limit(s)}"
 
 
-def nearest(src: str, s: Settings, radius: int | None = None) -> str:
+def nearest(d: Dialect, src: str, s: Settings, radius: int | None = None) -> str:
     """image_id, y, x, ny, nx, d2: the nearest seed of each fringe pixel, ties by (d2, y, x).
 
     Seeds and targets meet by buckets as wide as the radius, a target in its own and the eight around it.
     """
     r = radius or s.nearest_radius
     cell = lambda c: f"cast(floor({c} / {num(r)}) as int)"
-    target = f"SELECT image_id, y, x, {cell('y')} + dy AS by_, {cell('x')} + dx AS bx_ FROM ({src}) t CROSS JOIN (VALUES (-1), (0), (1)) AS oy(dy) CROSS JOIN (VALUES (-1), (0), (1)) AS ox(dx) WHERE fringe > 0"
+    target = f"SELECT image_id, y, x, {cell('y')} + dy AS by_, {cell('x')} + dx AS bx_ FROM (SELECT image_id, y, x FROM ({src}) a WHERE fringe > 0) t {d.each([-1, 0, 1], 'dy')} {d.each([-1, 0, 1], 'dx')}"
     seed = f"SELECT image_id, y AS sy, x AS sx, {cell('y')} AS by_, {cell('x')} AS bx_ FROM ({seeds(src, s)}) q"
     best = f"SELECT t.image_id, t.y, t.x, min(cast((t.y - sy) * (t.y - sy) + (t.x - sx) * (t.x - sx) as bigint) * 1000000000000 + cast(sy as bigint) * 1000000 + sx) AS best FROM ({target}) t JOIN ({seed}) q ON t.image_id = q.image_id AND t.by_ = q.by_ AND t.bx_ = q.bx_ WHERE (t.y - sy) * (t.y - sy) + (t.x - sx) * (t.x - sx) <= {r * r} GROUP BY t.image_id, t.y, t.x"
     return f"SELECT image_id, y, x, cast(floor(best % 1000000000000 / 1000000e0) as int) AS ny, cast(best % 1000000 as int) AS nx, cast(floor(best / 1000000000000e0) as int) AS d2 FROM ({best}) b"

@@ -16,7 +16,7 @@ from mattework.operators import views as v
 from mattework.plans import key_image as k
 from mattework.plans import viewport as vp
 from mattework.plans.stages import stage
-from mattework.settings import Settings
+from mattework.settings import Settings, preset
 from mattework.sources import rasters as s
 
 TABLES = ("part", "embeddings", "lineitem", "events")
@@ -90,15 +90,13 @@ PLAIN: dict[str, Callable[[Dialect], str]] = {
     "guided_alpha_refine": lambda d: pick(m.guided(soft(d), f.luma(*(f.linear(d, c) for c in "rgb")), "alpha / 255e0", 2, 1e-3), f"{PX}, CASE WHEN edge = 1 AND alpha > 0 AND alpha < 255 THEN {d.rint('255e0 * ' + f.lerp('alpha / 255e0', 'guided', '0.8e0'))} ELSE alpha END AS alpha"),
     "fringe_mask": lambda d: pick(soft(d), f"{PX}, fringe"),
     "inner_seeds": lambda d: pick(m.seeds(soft(d), S), PX),
-    "nearest_inner": lambda d: m.nearest(soft(d), S, 32),
-    "nearest_inner_bounded": lambda d: m.nearest(soft(d), S, 3),
     "unmix": lambda d: quantised(d, "u"),
     "vlahos_clamp": lambda d: quantised(d, "v"),
     "inner_pull": lambda d: quantised(d, "w"),
     "protect_luminance": lambda d: pick(colours(d, "o"), f'{PX}, "or" AS r, og AS g, ob AS b') if not d.spark else pick(colours(d, "o"), f"{PX}, `or` AS r, og AS g, ob AS b"),
     "despill_mask": lambda d: pick(m.weights(m.linear_light(d, soft(d)), S), f"{PX}, {d.rint('255e0 * legacy')} AS despill"),
     "tile_grid": lambda d: v.tile_grid(d, f"SELECT p_partkey AS image_id, cast(12 + p_size as int) AS h, cast(16 + p_size * 2 as int) AS w FROM {d.table('part')}", 20, 4),
-    "tile_halo": lambda d: f"SELECT image_id, ty, tx, count(*) AS read_px, count(*) FILTER (WHERE core) AS core_px FROM ({v.tile_halo(s.embed_raster(d), 16, 4)}) t GROUP BY image_id, ty, tx",
+    "tile_halo": lambda d: f"SELECT image_id, ty, tx, count(*) AS read_px, count(*) FILTER (WHERE core) AS core_px FROM ({v.tile_halo(d, s.embed_raster(d), 16, 4)}) t GROUP BY image_id, ty, tx",
     "tile_crop_prune": lambda d: f"SELECT image_id, tile_id FROM ({v.tile_grid(d, f'SELECT p_partkey AS image_id, 48 AS h, cast(40 + p_size as int) AS w FROM {d.table("part")}', 16, 4)}) t WHERE core_x0 < 30 AND core_x1 > 10 AND core_y0 < 20 AND core_y1 > 5",
     "tile_count": lambda d: f"SELECT image_id, count(*) AS tiles FROM ({v.tile_grid(d, f'SELECT p_partkey AS image_id, cast(20 + p_size as int) AS h, 64 AS w FROM {d.table("part")}', 16, 4)}) t GROUP BY image_id",
     "resize_area": lambda d: v.resize_area(d, s.frames(d), 2),
@@ -111,6 +109,13 @@ PLAIN: dict[str, Callable[[Dialect], str]] = {
     "composite_solid": lambda d: pick(v.composite(d, soft(d)), f"{PX}, background_name, cr, cg, cb"),
     "split_compare": lambda d: pick(v.split_compare(d, soft(d), s.WIDTH), f"{PX}, vr, vg, vb"),
     "view_mask_rgb": lambda d: v.view(soft(d), "Fringe Mask"),
+    "view_all_modes": lambda d: v.all_views(d, colours(d, "o"), s.WIDTH),
+    "composite_truncated": lambda d: pick(v.composite(d, soft(d), v.PLAIN, exact=False), f"{PX}, background_name, cr, cg, cb"),
+    "metric_bundle": lambda d: v.metric_bundle(d, soft(d)),
+    "border_stride": lambda d: pick(m.border(s.frames(d), 2, most=20), f"{PX}, r, g, b"),
+    "gaussian_wide": lambda d: pick(m.gaussian(m.add(s.embed_raster(d), c_="r / 255e0"), "c_", 13, "soft"), f"{PX}, {d.rint('10000e0 * soft')} AS soft"),
+    "screen_tile": lambda d: pick(m.screen_map(d, k.tiles_of(d, lit(d), 5, 3), "background = 1", 2), "owner, gy, gx, ty, tx, core, sr, sg, sb"),
+    "tile_bounded_radius": lambda d: f"SELECT image_id, tile_id, {v.bounded_radius(24)} AS radius, {v.can_look(900)} AS can_look FROM ({v.tile_grid(d, f'SELECT p_partkey AS image_id, cast(12 + p_size as int) AS h, cast(16 + p_size * 2 as int) AS w FROM {d.table("part")}', 20, 9)}) t",
     "point_lookup": lambda d: pick(soft(d), f"{PX}, r, g, b, alpha") + " WHERE y = 6 AND x = 8",
     "edge_key_residual": lambda d: v.edge_key_residual(d, soft(d)),
     "opaque_delta": lambda d: v.opaque_delta(d, soft(d)),
@@ -138,31 +143,86 @@ def _areas(spark: SparkSession) -> DataFrame:
     return runs.groupBy("image_id", "label").agg(F.max("area").alias("area"), F.max("border").alias("border"))
 
 
-def _result(spark: SparkSession, settings: Settings = S) -> DataFrame:
-    out = k.key_frames(spark, spark.sql(s.frames(SPARK)), settings, (s.HEIGHT, s.WIDTH))
+SHAPE = (s.HEIGHT, s.WIDTH)
+
+
+def nominal(d: Dialect) -> str:
+    """Frames whose key is only nominal, so that the screen has to be sampled."""
+    return f"SELECT {d.without('kr', 'kg', 'kb')}, 0 AS kr, 220 AS kg, 50 AS kb FROM ({s.frames(d)}) f"
+
+
+def _result(spark: SparkSession, settings: Settings = S, sampled: bool = False) -> DataFrame:
+    pixels = k.screened(spark, stage(spark.sql(nominal(SPARK)), "frames"), settings) if sampled else spark.sql(s.frames(SPARK))
+    out = k.key_frames(spark, pixels, settings, SHAPE)
     return out.select("image_id", "y", "x", F.col("or").alias("r"), F.col("og").alias("g"), F.col("ob").alias("b"), "alpha", "background", "edge", "fringe", "despill", "prob")
 
 
-def _duck_result(settings: Settings = S, columns: str = 'image_id, y, x, "or" AS r, og AS g, ob AS b, alpha, background, edge, fringe, despill, prob') -> str:
-    matte = pick(k.with_alpha(DUCK, "SELECT * FROM lit", settings), "image_id, y, x, r, g, b, kr, kg, kb, prob, background, edge, alpha, hint, a_true, fr, fg, fb")
-    return f"{k.duck_connected(DUCK, s.frames(DUCK), settings)}, matte AS MATERIALIZED ({matte}) {pick(k.coloured(DUCK, 'SELECT * FROM matte', settings, (s.HEIGHT, s.WIDTH)), columns)}"
+def _duck_result(settings: Settings = S, sampled: bool = False) -> str:
+    columns = 'image_id, y, x, "or" AS r, og AS g, ob AS b, alpha, background, edge, fringe, despill, prob'
+    pixels = k.screened_sql(DUCK, nominal(DUCK), settings) if sampled else s.frames(DUCK)
+    matte = pick(k.with_alpha(DUCK, "SELECT * FROM lit", settings), MATTE)
+    near = f"SELECT * FROM ({m.nearest(DUCK, m.fringe(DUCK, m.spill('SELECT * FROM matte'), settings), settings, 1000)}) n" if settings.nearest_radius else None
+    return f"{k.duck_connected(DUCK, pixels, settings)}, matte AS MATERIALIZED ({matte}) {pick(k.coloured(DUCK, 'SELECT * FROM matte', settings, SHAPE, near), columns)}"
+
+
+def _keyed(settings: Settings, sampled: bool = True) -> tuple[Callable[[SparkSession], DataFrame], str]:
+    return lambda spark: _result(spark, settings, sampled), _duck_result(settings, sampled)
+
+
+def _nearest(radius: int) -> tuple[Callable[[SparkSession], DataFrame], str]:
+    """Seeds and targets are looked up in one staged relation, so what makes it runs once."""
+    needed = f"{PX}, alpha, background, fringe, prob"
+
+    def run(spark: SparkSession) -> DataFrame:
+        marked = stage(spark.sql(pick(soft(SPARK), needed)), "marked")
+        return k._sql(spark, m.nearest(SPARK, "SELECT * FROM {src}", S, radius), marked)
+
+    return run, f"WITH marked AS MATERIALIZED ({pick(soft(DUCK), needed)}) {m.nearest(DUCK, 'SELECT * FROM marked', S, radius)}"
+
+
+MATTE = "image_id, y, x, r, g, b, kr, kg, kb, prob, background, edge, alpha, hint, a_true, fr, fg, fb"
+SHOWN = 'image_id, y, x, "or" AS r, og AS g, ob AS b, alpha, fringe, despill'
+#: Tiles each with its own screen; frames are small, so their screens are taken within two pixels.
+TILED = replace(S, max_local_screen_model_pixels=1, tile_overlap=3, edge_refine_radius=1)
+NEAR_SCREEN = 2
+
+
+def _matte(spark: SparkSession) -> DataFrame:
+    """A matte without components, for what is done to mattes: background is the probable screen."""
+    return stage(spark.sql(pick(k.original_alpha(SPARK, k.trimap_alpha(SPARK, lit(SPARK), S)), MATTE)), "matte")
+
+
+def _tiles(d: Dialect, matte: str, tile: int, settings: Settings, near: str | None) -> str:
+    out = k.coloured_tiles(d, matte, settings, SHAPE, tile, near, radius=NEAR_SCREEN)
+    return pick(out, SHOWN.replace('"or"', "`or`") if d.spark else SHOWN)
+
+
+def _whole(d: Dialect, matte: str, settings: Settings) -> str:
+    return pick(k.coloured(d, matte, settings, SHAPE), SHOWN.replace('"or"', "`or`") if d.spark else SHOWN)
+
+
+def _on_matte(build: Callable[[Dialect, str], str]) -> tuple[Callable[[SparkSession], DataFrame], str]:
+    """A statement over the relation of mattes, which is staged in Spark."""
+    matte = f"WITH matte AS MATERIALIZED ({pick(k.original_alpha(DUCK, k.trimap_alpha(DUCK, lit(DUCK), S)), MATTE)}) "
+    return lambda spark: k._sql(spark, build(SPARK, "SELECT * FROM {src}"), _matte(spark)), matte + build(DUCK, "SELECT * FROM matte")
 
 
-def _tiled(spark: SparkSession) -> DataFrame:
-    """The result of tiles against that of the whole frame: colours depend on a halo, alpha on nothing."""
-    out = stage(_result(spark), "result")
-    tiles = spark.sql(v.tile_halo("SELECT * FROM {r}", 8, 4).replace("{r}", _view(out, "tiled"))).where("core")
-    spark_sql = v.run_diff(f"SELECT * FROM {_view(out, 'whole')}", f"SELECT * FROM {_view(tiles, 'cores')}")
-    return spark.sql(spark_sql)
+def _global_near(d: Dialect, matte: str) -> str:
+    return m.nearest(d, m.fringe(d, m.spill(matte), S), S)
 
 
-def _view(df: DataFrame, name: str) -> str:
-    df.createOrReplaceTempView(f"mattework_{name}")
-    return f"mattework_{name}"
+def _tiled_vs_full(d: Dialect, matte: str) -> str:
+    """Rendered whole and by tiles of five pixels that read three beyond, both from the image's own maps."""
+    one = pick(k.coloured(d, matte, S, SHAPE, _global_near(d, matte)), SHOWN.replace('"or"', "`or`") if d.spark else SHOWN)
+    two = pick(k.coloured_tiles(d, matte, S, SHAPE, 5, _global_near(d, matte), overlap=3), SHOWN.replace('"or"', "`or`") if d.spark else SHOWN)
+    return v.run_diff(one, two)
 
 
-def _seams(spark: SparkSession) -> DataFrame:
-    return _result(spark).where(v.seam_band(8)).groupBy("image_id").agg(F.count("*").alias("n"), F.max("alpha").alias("alpha_max"), F.max(F.greatest("r", "g", "b")).alias("rgb_max"))
+def _seams(d: Dialect, matte: str) -> str:
+    """Tiles of five and of seven pixels, each with its own screen, near either's seams."""
+    near = _global_near(d, matte)
+    band = f"{v.seam_band(5, SHAPE)} OR {v.seam_band(7, SHAPE)}"
+    return v.seam_metrics(d, _tiles(d, matte, 5, TILED, near), _tiles(d, matte, 7, TILED, near), band)
 
 
 #: Queries that need more than one statement in Spark: (Spark, oracle or None).
@@ -175,20 +235,34 @@ SPECIAL: dict[str, tuple[Callable[[SparkSession], DataFrame], str | None]] = {
         lambda spark: _result(spark, replace(S, aggressive_interior_removal=True)).select("image_id", "y", "x", "background"),
         k.duck_connected(DUCK, s.frames(DUCK), S) + " " + pick(m.merged_masks(m.add("SELECT * FROM lit", interior=f"greatest(connected, CASE WHEN prob >= {round(S.aggressive_threshold * 255)} THEN 1 ELSE 0 END)"), S, "interior", "background"), f"{PX}, background"),
     ),
-    "key_image_rgba": (_result, _duck_result()),
+    "key_image_rgba": _keyed(S, sampled=False),
+    "key_image_sampled": _keyed(S),
+    "key_image_auto": _keyed(replace(S, auto_detect_key_color=True, border_sample_width=3, sample_size=1)),
+    "key_image_high_accuracy": _keyed(replace(preset("High Accuracy"), auto_detect_key_color=True)),
+    "key_image_expanded": _keyed(replace(S, erode_expand=1, edge_softness=0.2)),
     "key_image_summary": (
         lambda spark: _result(spark).groupBy("image_id").agg(F.count_if(F.col("alpha") == 0).alias("transparent"), F.count_if((F.col("alpha") > 0) & (F.col("alpha") < 255)).alias("soft"), F.count_if(F.col("alpha") == 255).alias("opaque")),
         f"SELECT image_id, count(*) FILTER (WHERE alpha = 0) AS transparent, count(*) FILTER (WHERE alpha > 0 AND alpha < 255) AS soft, count(*) FILTER (WHERE alpha = 255) AS opaque FROM ({_duck_result()}) r GROUP BY image_id",
     ),
-    "tiled_vs_full": (_tiled, f"SELECT image_id, 0 AS alpha_diff, 0 AS rgb_diff, count(*) AS n FROM ({s.frames(DUCK)}) f GROUP BY image_id"),
-    "tile_seam_band": (_seams, f"SELECT image_id, count(*) AS n, max(alpha) AS alpha_max, max(greatest(r, g, b)) AS rgb_max FROM ({_duck_result()}) r WHERE {v.seam_band(8)} GROUP BY image_id"),
-    "adapter_hint": (lambda spark: adapters.generate_hints(spark.sql(pick(s.frames(SPARK), f"{PX}, r, g, b")), "mattework.operators.adapters:luma_hint"), None),
+    "nearest_inner": _nearest(32),
+    "nearest_inner_bounded": _nearest(3),
+    "tiled_vs_full": _on_matte(_tiled_vs_full),
+    "tile_seam_band": _on_matte(_seams),
+    "tile_local_render": _on_matte(lambda d, matte: _tiles(d, matte, 5, TILED, None)),
+    "tile_local_crop": _on_matte(lambda d, matte: f"SELECT * FROM ({_tiles(d, matte, 5, TILED, None)}) t WHERE x >= 3 AND x < 13 AND y >= 4 AND y < 11"),
+    "global_screen_render": _on_matte(lambda d, matte: _whole(d, matte, replace(S, local_screen_model=False))),
+    "adapter_hint": (lambda spark: adapters.generate_hints(spark.sql(pick(s.frames(SPARK), f"{PX}, r, g, b")), "mattework.operators.adapters:luma_hint", seam=adapters.PLAIN), pick(s.frames(DUCK), f"{PX}, {DUCK.trunc('(r + g + b) / 3e0 / 255e0 * 255e0')} AS hint")),
 }
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
+    """The tables as views. Rows of part become frames of pixels: they are dealt by their key first, so that every core
+    makes frames and each frame's lines are already together."""
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(SPARK.table(name))
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name == "part":
+            table = table.select("p_partkey", "p_size", "p_retailprice").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+        table.createOrReplaceTempView(SPARK.table(name))
 
 
 def _plain(build):

@@ -30,6 +30,7 @@ def trimap_alpha(d: Dialect, merged: str, s: Settings) -> str:
     out = m.alpha(d, m.trimap(merged, s), s)
     out = f"SELECT * FROM ({out}) t"
     out = m.alpha_hint(d, out, s, "CASE WHEN keep > 127 THEN 255 ELSE alpha0 END", "alpha1")
+    out = m.cleared_edge(d, out, s, "alpha1")
     return m.add(out, alpha2="CASE WHEN keep > 127 THEN 255 WHEN remove > 127 THEN 0 ELSE alpha1 END")
 
 
@@ -37,34 +38,103 @@ def original_alpha(d: Dialect, out: str) -> str:
     return m.add(out, alpha=f"CASE WHEN a0 IS NULL THEN alpha2 ELSE {d.rint('alpha2 * greatest(0e0, least(1e0, a0))')} END")
 
 
+#: Pixels up to which an image's nearest colours are looked for as a whole, pixels that a tile may read for its own, and
+#: seeds that it must have for them. Fixed values.
+LABEL_PIXELS, TILE_PIXELS, TILE_SEEDS = 16_000_000, 8_000_000, 8
+
+
+def toned(d: Dialect, src: str, s: Settings) -> str:
+    """From screen s* and nearest n*: the repaired colours o*, pixel by pixel."""
+    return m.protect(d, m.pull(d, m.vlahos(m.unmix(m.weights(m.linear_light(d, src), s), s), s), s), s)
+
+
+def screen(d: Dialect, src: str, s: Settings, radius: int, known: str, gate: str | None = None) -> str:
+    """s*: the local screen; the key without a local model, and in images where less than a hundredth of gate (a
+    relation with prob) is known background."""
+    if not s.local_screen_model:
+        return m.add(src, **{f"s{c}": f"k{c}" for c in "rgb"})
+    out = m.screen_map(d, src, known, radius)
+    if gate is None:
+        return out
+    share = f"SELECT image_id AS g_, avg(CASE WHEN {known} THEN 1e0 ELSE 0e0 END) >= 0.01e0 AS use_map FROM ({gate}) g GROUP BY image_id"
+    out = f"SELECT * FROM ({out}) o JOIN ({share}) h ON image_id = g_"
+    told = m.add(out, **{f"u{c}_": f"CASE WHEN use_map THEN s{c} ELSE k{c} END" for c in "rgb"})
+    return f"SELECT {d.without(*(f's{c}' for c in 'rgb'), *(f'u{c}_' for c in 'rgb'), 'g_', 'use_map')}, {', '.join(f'u{c}_ AS s{c}' for c in 'rgb')} FROM ({told}) t"
+
+
+def gathered(src: str, near: str, colours: str) -> str:
+    """n*: the colours (of the relation colours) at the nearest seeds near(image_id, y, x, ny, nx)."""
+    pick = f"SELECT image_id AS i_, y AS y_, x AS x_, r AS nr, g AS ng, b AS nb FROM ({colours}) c"
+    return f"SELECT o.*, nr, ng, nb FROM ({src}) o LEFT JOIN ({near}) n ON o.image_id = n.image_id AND o.y = n.y AND o.x = n.x LEFT JOIN ({pick}) p ON n.image_id = i_ AND ny = y_ AND nx = x_"
+
+
+def no_near(src: str) -> str:
+    return m.add(src, nr="cast(NULL as int)", ng="cast(NULL as int)", nb="cast(NULL as int)")
+
+
 def coloured(d: Dialect, matte: str, s: Settings, shape: tuple[int, int], near: str | None = None) -> str:
     """From the matte: fringe, screen map, nearest inner colour and the repaired colours o*. near has the
     nearest seeds (image_id, y, x, ny, nx); without it they are looked for within the radius."""
-    out = m.fringe(d, m.spill(matte), s)
-    out = m.screen_map(d, out, f"prob >= {s.thresholds[0]}", screen_radius(*shape))
+    out = screen(d, m.fringe(d, m.spill(matte), s), s, screen_radius(*shape), f"prob >= {s.thresholds[0]}", matte)
     if s.nearest_radius:
-        near = near or m.nearest(f"SELECT image_id, y, x, alpha, background, fringe, prob FROM ({out}) f", s)
-        pick = f"SELECT image_id AS i_, y AS y_, x AS x_, r AS nr, g AS ng, b AS nb FROM ({out}) c"
-        out = f"SELECT o.*, nr, ng, nb FROM ({out}) o LEFT JOIN ({near}) n ON o.image_id = n.image_id AND o.y = n.y AND o.x = n.x LEFT JOIN ({pick}) p ON n.image_id = i_ AND ny = y_ AND nx = x_"
-    else:
-        out = m.add(out, nr="cast(NULL as int)", ng="cast(NULL as int)", nb="cast(NULL as int)")
-    return m.protect(d, m.pull(d, m.vlahos(m.unmix(m.weights(m.linear_light(d, out), s), s), s), s), s)
+        near = near or m.nearest(d, f"SELECT image_id, y, x, alpha, background, fringe, prob FROM ({out}) f", s)
+        return toned(d, gathered(out, near, matte), s)
+    return toned(d, no_near(out), s)
+
+
+def tiles_of(d: Dialect, src: str, tile: int, overlap: int) -> str:
+    """src dealt to tiles, each tile an image of its own: image_id is the tile's, y and x count from where it reads,
+    and owner, gy, gx and core say what it is cut from (with at most 1000 tiles each way). Columns core_* and read_* are
+    the tile's rectangles, h and w the image's size."""
+    size = f"SELECT image_id AS z_, max(y) + 1 AS h, max(x) + 1 AS w FROM ({src}) s GROUP BY image_id"
+    out = f"SELECT * FROM ({v.tile_halo(d, src, tile, overlap)}) t JOIN ({size}) z ON image_id = z_ WHERE ty * {tile} < h AND tx * {tile} < w"
+    out = m.add(out, **{f"core_{c}0": f"t{c} * {tile}" for c in "yx"}, **{f"core_{c}1": f"least({n}, (t{c} + 1) * {tile})" for c, n in zip("yx", "hw", strict=True)})
+    out = m.add(out, **{f"read_{c}0": f"greatest(0, core_{c}0 - {overlap})" for c in "yx"}, **{f"read_{c}1": f"least({n}, core_{c}1 + {overlap})" for c, n in zip("yx", "hw", strict=True)})
+    return f"SELECT {d.without('image_id', 'y', 'x', 'z_')}, image_id AS owner, y AS gy, x AS gx, image_id * 1000000 + ty * 1000 + tx AS image_id, y - read_y0 AS y, x - read_x0 AS x FROM ({out}) c"
+
+
+def coloured_tiles(d: Dialect, matte: str, s: Settings, shape: tuple[int, int], tile: int, near: str | None = None, overlap: int | None = None, radius: int | None = None) -> str:
+    """coloured by tiles that read beyond their cores and write their cores alone. The screen is each tile's own where the
+    image is too large for a map; nearest colours are near's, or each tile's own within what it reads."""
+    radius = screen_radius(*shape) if radius is None else radius
+    local = s.local_screen_model and shape[0] * shape[1] > s.max_local_screen_model_pixels
+    reach = s.nearest_radius if near is None else 0
+    overlap = v.overlap_of(s, v.extra_overlap(s, radius if local else 0, reach)) if overlap is None else overlap
+    out = m.fringe(d, m.spill(matte), s)
+    if not local:
+        out = screen(d, out, s, radius, f"prob >= {s.thresholds[0]}", matte)
+    if s.nearest_radius and near is not None:
+        out = gathered(out, near, matte)
+    cells = tiles_of(d, out, tile, overlap)
+    out = screen(d, cells, s, radius, "background = 1") if local else cells
+    if not s.nearest_radius:
+        out = no_near(out)
+    elif near is None:
+        found = m.nearest(d, f"SELECT image_id, y, x, alpha, background, fringe, prob FROM ({cells}) f", s)
+        fit = f"SELECT image_id AS f_, {v.bounded_radius(s.nearest_radius)} AS bound FROM ({cells}) r WHERE {v.can_look(TILE_PIXELS)} AND alpha >= 250 AND background = 0 AND fringe <= 24 AND prob <= {m.seed_limit(s)} GROUP BY image_id, core_y0, core_y1, core_x0, core_x1, read_y0, read_y1, read_x0, read_x1, h, w HAVING count(*) >= {TILE_SEEDS}"
+        found = f"SELECT n_.* FROM ({found}) n_ JOIN ({fit}) b_ ON n_.image_id = f_ WHERE d2 <= bound * bound"
+        out = gathered(out, found, cells)
+    out = toned(d, f"SELECT * FROM ({out}) t", s)
+    return f"SELECT {d.without('image_id', 'y', 'x', 'owner', 'gy', 'gx')}, owner AS image_id, gy AS y, gx AS x FROM ({out}) t WHERE core"
 
 
 def result(src: str) -> str:
     return f"SELECT image_id, y, x, or_ AS r, og_ AS g, ob_ AS b, alpha, background, edge, fringe, despill, prob, hint, kr, kg, kb, a_true, fr, fg, fb FROM (SELECT *, \"or\" AS or_, og AS og_, ob AS ob_ FROM ({src}) s) t"
 
 
-def screened(spark: SparkSession, pixels: DataFrame, s: Settings) -> DataFrame:
-    """pixels with (kr, kg, kb) as sampled from each image's border, for callers whose key is only nominal."""
+def screened_sql(d: Dialect, src: str, s: Settings) -> str:
+    """src with (kr, kg, kb) as sampled from each image's border, for callers whose key is only nominal."""
     if not s.auto_border_sample:
-        return pixels
-    border = m.border("SELECT * FROM {src}", max(1, s.border_sample_width, s.sample_size))
-    told = _sql(spark, m.screen_color(SPARK, border, s), pixels).select("image_id", "sr", "sg", "sb")
+        return src
+    border = m.border(src, max(1, s.border_sample_width, s.sample_size))
+    told = f"SELECT image_id AS t_, sr AS ur, sg AS ug, sb AS ub FROM ({m.screen_color(d, border, s)}) t"
     if s.auto_detect_key_color:
-        auto = _sql(spark, m.auto_color(SPARK, border), pixels).select("image_id", *[F.col(f"s{c}").alias(f"a{c}") for c in "rgb"])
-        told = told.join(auto, "image_id", "left").select("image_id", *[F.coalesce(f"a{c}", f"s{c}").alias(f"s{c}") for c in "rgb"])
-    return pixels.join(told, "image_id").withColumns({f"k{c}": F.col(f"s{c}") for c in "rgb"}).drop("sr", "sg", "sb")
+        told = f"SELECT t_, {', '.join(f'coalesce(s{c}, u{c}) AS u{c}' for c in 'rgb')} FROM ({told}) t LEFT JOIN ({m.auto_color(d, border)}) a ON t_ = image_id"
+    return f"SELECT {d.without('kr', 'kg', 'kb', 't_', 'ur', 'ug', 'ub')}, ur AS kr, ug AS kg, ub AS kb FROM ({src}) p JOIN ({told}) u ON image_id = t_"
+
+
+def screened(spark: SparkSession, pixels: DataFrame, s: Settings) -> DataFrame:
+    return _sql(spark, screened_sql(SPARK, "SELECT * FROM {src}", s), pixels)
 
 
 def _flagged(pixels: DataFrame, on: DataFrame, name: str) -> DataFrame:
@@ -99,7 +169,7 @@ def nearest_seeds(spark: SparkSession, marked: DataFrame, s: Settings) -> DataFr
     no seed, so its nearest is one with a neighbour that is none: only such seeds meet it.
     """
     marked = stage(marked, "marked")
-    found = stage(_sql(spark, m.nearest("SELECT * FROM {src}", s), marked).select(*PX, "ny", "nx"), "near")
+    found = stage(_sql(spark, m.nearest(SPARK, "SELECT * FROM {src}", s), marked).select(*PX, "ny", "nx"), "near")
     seeds = _sql(spark, m.seeds("SELECT * FROM {src}", s), marked).select(*PX)
     rim = _sql(spark, m.morph("SELECT * FROM {src}", "seed", 1, "inner", dilate=False), _flagged(marked.select(*PX), seeds, "seed"))
     rim = rim.where("seed = 1 AND inner = 0").select("image_id", F.col("y").alias("sy"), F.col("x").alias("sx"))
@@ -147,14 +217,23 @@ def key_frames(spark: SparkSession, pixels: DataFrame, s: Settings, shape: tuple
         rough = _refined(spark, rough, s)
     matte = _sql(spark, original_alpha(d, "SELECT * FROM {src}"), rough)
     matte = matte.select("image_id", "y", "x", "r", "g", "b", "kr", "kg", "kb", "prob", "background", "edge", "alpha", "hint", *[c for c in ("a_true", "fr", "fg", "fb") if c in matte.columns])
-    matte = stage(matte, "matte")  # colours read it four times
-    if not s.nearest_radius:
-        return _sql(spark, coloured(d, "SELECT * FROM {src}", s, shape), matte)
+    return colours(spark, stage(matte, "matte"), s, shape)  # colours read it several times
+
+
+def colours(spark: SparkSession, matte: DataFrame, s: Settings, shape: tuple[int, int], tile: int | None = None) -> DataFrame:
+    """The result of a matte: whole, or by tiles (of the settings, or of a given side)."""
+    d, pixels = SPARK, shape[0] * shape[1]
+    whole = pixels <= LABEL_PIXELS
+    if tile is None:  # tiles give what the whole gives where maps are the image's
+        tile = 0 if whole and pixels <= s.max_local_screen_model_pixels else v.tile_of(s, shape)
+    render = (lambda near: coloured_tiles(d, "SELECT * FROM {src}", s, shape, tile, near)) if tile else (lambda near: coloured(d, "SELECT * FROM {src}", s, shape, near))
+    if not s.nearest_radius or (tile and not whole):
+        return _sql(spark, render(None), matte)
     marked = _sql(spark, m.fringe(d, m.spill("SELECT * FROM {src}"), s), matte).select(*PX, "alpha", "background", "fringe", "prob")
     near = nearest_seeds(spark, marked, s)
     name = f"mattework_near_{id(near):x}"
     near.createOrReplaceTempView(name)
-    out = _sql(spark, coloured(d, "SELECT * FROM {src}", s, shape, f"SELECT * FROM {name}"), matte)
+    out = _sql(spark, render(f"SELECT * FROM {name}"), matte)
     spark.catalog.dropTempView(name)
     return out
 
@@ -169,9 +248,10 @@ def _sql(spark: SparkSession, text: str, src: DataFrame) -> DataFrame:
 
 def duck_connected(d: Dialect, frames: str, s: Settings) -> str:
     """For the oracle: prob and connected 0/1 by flood fill; ends in the relation `lit`."""
-    prob = m.probability(d, frames, s)
-    flood = components.reach_sql(prob, f"prob >= {s.thresholds[0]}", components.BORDER_SEED)
+    prob = m.add(m.probability(d, frames, s), on_=f"CASE WHEN prob >= {s.thresholds[0]} THEN 1 ELSE 0 END")
+    prob = m.morph(prob, "on_", abs(s.erode_expand), "candidate", dilate=s.erode_expand > 0)
+    flood = components.reach_sql(prob, "candidate = 1", components.BORDER_SEED)
     return flood + ", lit AS MATERIALIZED (SELECT px.*, CASE WHEN r.image_id IS NULL THEN 0 ELSE 1 END AS connected FROM px LEFT JOIN reach r USING (image_id, y, x))"
 
 
-__all__ = ["RESULT", "coloured", "duck_connected", "key_frames", "result", "screened", "v", "with_alpha"]
+__all__ = ["RESULT", "coloured", "duck_connected", "key_frames", "result", "screened", "screened_sql", "v", "with_alpha"]

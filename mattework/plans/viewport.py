@@ -5,13 +5,38 @@ Plain numbers for one view; the same formulas as SQL for a table of views. Round
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
+
 from mattework.functions.sql import Dialect
 
-# Bounds of the crop that a preview works on, the longest side of a proxy.
-CROP_WIDTH, CROP_HEIGHT, PROXY_SIDE = (320, 1400), (240, 1000), 1800
+#: Fixed value: the longest side of a proxy.
+PROXY_SIDE = 1800
+
+
+@dataclass(frozen=True)
+class Axis:
+    """One axis of a view: the least and the most that a preview works on."""
+
+    low: int
+    high: int
+
+    def spans(self, size, seen, middle):
+        """Starts and ends, for numbers or arrays of them: the part of 0..size around middle (nan: the middle)."""
+        size = np.asarray(size)
+        n = np.minimum(size, np.clip(seen, self.low, self.high))
+        start = np.clip(np.rint(np.where(np.isnan(middle), size / 2, middle) - n / 2), 0, size - n).astype(int)
+        return start, start + n
+
+    def sql(self, d: Dialect, size: str, seen: str, middle: str) -> tuple[str, str]:
+        """The same of columns, as (start, length)."""
+        n = f"least({size}, greatest({self.low}, least({self.high}, {seen})))"
+        return f"greatest(0, least({size} - {n}, {d.rint(f'{middle} - {n} / 2e0')}))", n
+
+
+# Bounds of the crop that a preview works on.
+ACROSS, DOWN = Axis(320, 1400), Axis(240, 1000)
 
 
 def proxy_shape(height: int, width: int, max_side: int = PROXY_SIDE) -> tuple[int, int, float]:
@@ -20,64 +45,50 @@ def proxy_shape(height: int, width: int, max_side: int = PROXY_SIDE) -> tuple[in
     return (height, width, 1.0) if scale >= 1 else (max(1, round(height * scale)), max(1, round(width * scale)), scale)
 
 
-def visible_crop(shape: tuple[int, int], viewport: tuple[int, int], center: tuple[float, float] | None = None) -> tuple[int, int, int, int]:
+def visible_crop(shape: tuple[int, int], viewport: tuple[int, int], center: tuple[float, float] = (np.nan, np.nan)) -> tuple[int, int, int, int]:
     """(x0, y0, x1, y1) around the centre (x, y), or the image's middle, within the image. viewport is (height, width)."""
-    spans = []
-    for size, seen, (low, high), middle in zip(shape, viewport, (CROP_HEIGHT, CROP_WIDTH), center[::-1] if center else (None, None), strict=True):
-        n = min(size, max(low, min(high, seen)))
-        start = round((size / 2 if middle is None else middle) - n / 2)
-        start = max(0, min(size - n, start))
-        spans.append((start, start + n))
-    (y0, y1), (x0, x1) = spans
-    return x0, y0, x1, y1
+    x = ACROSS.spans(shape[1], viewport[1], center[0])
+    y = DOWN.spans(shape[0], viewport[0], center[1])
+    return tuple(int(v) for v in (x[0], y[0], x[1], y[1]))
 
 
 def crop_center(rect: tuple[int, int, int, int], origin: tuple[int, int], scale: float) -> tuple[float, float]:
     """The full-size (x, y) in the middle of a displayed rectangle."""
-    x0, y0, x1, y1 = rect
-    return origin[0] + (x0 + x1) * 0.5 / max(scale, 1e-6), origin[1] + (y0 + y1) * 0.5 / max(scale, 1e-6)
+    middle = np.reshape(rect, (2, 2)).mean(axis=0) / max(scale, 1e-6)
+    return tuple((np.asarray(origin) + middle).tolist())
 
 
 def image_position(x: float, y: float, width: int, height: int) -> tuple[int, int] | None:
     """The pixel under a position; None outside."""
-    px, py = math.floor(x), math.floor(y)
-    return (px, py) if 0 <= px < width and 0 <= py < height else None
+    at = np.floor([x, y]).astype(int)
+    return tuple(at.tolist()) if ((at >= 0) & (at < [width, height])).all() else None
 
 
 def clamped_rect(left: float, top: float, right: float, bottom: float, width: int, height: int) -> tuple[int, int, int, int]:
     """Whole pixels that a rectangle touches, at least one each way unless it starts past the end."""
+    size = np.array([width, height])
+    low = np.floor([left, top]).clip(0, size)
+    high = np.maximum(np.ceil([right, bottom]).clip(0, size), low + 1).clip(0, size)
+    return tuple(np.concatenate([low, high]).astype(int).tolist())
 
-    def span(low: float, high: float, size: int) -> tuple[int, int]:
-        a, b = (max(0, min(size, v)) for v in (math.floor(low), math.ceil(high)))
-        return a, b if b > a else min(size, a + 1)
-
-    (x0, x1), (y0, y1) = span(left, right, width), span(top, bottom, height)
-    return x0, y0, x1, y1
 
-
-@dataclass(frozen=True)
 class Steps:
-    """A slider: values from minimum to maximum in steps."""
+    """The values that a control can take, as a grid; positions are indices into it."""
 
-    minimum: float
-    maximum: float
-    step: float
-    decimals: int = 2
-    integer: bool = False
+    def __init__(self, minimum: float, maximum: float, step: float, decimals: int = 2, integer: bool = False):
+        at = minimum + step * np.arange(max(1, round((maximum - minimum) / step)) + 1)
+        self.grid = np.round(np.minimum(at, maximum), 0 if integer else decimals)
+        self._exact = at
 
     @property
     def count(self) -> int:
-        return max(1, round((self.maximum - self.minimum) / self.step))
-
-    def clamp(self, value: float) -> float:
-        return max(self.minimum, min(self.maximum, float(value)))
+        return len(self.grid) - 1
 
     def position(self, value: float) -> int:
-        return max(0, min(self.count, round((self.clamp(value) - self.minimum) / self.step)))
+        return int(np.rint(np.interp(value, self._exact, np.arange(len(self._exact)))))
 
     def value(self, position: int) -> float:
-        told = self.clamp(self.minimum + max(0, min(self.count, position)) * self.step)
-        return float(round(told)) if self.integer else round(told, self.decimals)
+        return float(self.grid[np.clip(position, 0, self.count)])
 
 
 def proxy_sql(d: Dialect, src: str, max_side: int) -> str:
@@ -89,9 +100,8 @@ def proxy_sql(d: Dialect, src: str, max_side: int) -> str:
 
 def crop_sql(d: Dialect, src: str) -> str:
     """image_id and the crop of h, w, view_h, view_w, cx, cy."""
-    out = f"SELECT *, least(w, greatest({CROP_WIDTH[0]}, least({CROP_WIDTH[1]}, view_w))) AS cw, least(h, greatest({CROP_HEIGHT[0]}, least({CROP_HEIGHT[1]}, view_h))) AS ch FROM ({src}) s"
-    start = lambda c, n, size: f"greatest(0, least({size} - {n}, {d.rint(f'{c} - {n} / 2e0')}))"
-    out = f"SELECT *, {start('cx', 'cw', 'w')} AS x0, {start('cy', 'ch', 'h')} AS y0 FROM ({out}) c"
+    (x, w), (y, h) = ACROSS.sql(d, "w", "view_w", "cx"), DOWN.sql(d, "h", "view_h", "cy")
+    out = f"SELECT image_id, {x} AS x0, {y} AS y0, {w} AS cw, {h} AS ch FROM ({src}) s"
     return f"SELECT image_id, x0, y0, x0 + cw AS x1, y0 + ch AS y1 FROM ({out}) p"
 
 

@@ -21,10 +21,10 @@ def frames(d: Dialect, h: int = HEIGHT, w: int = WIDTH) -> str:
         CASE WHEN x = {w // 2} AND y >= {h // 2} AND image_id % 5 = 0 THEN 255 ELSE 0 END AS keep, CASE WHEN y = {h // 2} AND x >= {w // 2} AND image_id % 5 = 1 THEN 255 ELSE 0 END AS remove,
         CASE WHEN image_id % 3 = 0 THEN {d.rint('255e0 * a_true')} END AS hint, fr, fg, fb
     FROM (SELECT *, {clip(f"(radius + 1.5e0 - {dist}) / 3e0")} AS a_true, greatest(0, least(255, kr + (x + y) % 5)) AS br, greatest(0, least(255, kg + (x * 2 + y) % 7 - 3)) AS bg, greatest(0, least(255, kb + x % 3)) AS bb
-      FROM (SELECT p_partkey AS image_id, yy.i AS y, xx.i AS x, 2e0 + p_size % 4 AS radius,
+      FROM (SELECT p_partkey AS image_id, cast(yy as int) AS y, cast(xx as int) AS x, 2e0 + p_size % 4 AS radius,
           CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 30 ELSE 185 END AS kr, CASE p_partkey % 3 WHEN 0 THEN 220 WHEN 1 THEN 80 ELSE 42 END AS kg, CASE p_partkey % 3 WHEN 0 THEN 50 WHEN 1 THEN 235 ELSE 170 END AS kb,
           cast(60 + p_partkey * 37 % 180 as int) AS fr, cast(60 + p_partkey * 53 % 150 as int) AS fg, cast({d.trunc('p_retailprice')} % 200 as int) AS fb
-        FROM {d.table('part')} CROSS JOIN {d.series(str(h), 'yy')} CROSS JOIN {d.series(str(w), 'xx')}) grid) shaped"""
+        FROM {d.table('part')} {d.count(str(h), 'yy')} {d.count(str(w), 'xx')}) grid) shaped"""
 
 
 def embed_raster(d: Dialect) -> str:

@@ -131,5 +131,5 @@ def test_viewport():
     assert vp.image_position(3.7, 0.2, 4, 1) == (3, 0) and vp.image_position(4, 0, 4, 1) is None
     assert vp.clamped_rect(-3.2, 1.1, 2.1, 1.1, 8, 6) == (0, 1, 3, 2)
     steps = vp.Steps(0.0, 1.0, 0.01)
-    assert steps.count == 100 and steps.position(0.333) == 33 and steps.value(33) == 0.33 and steps.value(999) == 1.0
+    assert steps.count == 100 and steps.position(-3) == 0 and steps.position(0.125) == 12 and steps.position(0.333) == 33 and steps.value(33) == 0.33 and steps.value(999) == 1.0
     assert vp.Steps(1, 9, 1, integer=True).value(2) == 3.0

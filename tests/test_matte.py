@@ -3,13 +3,17 @@
 from dataclasses import replace
 
 import duckdb
+import numpy as np
 import pytest
 
 from mattework.functions import sql as f
 from mattework.operators import adapters
+from mattework.operators import matte as m
+from mattework.operators import views as v
 from mattework.operators.matte import ellipse
 from mattework.plans import catalog
 from mattework.plans import key_image as k
+from mattework.plans.stages import stage
 from mattework.settings import Settings, normalized_crop, odd_kernel, preset
 
 SF = "/root/testdata/sf0.001"
@@ -48,11 +52,40 @@ def test_linear_round_trip(spark):
     assert all(abs(r.id - r.back) <= 1 for r in got)
 
 
-def test_adapter(spark):
-    assert not adapters.capability("").available and adapters.capability("no_such_module:f").reason
-    assert adapters.capability("mattework.operators.adapters:luma_hint").available
+def test_reports_on_models(monkeypatch, tmp_path):
+    bare = adapters.report(adapters.HINT, "")
+    assert not bare.available and adapters.HINT.setting in bare.missing_settings and adapters.HINT.model_setting in bare.missing_settings and "torch" in bare.message
+    assert adapters.report(adapters.PLUGIN, " a:b ").available and not adapters.report(adapters.PLUGIN).available
+    monkeypatch.setenv("MATTE_PLUGIN_ADAPTER", "some.module")
+    assert adapters.report(adapters.PLUGIN).adapter == "some.module"
+    needs_model = replace(adapters.HINT, packages=())
+    assert not adapters.report(needs_model, "a:b", str(tmp_path / "none")).available and adapters.report(needs_model, "a:b", str(tmp_path)).available
+    assert adapters.model_function(adapters.PLAIN, "mattework.operators.adapters:luma_hint") is adapters.luma_hint
+    assert adapters.model_function(replace(adapters.PLAIN, attribute="luma_hint"), "mattework.operators.adapters") is adapters.luma_hint
+    with pytest.raises(TypeError):
+        adapters.model_function(adapters.PLAIN, "mattework.operators.adapters:MAX_SIDE")
+
+
+def test_planes_of_models():
+    told = lambda v, n=1, shape=(1, 2): adapters.levels(v, shape, n, "plane")[..., 0].tolist()
+    assert told([[True, False]]) == [[255, 0]] and told([[0.5, 1.0]]) == [[127, 255]] and told([[0.5, 2.9]]) == [[0, 2]]
+    assert told([[float("nan"), float("inf")]]) == [[0, 255]] and told([[-4, 300]]) == [[0, 255]]
+    assert told([[[1, 2, 3, 4], [5, 6, 7, 8]]]) == [[4, 8]] and told([[[1, 2, 3], [5, 6, 7]]]) == [[1, 5]]
+    for bad in ([[1, 2]], None):
+        with pytest.raises(ValueError):
+            told(bad, 1, (2, 2))
     with pytest.raises(ValueError):
-        adapters.mask_u8([[1, 2]], (2, 2), "hint")
+        told([[[1, 2, 3], [4, 5, 6]]], 4)
+    assert adapters.answer({"alpha": 3}, "alpha_hint", "alpha") == 3 and adapters.answer(7, "alpha") == 7 and adapters.answer({}, "alpha") is None
+
+
+def test_plugin(spark):
+    rows = [(i, y, x, 10 * i, y, x, 7 * x) for i in (1, 2) for y in range(2) for x in range(3)]
+    pixels = spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int, hint int")
+    got = adapters.plugin_mattes(pixels, "mattework.operators.adapters:luma_matte").collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, y, x, h, r, g, b, r, g, b, h) for i, y, x, r, g, b, h in rows)
+    with pytest.raises(RuntimeError):
+        adapters.plugin_mattes(pixels, "")
 
 
 GREEN, RED = (0, 220, 50), (200, 30, 30)
@@ -106,3 +139,121 @@ def test_nearest_seed_at_any_distance(spark):
     got = {(r.image_id, r.y, r.x): (r.ny, r.nx) for r in k.nearest_seeds(spark, marked, SMALL).collect()}
     want = {(i, y, x): min(((y - b) ** 2 + (x - c) ** 2, b, c) for j, b, c in seeds if j == i)[1:] for i, y, x in targets if i < 3}
     assert got == want
+
+
+# --- values worked out by hand, or by arrays, from the definitions ---------------------------------
+
+
+def pixels_of(spark, rows, columns):
+    return spark.createDataFrame([(1, *r) for r in rows], "image_id long, y int, x int, " + columns)
+
+
+def ran(spark, text, src):
+    return k._sql(spark, text, src)
+
+
+def test_spill_by_hand(spark):
+    """A green key: lead by level. Without a lead: what lies along the key once luma is taken off; nothing for gray."""
+    green = pixels_of(spark, [(0, 0, 51, 204, 102, 0, 220, 50), (0, 1, 200, 90, 100, 0, 220, 50)], "r int, g int, b int, kr int, kg int, kb int")
+    assert [round(r.spill, 6) for r in ran(spark, m.spill("SELECT * FROM {src}"), green).orderBy("x").collect()] == [0.5, 0.0]
+    weights = np.array([0.2126, 0.7152, 0.0722])
+    rows = [(0, 0, 255, 0, 255, 128, 110, 130), (0, 1, 40, 200, 60, 128, 110, 130), (0, 2, 9, 9, 9, 77, 77, 77)]
+    got = [r.spill for r in ran(spark, m.spill("SELECT * FROM {src}"), pixels_of(spark, rows, "r int, g int, b int, kr int, kg int, kb int")).orderBy("x").collect()]
+    for (_, _, *v), spill in zip(rows, got):
+        pixel, key = np.array(v[:3]) / 255, np.array(v[3:]) / 255
+        key = key - key @ weights
+        norm = np.linalg.norm(key)
+        assert abs(spill - (0 if norm < 1e-4 else np.clip((pixel - pixel @ weights) @ key / norm, 0, 1))) < 1e-9
+    assert got[0] > 0.3 and got[1] == 0 and got[2] == 0
+
+
+def test_auto_colour_needs_enough_pixels(spark):
+    """24 saturated pixels at least, and 16 in the cluster."""
+    row = lambda i, c: (0, i, *c, 0, 220, 50)
+    gray, blue, red = (90, 90, 90), (20, 40, 230), (230, 30, 20)
+    for colours, found in (([blue] * 23 + [gray] * 100, 0), ([blue] * 24 + [gray] * 100, 1), ([blue] * 15 + [red] * 15, 0), ([blue] * 16 + [red] * 15, 1), ([blue] * 24 + [gray] * 5000, 0)):
+        src = pixels_of(spark, [row(i, c) for i, c in enumerate(colours)], "r int, g int, b int, kr int, kg int, kb int")
+        got = ran(spark, m.auto_color(f.SPARK, "SELECT * FROM {src}"), src).collect()
+        assert len(got) == found and all((r.sr, r.sg, r.sb) == blue for r in got)
+
+
+def test_border_is_strided_in_order(spark):
+    h, w, bw = 7, 9, 2
+    order = [(y, x) for y in range(bw) for x in range(w)] + [(y, x) for y in range(h - bw, h) for x in range(w)]
+    order += [(y, x) for y in range(bw, h - bw) for x in range(bw)] + [(y, x) for y in range(bw, h - bw) for x in range(w - bw, w)]
+    src = spark.createDataFrame([(1, y, x) for y in range(h) for x in range(w)], "image_id long, y int, x int")
+    for most in (len(order), 20, 7):
+        step = max(1, len(order) // most) if len(order) > most else 1
+        got = {(r.y, r.x) for r in ran(spark, m.border("SELECT * FROM {src}", bw, most), src).collect()}
+        assert got == set(order[::step])
+
+
+@pytest.mark.parametrize("kernel", [3, 5, 13, 21])
+def test_gaussian_mirrors(spark, kernel):
+    rng = np.random.default_rng(kernel)
+    image = rng.random((14, 12))
+    r, sigma = kernel // 2, max(0.2, kernel / 5)
+    taps = np.exp(-np.arange(-r, r + 1) ** 2 / (2 * sigma**2))
+    taps /= taps.sum()
+    want = np.pad(image, r, mode="reflect")
+    for axis in (0, 1):
+        want = np.apply_along_axis(lambda v: np.convolve(v, taps, "valid"), axis, want)
+    src = pixels_of(spark, [(y, x, float(image[y, x])) for y in range(14) for x in range(12)], "v double")
+    for row in ran(spark, m.gaussian("SELECT * FROM {src}", "v", kernel, "soft"), src).collect():
+        assert abs(row.soft - want[row.y, row.x]) < 1e-9
+
+
+def test_edges_go_where_pixels_are_kept_or_hinted(spark):
+    """(keep, hint, background, alpha) and the edge that is left."""
+    cases = [((255, None, 0, 10), 0), ((0, 200, 0, 250), 0), ((0, 200, 0, 240), 1), ((0, 100, 0, 250), 1), ((0, 200, 1, 250), 1), ((0, None, 0, 255), 1)]
+    src = pixels_of(spark, [(0, i, *c, 1) for i, (c, _) in enumerate(cases)], "keep int, hint int, background int, alpha1 int, edge int")
+    text = lambda s: m.cleared_edge(f.SPARK, "SELECT * FROM {src}", s, "alpha1")
+    assert [r.edge for r in ran(spark, text(Settings()), src).orderBy("x").collect()] == [e for _, e in cases]
+    assert [r.edge for r in ran(spark, text(Settings(alpha_hint_strength=0.0)), src).orderBy("x").collect()] == [0, 1, 1, 1, 1, 1]
+
+
+def test_screen_of_a_tile(spark):
+    """Known columns at both sides of two levels of green; what none is near takes the fallback."""
+    level = lambda x: 220 if x < 5 else 180
+    rows = [(y, x, 0, level(x), 50, 1, 2, 3, 1 if x < 3 or x > 7 else 0) for y in range(9) for x in range(11)]
+    src = pixels_of(spark, rows, "r int, g int, b int, kr int, kg int, kb int, background int")
+    got = {(r.y, r.x): (r.sr, r.sg, r.sb) for r in ran(spark, m.screen_map(f.SPARK, "SELECT * FROM {src}", "background = 1", 2), src).collect()}
+    assert all(got[y, x] == (0, 220, 50) for y in range(9) for x in range(5)) and all(got[y, x][1] == 180 for y in range(9) for x in range(6, 11)) and got[4, 5] == (1, 2, 3)
+
+
+def test_seams_and_radii_of_tiles():
+    run = lambda e, **c: duckdb.sql(f"SELECT {e} FROM (SELECT {', '.join(f'{v} AS {k}' for k, v in c.items())})").fetchall()[0][0]
+    for y in range(20):
+        near = any(abs(y - t) <= 2 for t in range(7, 20, 7))
+        assert run(v.seam_band(7, (20, 5)), y=y, x=0) == near, y
+    box = {"h": 100, "w": 100, "core_y0": 0, "core_y1": 50, "core_x0": 50, "core_x1": 100, "read_y0": 0, "read_y1": 58, "read_x0": 45, "read_x1": 100}
+    assert run(v.bounded_radius(24), **box) == 5 and run(v.bounded_radius(3), **box) == 3 and run(v.can_look(10**6), **box)
+    assert not run(v.can_look(100), **box) and run(v.bounded_radius(24), **(box | {"read_x0": 50})) == 8
+    whole = {"h": 9, "w": 9, "core_y0": 0, "core_y1": 9, "core_x0": 0, "core_x1": 9, "read_y0": 0, "read_y1": 9, "read_x0": 0, "read_x1": 9}
+    assert not run(v.can_look(10**6), **whole) and run(v.bounded_radius(24), **whole) == 24
+    assert v.tile_of(Settings(tile_size=100), (50, 100)) == 0 and v.tile_of(Settings(tile_size=100), (50, 101)) == 100 and v.tile_of(Settings(use_tiling=False), (9999, 9999)) == 0
+    assert v.extra_overlap(Settings(), 30, 24) == 30 and v.extra_overlap(Settings(guided_alpha_refine=1.0, guided_radius=40), 30, 24) == 82 and v.overlap_of(Settings(tile_overlap=8), 30) == 30
+
+
+def test_composite_is_cut_off(spark):
+    src = pixels_of(spark, [(0, 0, 200, 100, 7, 128, 1.0, 200, 100, 7), (0, 1, 200, 100, 7, 0, 0.0, 50, 50, 50)], "r int, g int, b int, alpha int, a_true double, fr int, fg int, fb int")
+    got = {(r.background_name, r.x): (r.cr, r.cg, r.cb) for r in ran(spark, v.composite(f.SPARK, "SELECT * FROM {src}", v.PLAIN, exact=False), src).collect()}
+    assert got["gray", 0] == (164, 113, 67) and got["black", 0] == (100, 50, 3) and got["white", 1] == (255, 255, 255)
+    errors = {r.background_name: (r.n, r.max_error) for r in ran(spark, v.composite_error(f.SPARK, "SELECT * FROM {src}"), src).collect()}
+    assert errors == {"black": (2, 100), "white": (2, 123), "gray": (2, 60)}
+
+
+def test_tiles_render_what_the_whole_does(spark):
+    """A frame of 40 pixels rendered by tiles of 16 from the image's own maps is the whole frame's."""
+    def mixed(y, x):
+        a = min(1.0, max(0.0, (13 - ((y - 20) ** 2 + (x - 20) ** 2) ** 0.5) / 6))
+        return tuple(int(p * a + q * (1 - a)) for p, q in zip((220, 160, 120), (4, 214 + (x + y) % 5, 50)))
+
+    pixels = frame(spark, mixed, side=40, key=(4, 216, 50))
+    s = replace(SMALL, tile_size=16, tile_overlap=4)
+    matte = stage(k.key_frames(spark, pixels, s, (40, 40)).select("image_id", "y", "x", "r", "g", "b", "kr", "kg", "kb", "prob", "background", "edge", "alpha", "hint"), "matte")
+    found = lambda tile, s=s: {(r.y, r.x): (r["or"], r.og, r.ob, r.despill) for r in k.colours(spark, matte, s, (40, 40), tile).select("y", "x", "or", "og", "ob", "despill").collect()}
+    whole = found(0)
+    assert len(whole) == 1600 and found(16) == whole
+    local = found(16, replace(s, max_local_screen_model_pixels=1))
+    assert len(local) == 1600 and max(abs(a - b) for p in whole for a, b in zip(whole[p], local[p])) <= 2
