@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from mattework.functions import sql as f
 from mattework.functions.sql import DUCK, SPARK, Dialect
-from mattework.operators import adapters, components
+from mattework.operators import adapters, components, masks
 from mattework.operators import matte as m
 from mattework.operators import views as v
 from mattework.plans import key_image as k
 from mattework.plans import viewport as vp
 from mattework.plans.stages import stage
 from mattework.settings import Settings, preset
+from mattework.sources import fixtures
 from mattework.sources import rasters as s
 
 TABLES = ("part", "embeddings", "lineitem", "events")
@@ -60,6 +61,7 @@ PLAIN: dict[str, Callable[[Dialect], str]] = {
     "density_raster": lambda d: s.density_raster(d),
     "events_raster": lambda d: s.events_raster(d),
     "crop_filter": lambda d: pick(s.frames(d), f"{PX}, r, g, b") + " WHERE x >= 3 AND x < 11 AND y >= 2 AND y < 9",
+    "mask_level": lambda d: pick(s.frames(d), f"{PX}, {masks.mask_level(d, 'a_true', 'float', '1')} AS fraction, {masks.mask_level(d, 'a_true * 300e0 - 20e0', 'float')} AS level, {masks.mask_level(d, 'r * 2 - 100', 'int')} AS whole, {masks.mask_level(d, '(keep > 127)', 'bool')} AS kept"),
     "ensure_u8": lambda d: pick(m.add(s.embed_raster(d), **v.u8_columns(d)), f"{PX}, cr, cg, cb"),
     "rgb_to_hsv": lambda d: pick(s.embed_raster(d), f"{PX}, " + ", ".join(f"{e} AS {n}" for e, n in zip(f.hsv(d, "r", "g", "b"), ("hue", "sat", "val"), strict=True))),
     "smoothstep": lambda d: pick(s.frames(d), f"{PX}, {d.rint('10000e0 * ' + f.ss(0.2, 0.9, 'r / 255e0'))} AS up, {d.rint('10000e0 * ' + f.ss(0.5, 0.5, 'g / 255e0'))} AS step"),
@@ -225,6 +227,25 @@ def _seams(d: Dialect, matte: str) -> str:
     return v.seam_metrics(d, _tiles(d, matte, 5, TILED, near), _tiles(d, matte, 7, TILED, near), band)
 
 
+def masked(d: Dialect) -> str:
+    """Frames beside which a mask of half the size stands: (image_id, y, x, mask)."""
+    return f"SELECT image_id, y, x, CASE WHEN (x + y + image_id) % 3 = 0 THEN 255 ELSE (x * 31 + y) % 128 END AS mask FROM ({s.frames(d, 6, 8)}) f WHERE image_id % 2 = 0"
+
+
+def _imported(spark: SparkSession) -> DataFrame:
+    pixels = stage(spark.sql(pick(s.frames(SPARK), f"{PX}, keep")), "pixels")
+    return masks.with_mask(pixels, spark.sql(masked(SPARK)), "keep").select(*PX.split(", "), "keep")
+
+
+def _fixtures(spark: SparkSession) -> DataFrame:
+    """Metrics of frames with known truth, a sixth of their size, keyed with the default settings."""
+    pixels = stage(fixtures.disc_frames(spark, 6.0), "fixtures")
+    shape = (120, 160)
+    out = k.key_frames(spark, k.screened(spark, pixels.drop("island"), Settings()), Settings(), shape)
+    out = stage(out.select("image_id", "y", "x", F.col("or").alias("r"), F.col("og").alias("g"), F.col("ob").alias("b"), "alpha", "fringe", "a_true", "fr", "fg", "fb", "kr", "kg", "kb"), "keyed")
+    return k._sql(spark, v.metric_bundle(SPARK, "SELECT * FROM {src}"), out)
+
+
 #: Queries that need more than one statement in Spark: (Spark, oracle or None).
 SPECIAL: dict[str, tuple[Callable[[SparkSession], DataFrame], str | None]] = {
     "border_connected": (lambda spark: components.border_connected(_embed(spark), DENSE), components.reach_sql(s.embed_raster(DUCK), DENSE, components.BORDER_SEED) + " SELECT * FROM reach"),
@@ -251,6 +272,12 @@ SPECIAL: dict[str, tuple[Callable[[SparkSession], DataFrame], str | None]] = {
     "tile_local_render": _on_matte(lambda d, matte: _tiles(d, matte, 5, TILED, None)),
     "tile_local_crop": _on_matte(lambda d, matte: f"SELECT * FROM ({_tiles(d, matte, 5, TILED, None)}) t WHERE x >= 3 AND x < 13 AND y >= 4 AND y < 11"),
     "global_screen_render": _on_matte(lambda d, matte: _whole(d, matte, replace(S, local_screen_model=False))),
+    "mask_import": (_imported, f"SELECT p.image_id, p.y, p.x, cast(coalesce(mask, keep) as int) AS keep FROM ({s.frames(DUCK)}) p LEFT JOIN ({masked(DUCK)}) q ON p.image_id = q.image_id AND p.y // 2 = q.y AND p.x // 2 = q.x"),
+    "fixture_metrics": (_fixtures, None),
+    "adapter_matte": (
+        lambda spark: adapters.plugin_mattes(spark.sql(pick(s.frames(SPARK), f"{PX}, r, g, b, hint")), "mattework.operators.adapters:luma_matte"),
+        pick(s.frames(DUCK), f"{PX}, coalesce(hint, 0) AS alpha, r AS fr, g AS fg, b AS fb, r AS pr, g AS pg, b AS pb, coalesce(hint, 0) AS pa"),
+    ),
     "adapter_hint": (lambda spark: adapters.generate_hints(spark.sql(pick(s.frames(SPARK), f"{PX}, r, g, b")), "mattework.operators.adapters:luma_hint", seam=adapters.PLAIN), pick(s.frames(DUCK), f"{PX}, {DUCK.trunc('(r + g + b) / 3e0 / 255e0 * 255e0')} AS hint")),
 }
 

@@ -341,3 +341,20 @@ def write_png(pixels: DataFrame, folder: str, channels: tuple[str, ...] = ("r",
 def write_mask(pixels: DataFrame, folder: str, column: str = "alpha") -> None:
     """The first channel of a mask as gray PNG files."""
     write_png(pixels, folder, (column,))
+
+
+def export_result(result: DataFrame, folder: str) -> None:
+    """Results as RGBA files, the colour of transparent pixels 0."""
+    clear = {c: F.when(F.col("alpha") > 0, F.col(c)).otherwise(F.lit(0)) for c in "rgb"}
+    write_png(result.withColumns(clear), folder)
+
+
+def export_matte(result: DataFrame, folder: str) -> None:
+    """The alpha of results as gray files."""
+    write_mask(result, folder, "alpha")
+
+
+def write_baseline(results: DataFrame, metrics: DataFrame, folder: str) -> None:
+    """What a later run is compared with: results as Parquet, the metrics of each image as lines of JSON."""
+    results.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/results")
+    metrics.write.mode("overwrite").json(f"{folder.rstrip('/')}/metrics")

@@ -5,15 +5,17 @@ from dataclasses import replace
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mattework.functions import sql as f
-from mattework.operators import adapters
+from mattework.operators import adapters, masks
 from mattework.operators import matte as m
 from mattework.operators import views as v
 from mattework.operators.matte import ellipse
-from mattework.plans import catalog
+from mattework.plans import catalog, jobs
 from mattework.plans import key_image as k
 from mattework.plans.stages import stage
+from mattework.sources import fixtures
 from mattework.settings import Settings, normalized_crop, odd_kernel, preset
 
 SF = "/root/testdata/sf0.001"
@@ -257,3 +259,50 @@ def test_tiles_render_what_the_whole_does(spark):
     assert len(whole) == 1600 and found(16) == whole
     local = found(16, replace(s, max_local_screen_model_pixels=1))
     assert len(local) == 1600 and max(abs(a - b) for p in whole for a, b in zip(whole[p], local[p])) <= 2
+
+
+def test_masks_join_at_any_size(spark):
+    pixels = spark.createDataFrame([(i, y, x, 7) for i in (1, 2) for y in range(6) for x in range(9)], "image_id long, y int, x int, keep int")
+    mask = spark.createDataFrame([(1, y, x, 10 * y + x) for y in range(4) for x in range(3)], "image_id long, y int, x int, mask int")
+    got = {(r.image_id, r.y, r.x): r.keep for r in masks.with_mask(pixels, mask, "keep").collect()}
+    assert got == {(i, y, x): 10 * (y * 4 // 6) + x * 3 // 9 if i == 1 else 7 for i in (1, 2) for y in range(6) for x in range(9)}
+    assert {r.hint for r in masks.with_mask(pixels, mask.limit(0), "hint").collect()} == {None}
+    assert {r.keep for r in masks.without_mask(pixels, "keep").collect()} == {0}
+    with pytest.raises(ValueError):
+        masks.with_mask(pixels, mask, "other")
+
+
+def test_work_in_the_background(spark):
+    from concurrent.futures import CancelledError
+
+    done = jobs.Work(spark, lambda: spark.range(1000).selectExpr("sum(id) AS s").first().s)
+    assert done.result(60) == 499500 and not done.running and done.progress().done > 0
+    slow = lambda: spark.range(4).rdd.map(lambda i: __import__("time").sleep(60)).count()
+    latest = jobs.Latest(spark)
+    first = latest.ask(slow)
+    import time
+
+    while not first.progress().known:
+        time.sleep(0.1)
+    second = latest.ask(lambda: 5)
+    with pytest.raises(CancelledError):
+        first.result(60)
+    assert second.result(60) == 5
+
+
+def test_quality_of_frames_with_known_truth(spark):
+    """Thresholds, away from the edge band: 98.5 % of the screen at most 8 (flat ones 4), 98.5 % of the core at least
+    245 (its middle 248); an island in the screen's colour stays; an antialiased edge stays soft, without a rest of key."""
+    s = Settings()
+    pixels = stage(fixtures.disc_frames(spark, 6.0), "fixtures")
+    out = k.key_frames(spark, k.screened(spark, pixels, s), s, (120, 160)).select("image_id", "y", "x", "alpha", F.col("or").alias("r"), F.col("og").alias("g"), F.col("ob").alias("b"))
+    truth = spark.createDataFrame([(i, d.radius / 6, round(d.height / 6), round(d.width / 6)) for i, d in enumerate(fixtures.DISCS)], "image_id long, radius double, h int, w int")
+    out = out.join(pixels.select("image_id", "y", "x", "island"), ["image_id", "y", "x"]).join(F.broadcast(truth), "image_id")
+    out = out.withColumn("dist", F.expr("sqrt(pow(x - w / 2e0, 2) + pow(y - h / 2e0, 2))"))
+    share = lambda where, what: F.avg(F.when(F.expr(where), F.expr(what).cast("int")))
+    told = {fixtures.DISCS[r.image_id].name: r for r in out.groupBy("image_id").agg(
+        share("dist > radius + 13", "alpha <= 8").alias("gone"), F.max(F.when(F.expr("dist > radius + 13"), F.col("alpha"))).alias("back"), share("dist < radius - 13", "alpha >= 245").alias("kept"),
+        F.max(F.when(F.expr("y = h div 2 and x = w div 2"), F.col("alpha"))).alias("middle"), F.min(F.when(F.col("island"), F.col("alpha"))).alias("island"), F.count_if(F.expr("alpha > 35 and alpha < 220")).alias("soft"), F.max(F.when(F.col("alpha") == 0, F.greatest("r", "g", "b"))).alias("dirt")).collect()}
+    assert all(r.gone > 0.985 and r.dirt == 0 for r in told.values()) and all(told[n].back <= 4 for n in told if "flat" in n), told
+    assert all(told[n].kept > 0.985 and told[n].middle >= 248 for n in told if "fringe" not in n), told
+    assert told["green_same_color_island"].island >= 248 and told["green_antialiased_edge"].soft > 900 / 6, told
