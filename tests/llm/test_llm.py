@@ -365,6 +365,24 @@ def test_warc(spark, docs):
     assert warc.warc_roundtrip(pages.limit(0)).count() == 0
 
 
+def test_warc_against_plain_python(spark):
+    """Every record by its definition: length and digest of the payload, the largest page_id of equal ones the response."""
+    import base64
+
+    rng = random.Random(9)
+    kinds = ["", None, "a", "\r\n\r\nWARC/1.0", words(rng, 2000), "é" * 300]
+    rows = [(i, f"http://h/{i}", kinds[rng.randrange(6)] if i % 3 else words(rng, 5)) for i in range(90)]
+    got = {r.page_id: tuple(r[c] for c in ("payload_bytes", "payload_digest", "record_type", "refers_to")) for r in warc.warc_roundtrip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    last = {}
+    for i, _, html in rows:
+        last[html or ""] = max(i, last.get(html or "", -1))
+    for i, _, html in rows:
+        raw, top = (html or "").encode(), last[html or ""]
+        told = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        assert got[i] == (len(raw), told, "response" if top == i else "revisit", None if top == i else top)
+    assert len(got) == 90
+
+
 def test_normaliser_reads_one_stream_and_writes_members():
     raw = [warc.record(i, "u", b"\r\n\r\nWARC/1.1" * i, "response", None, "d") for i in range(20)]
     members = list(warc.normalise(io.BytesIO(b"".join(warc.write_monolith(iter(raw))))))
