@@ -66,7 +66,7 @@ def _combine(owner: np.ndarray):
         volume = 0
 
         def out():
-            rows = [(int(owner[(k >> 48) & 0xFFFF]) if DIRECTORY_BITS == 16 else 0, k, t, d, n) for (k, t), (d, n) in held.items()]
+            rows = [(int(owner[(k >> (64 - DIRECTORY_BITS)) & ((1 << DIRECTORY_BITS) - 1)]), k, t, d, n) for (k, t), (d, n) in held.items()]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bucket", "key", "text", "doc_id", "n"])
 
