@@ -4,9 +4,10 @@ Subwords are the 3- and 4-byte grams of the lower-cased text with white space as
 one of 2**BUCKET_BITS buckets. A text's vector is the mean of its buckets' embeddings; a linear softmax
 over it gives the language. Embeddings and softmax are trained by stochastic gradient descent in numpy on
 a bounded sample: about SAMPLE labelled rows for each language, chosen by a hash of doc_id, whole texts.
-Half of a fold kept out of training fits a temperature, the other half the rejection: the score below
-which a text is rejected, set so that of the fold's rightly named texts one in a thousand at most falls
-below it.
+A fold of the sample kept out of training fits a temperature. A tenth of all labelled rows is never in the
+sample; about CALIBRATION of them, chosen by a hash of doc_id, are predicted and fit the rejection: the
+score below which a text is rejected, set so that of those rightly named REJECT_SHARE at most falls below
+it. Without such rows nothing but texts without a letter is rejected.
 
 A null text and a text without a letter get `und` with score 0 and are rejected. An empty table or one
 without labelled rows gives `und` for all. Columns other than text, lang and doc_id are not read; only
@@ -15,7 +16,7 @@ text is an input of a prediction. Repeated rows are predicted each.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ SAMPLE = 1200
 #: Languages that are learned; the most frequent if there are more.
 LANGUAGES = 400
 REJECT_SHARE = 0.001
+#: Labelled rows outside the sample, of all languages, whose scores fit the rejection, in the mean.
+CALIBRATION = 20_000
 GRAMS = (3, 4)
 
 
@@ -61,7 +64,7 @@ class Model:
     names: list[str]
     logits: np.ndarray  # (buckets, languages): embedding times softmax, over the temperature
     bias: np.ndarray
-    reject: float
+    reject: float = 0.0
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         found, at = buckets(data, offsets)
@@ -97,7 +100,7 @@ class Shares:
 
 
 def train(features: Shares, labels: np.ndarray, names: list[str], fold: np.ndarray, epochs: int = 30, rate: float = 2.0, seed: int = 7) -> Model:
-    """fold: 0 train, 1 temperature, 2 rejection."""
+    """fold: 0 train, 1 temperature."""
     rng = np.random.default_rng(seed)
     k = len(names)
     embed = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM)).astype(np.float32)
@@ -130,11 +133,7 @@ def train(features: Shares, labels: np.ndarray, names: list[str], fold: np.ndarr
     z = raw(at)
     loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(at)), labels[at]], 1e-12)).mean() for t in steps] if len(at) else [0.0]
     t = float(steps[int(np.argmin(loss))]) if len(at) else 1.0
-    at = np.flatnonzero(fold == 2)
-    p = softmax(raw(at) / t) if len(at) else np.zeros((0, k))
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == labels[at]]) if len(at) else np.zeros(0)
-    reject = min(float(right[int(len(right) * REJECT_SHARE)]), 1.5 / k, 0.6) if len(right) else 0.0
-    return Model(names, (logits / t).astype(np.float64), (bias / t).astype(np.float64), reject)
+    return Model(names, (logits / t).astype(np.float64), (bias / t).astype(np.float64))
 
 
 def _histograms(batches):
@@ -157,19 +156,29 @@ def learn(docs: DataFrame, train_rows, sample: int = SAMPLE) -> Model | None:
         return None
     names = sorted(r["lang"] for r in counts)
     spot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10))
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 30, int(sample / r["count"] * (1 << 30)) + 1))]), F.col("lang"))
-    chosen = known.where(F.col("lang").isin(names) & (spot < share)).select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)).alias("fold"))
-    features, labels, fold = Shares(), [], []
+    known = known.where(F.col("lang").isin(names)).withColumn("fold", fold)
+    features, labels, folds = Shares(), [], []
+    chosen = known.where((F.col("fold") != 1) & (spot < share)).select("text", "lang", "fold")
     for r in chosen.mapInArrow(_histograms, "lang string, fold long, kinds array<int>, counts array<int>").toLocalIterator():
         features.add(r["kinds"], r["counts"])
         labels.append(names.index(r["lang"]))
-        fold.append(1 if r["fold"] == 0 else 2 if r["fold"] == 1 else 0)
+        folds.append(int(r["fold"] == 0))
     if not labels:
         return None
-    model = train(features, np.array(labels), names, np.array(fold))
+    model = train(features, np.array(labels), names, np.array(folds))
     del features
     give_back()
-    return model
+    part = min(1 << 30, int(10 * CALIBRATION / sum(r["count"] for r in counts) * (1 << 30)) + 1)
+    return replace(model, reject=rejection(known.where((F.col("fold") == 1) & (spot < part)), model))
+
+
+def rejection(labelled: DataFrame, model: Model) -> float:
+    """The score below which REJECT_SHARE of the rightly named rows of labelled(text, lang) fall at most."""
+    found = predicted(labelled, model, ["lang"]).where("lang_pred = lang").select("score")
+    scores = np.sort([r["score"] for r in found.toLocalIterator()])
+    return float(scores[int(len(scores) * REJECT_SHARE)]) if len(scores) else 0.0
 
 
 def _predict(held):
@@ -192,12 +201,15 @@ def _predict(held):
 
 def identify(docs: DataFrame, train_rows, keep: list[str]) -> DataFrame:
     """The columns in keep, and lang_pred, score, rejected, for every row of docs(doc_id, text, lang)."""
-    spark = docs.sparkSession
-    small_batches(spark, 500)
-    model = spark.sparkContext.broadcast(learn(docs, train_rows))
+    small_batches(docs.sparkSession, 500)
+    return predicted(docs, learn(docs, train_rows), keep)
+
+
+def predicted(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(model)
     rest = docs.select(F.struct(*keep).alias("rest"), F.col("text").cast("string").alias("text"), F.col("text").rlike("\\p{L}").alias("letters"))
     kind = rest.schema["rest"].dataType.simpleString()
-    out = rest.mapInArrow(_predict(model), f"rest {kind}, lang_pred string, score double, rejected boolean")
+    out = rest.mapInArrow(_predict(held), f"rest {kind}, lang_pred string, score double, rejected boolean")
     return out.select("rest.*", "lang_pred", "score", "rejected")
 
 
