@@ -30,14 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mattework.llm.bpe import byte_symbols
-from mattework.llm.shared import materialize, small_batches
+from mattework.llm.shared import bitmap, flagged, materialize, small_batches
 
 CAPACITY = 1024
 END_ID = 0
 #: Pieces of one length are ranked in so many parts, those of whole windows in more.
 SALTS, FULL_SALTS = 64, 2048
-#: Cut pieces whose documents are found by a broadcast of their ids; more are joined.
-FEW = 50_000
 
 
 @dataclass(frozen=True)
@@ -262,6 +260,16 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PACKED_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def _flagged(bits: int, held):
+    """Rows whose flag is set: all that a part needs and few besides, so that no other text moves."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(flagged(held.value, bits, np.asarray(batch["row_id"]))))
+
+    return run
+
+
 def _recut(path: str, end: bytes):
     """The parts of the pieces that the plan cuts, from their documents' texts; rows of one text follow each other."""
 
@@ -308,8 +316,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     placed = materialize(placed, "placed")
     whole = placed.where("size = length").select(*PACKED_NAMES)
     parts = materialize(placed.where("size < length").select("doc_id", "row_id", "start", "size", "sequence_id", "offset"), "parts")
-    few = parts.select("row_id").distinct()
-    small = parts.count() <= FEW
-    texts = docs.select("row_id", "text").join(F.broadcast(few) if small else few, "row_id", "left_semi").dropDuplicates(["row_id"])
-    found = texts.join(F.broadcast(parts) if small else parts, "row_id")
+    bits, flags = bitmap(parts.select(F.col("row_id").alias("hash")), parts.count())
+    texts = docs.select("row_id", "text").mapInArrow(_flagged(bits, spark.sparkContext.broadcast(flags)), "row_id long, text string").dropDuplicates(["row_id"])
+    # a merge at every size: what moves is the parts and the texts that have any
+    found = parts.join(texts.hint("merge"), "row_id").select("row_id", "text", "doc_id", "start", "size", "sequence_id", "offset")
     return whole.unionByName(found.mapInArrow(_recut(tokenizer_path, end), PACKED))
