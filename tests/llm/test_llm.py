@@ -257,6 +257,31 @@ def test_lcp_is_local():
     assert near[0] > 0.85 and near[1] < 0.1
 
 
+def test_lcp_edits_against_plain_python(spark):
+    """Edited texts over ranges of few rows, beyond the BMP, empty and null; sketches of texts alone; likeness counted bin by bin."""
+    rng = random.Random(17)
+    texts = [words(rng, rng.randint(1, 120)) + "\U0001f600é" * rng.randint(0, 3) for _ in range(24)] + ["", None, "ab", words(rng, 4000)]
+    rows = list(zip(rng.sample(range(-50, 10**12), len(texts)), texts, strict=True))
+    got = {r.doc_id: r for r in lcp.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), range_rows=5).collect()}
+    ordered = sorted(rows, reverse=True, key=lambda r: r[0])
+    bins = lambda t: lcp.hexed(lcp.sketch_texts([t.encode()]))[0]
+
+    def alike(x, y):
+        x, y = ([h[i : i + 4] for i in range(0, len(h), 4)] for h in (x, y))
+        either = sum(p != "0000" or q != "0000" for p, q in zip(x, y, strict=True))
+        return sum(p == q != "0000" for p, q in zip(x, y, strict=True)) / either if either else 1.0
+
+    assert len(got) == len(rows)
+    for i, (doc, text) in enumerate(ordered):
+        text, following = text or "", ordered[(i + 1) % len(rows)][1] or ""
+        k = len(text) // 3
+        changed = "".join([*text[: len(text) - k], *following[:k]])
+        r = got[doc]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == (bins(text), bins(changed))
+        assert r.near_edited == alike(bins(text), bins(changed)) and r.near_next == alike(bins(text), bins(following))
+
+
 def test_ctw(docs, empty):
     got = {r.doc_id: r for r in ctw.score_texts(docs).collect() if r.doc_id is not None}
     joined = {r.doc_id: r for r in ctw.score_texts(docs, vocabulary=0).collect() if r.doc_id is not None}
@@ -341,6 +366,27 @@ def test_languages_and_toxicity_take_hostile_inputs(spark, docs, empty):
     assert toxicity.score_toxicity(docs, labels.limit(0)).count() == docs.count() and toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_language_scores_and_rejection_against_plain_python(spark):
+    rng = np.random.default_rng(9)
+    model = langid.Model(["aa", "bb", "cc"], rng.normal(0, 9, (1 << langid.BUCKET_BITS, 3)), rng.normal(0, 1, 3))
+    texts = [words(random.Random(i), i % 40 + 1) for i in range(300)]
+    plain = []
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        found, _ = langid.buckets(data, np.array([0, len(data)]))
+        assert len(found) == sum(max(len(data) - n + 1, 0) for n in langid.GRAMS)
+        z = [sum(model.logits[b, k] for b in found) / max(len(found), 1) + model.bias[k] for k in range(3)]
+        e = [math.exp(v - max(z)) for v in z]
+        plain.append((model.names[z.index(max(z))], max(e) / sum(e)))
+    labels = [name if i % 3 else "cc" for i, (name, _) in enumerate(plain)]
+    docs = spark.createDataFrame(list(zip(range(300), texts, labels, strict=True)), "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predicted(docs, model, ["doc_id"]).collect()}
+    assert all(got[i].lang_pred == name and abs(got[i].score - p) < 1e-9 for i, (name, p) in enumerate(plain))
+    right = sorted(p for i, (name, p) in enumerate(plain) if labels[i] == name)
+    assert langid.rejection(docs, model) == pytest.approx(right[int(len(right) * langid.REJECT_SHARE)])
+    assert langid.rejection(docs.where("false"), model) == 0.0
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
