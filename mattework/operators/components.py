@@ -1,7 +1,8 @@
 """Connected components (eight neighbours) of a mask, over runs of pixels instead of pixels.
 
-Runs are found by a window along a row; runs of neighbouring rows that touch are edges. The runs of one
-image, far fewer than its pixels, are joined by union-find in one Arrow group.
+Runs are found by a window along a row and joined by union-find in stripes of STRIPE rows, a stripe a group. The last
+row of a stripe stands in the next stripe too; where it got a label in both, the two are one component. These links, at
+most one for two pixels of every STRIPE-th row, are joined by image: 2 million for an image of a thousand million pixels.
 """
 
 from __future__ import annotations
@@ -10,7 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mattework.plans.stages import stage
+
+#: Rows of an image that are labelled in one group.
+STRIPE = 256
 LABELLED = "image_id long, y int, x0 int, x1 int, label long, area long, border boolean"
+#: Above all labels (y * 10**6 + x0), so that stripe * NODE + label names a component of a stripe.
+NODE = 1 << 41
 
 
 def runs_sql(mask: str) -> str:
@@ -23,16 +30,31 @@ def mask_runs(mask: DataFrame) -> DataFrame:
     return mask.withColumn("island", island).groupBy("image_id", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
 
 
-def _label(runs: pd.DataFrame) -> pd.DataFrame:
-    runs = runs.sort_values(["y", "x0"], ignore_index=True)
-    parent = list(range(len(runs)))
+class _Sets:
+    """Disjoint sets of 0..n-1; a set's least member stands for it."""
 
-    def find(i: int) -> int:
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
+    def join(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        self.parent[max(a, b)] = min(a, b)
+
+    def roots(self) -> list[int]:
+        return [self.find(i) for i in range(len(self.parent))]
+
+
+def _label(runs: pd.DataFrame) -> pd.DataFrame:
+    """Runs of a stripe with the label, area and border of their component there; the row above only connects."""
+    runs = runs.sort_values(["y", "x0"], ignore_index=True)
+    sets = _Sets(len(runs))
     rows: dict[int, list[int]] = {}
     x0, x1, ys = runs["x0"].tolist(), runs["x1"].tolist(), runs["y"].tolist()
     for i, y in enumerate(ys):
@@ -44,24 +66,51 @@ def _label(runs: pd.DataFrame) -> pd.DataFrame:
                 k += 1
             j = k
             while j < len(above) and x0[above[j]] <= x1[i] + 1:
-                a, b = find(i), find(above[j])
-                parent[max(a, b)] = min(a, b)
+                sets.join(i, above[j])
                 j += 1
-    root = [find(i) for i in range(len(runs))]
-    runs["label"] = [ys[r] * 1_000_000 + x0[r] for r in root]
-    size = runs["x1"] - runs["x0"] + 1
-    runs["area"] = size.groupby(runs["label"]).transform("sum")
+    runs["label"] = [ys[r] * 1_000_000 + x0[r] for r in sets.roots()]
+    own = ~runs["above"]
+    runs["area"] = ((runs["x1"] - runs["x0"] + 1) * own).groupby(runs["label"]).transform("sum")
     touch = (runs["y"] == 0) | (runs["x0"] == 0) | (runs["y"] == runs["h"] - 1) | (runs["x1"] == runs["w"] - 1)
-    runs["border"] = touch.groupby(runs["label"]).transform("any")
-    return runs[["image_id", "y", "x0", "x1", "label", "area", "border"]]
+    runs["border"] = (touch & own).groupby(runs["label"]).transform("any")
+    return runs[["image_id", "y", "x0", "x1", "label", "area", "border", "stripe", "above"]]
+
+
+def _joined(links: pd.DataFrame) -> pd.DataFrame:
+    """The whole components of an image that links of its stripes' components make."""
+    sides = [links[[f"{c}_{side}" for c in ("node", "label", "area", "border")]].set_axis(["node", "label", "area", "border"], axis=1) for side in "ab"]
+    nodes = pd.concat(sides, ignore_index=True).drop_duplicates("node").sort_values("label", ignore_index=True)
+    at = pd.Series(nodes.index, nodes["node"])
+    sets = _Sets(len(nodes))
+    for i, j in zip(at[links["node_a"]].tolist(), at[links["node_b"]].tolist(), strict=True):
+        sets.join(i, j)
+    whole = nodes.groupby(sets.roots())
+    out = nodes.assign(label=whole["label"].transform("min"), area=whole["area"].transform("sum"), border=whole["border"].transform("any"))
+    return out.assign(image_id=links["image_id"].iloc[0])[["image_id", "node", "label", "area", "border"]]
 
 
-def labelled(pixels: DataFrame, mask: str) -> DataFrame:
+def labelled(pixels: DataFrame, mask: str, stripe: int = STRIPE) -> DataFrame:
     """Runs of the pixels where the condition holds, with label (y * 10**6 + x0 of the first run), area and
     whether the component touches the image's border."""
     size = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     runs = mask_runs(pixels.where(mask).select("image_id", "y", "x")).join(size, "image_id")
-    return runs.groupBy("image_id").applyInPandas(lambda pdf: _label(pdf), LABELLED)
+    own = F.floor(F.col("y") / stripe).cast("int")
+    last = (F.col("y") % stripe == stripe - 1) & (F.col("y") < F.col("h") - 1)
+    dealt = runs.withColumn("stripe", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
+    dealt = dealt.withColumn("above", F.col("y") < F.col("stripe") * stripe)
+    parts = stage(dealt.groupBy("image_id", "stripe").applyInPandas(lambda pdf: _label(pdf), f"{LABELLED}, stripe int, above boolean"), "stripes")
+    node = F.col("stripe") * F.lit(NODE) + F.col("label")
+    end = lambda side: [node.alias(f"node_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("label", "area", "border"))]
+    below = parts.where("above").select("image_id", "y", "x0", *end("b"))
+    rows = parts.where("not above")
+    if below.isEmpty():  # no image is higher than a stripe
+        return rows.drop("stripe", "above")
+    ends = rows.where(F.col("y") % stripe == stripe - 1).select("image_id", "y", "x0", *end("a"))
+    links = ends.join(below, ["image_id", "y", "x0"]).drop("y", "x0").distinct()
+    whole = links.groupBy("image_id").applyInPandas(lambda pdf: _joined(pdf), "image_id long, node long, label long, area long, border boolean")
+    whole = whole.select("image_id", "node", F.struct("label", "area", "border").alias("whole"))
+    out = rows.withColumn("node", node).join(whole, ["image_id", "node"], "left")
+    return out.select("image_id", "y", "x0", "x1", *(F.coalesce(f"whole.{c}", c).alias(c) for c in ("label", "area", "border")))
 
 
 def pixels_of(runs: DataFrame, *columns: str) -> DataFrame:

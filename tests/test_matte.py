@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mattework.functions import sql as f
-from mattework.operators import adapters, masks
+from mattework.operators import adapters, components, masks
 from mattework.operators import matte as m
 from mattework.operators import views as v
 from mattework.operators.matte import ellipse
@@ -190,6 +190,34 @@ def test_border_is_strided_in_order(spark):
         assert got == set(order[::step])
 
 
+@pytest.mark.parametrize("stripe", [1, 3, 7, 256])
+def test_components_across_stripes(spark, stripe):
+    """Random masks, a spiral, a comb and an empty mask, against a flood fill."""
+    rng = np.random.default_rng(stripe)
+    spiral, comb = np.zeros((15, 15), bool), np.zeros((15, 15), bool)
+    for i in range(1, 14, 4):  # squares, each open to the next
+        spiral[i, 1:14] = True
+    spiral[1:14, 13], comb[1:14, 1:14:2], comb[13, 1:14] = True, True, True
+    grids = [rng.random((23, 19)) < 0.4, rng.random((8, 31)) < 0.3, spiral, comb, np.zeros((9, 9), bool), ~comb]
+    pixels = spark.createDataFrame([(n, y, x, int(g[y, x])) for n, g in enumerate(grids) for y in range(g.shape[0]) for x in range(g.shape[1])], "image_id long, y int, x int, v int")
+    want = set()
+    for n, g in enumerate(grids):
+        h, w = g.shape
+        left = {(int(y), int(x)) for y, x in np.argwhere(g)}
+        while left:
+            todo, whole = [left.pop()], []
+            while todo:
+                y, x = todo.pop()
+                whole.append((y, x))
+                near = {(y + j, x + i) for j in (-1, 0, 1) for i in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            first, border = min(whole), any(y in (0, h - 1) or x in (0, w - 1) for y, x in whole)
+            want |= {(n, y, x, first[0] * 10**6 + first[1], len(whole), border) for y, x in whole}
+    got = components.pixels_of(components.labelled(pixels, "v = 1", stripe), "label", "area", "border").select("image_id", "y", "x", "label", "area", "border").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 @pytest.mark.parametrize("kernel", [3, 5, 13, 21])
 def test_gaussian_mirrors(spark, kernel):
     rng = np.random.default_rng(kernel)
