@@ -3,7 +3,8 @@
 Subwords are the 3- and 4-byte grams of the lower-cased text with white space as one mark; each hashes to
 one of 2**BUCKET_BITS buckets. A text's vector is the mean of its buckets' embeddings; a linear softmax
 over it gives the language. Embeddings and softmax are trained by stochastic gradient descent in numpy on
-a bounded sample: about SAMPLE labelled rows for each language, chosen by a hash of doc_id, whole texts.
+a bounded sample: about SAMPLE labelled rows for each language, chosen by a hash of doc_id, whole texts; with more
+than SAMPLE_ROWS / SAMPLE languages each gives an equal share of SAMPLE_ROWS. Every language of a labelled row is learned.
 A fold of the sample kept out of training fits a temperature. A tenth of all labelled rows is never in the
 sample; about CALIBRATION of them, chosen by a hash of doc_id, are predicted and fit the rejection: the
 score below which a text is rejected, set so that of those rightly named REJECT_SHARE at most falls below
@@ -27,10 +28,8 @@ from mattework.llm.bytesops import LOWER, NAMES, SPACE, U, give_back, gram_hash,
 from mattework.llm.shared import small_batches
 
 BUCKET_BITS, DIM = 13, 16
-#: Labelled rows of each language in training, in the mean.
-SAMPLE = 1200
-#: Languages that are learned; the most frequent if there are more.
-LANGUAGES = 400
+#: Labelled rows of each language in training, in the mean, and of all languages together.
+SAMPLE, SAMPLE_ROWS = 1200, 480_000
 REJECT_SHARE = 0.001
 #: Labelled rows outside the sample, of all languages, whose scores fit the rejection, in the mean.
 CALIBRATION = 20_000
@@ -151,14 +150,15 @@ def learn(docs: DataFrame, train_rows, sample: int = SAMPLE) -> Model | None:
     """A model from the rows of docs(doc_id, text, lang) that the condition train_rows names."""
     known = docs.where(train_rows & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     known = known.where(F.col("text").rlike("\\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return None
     names = sorted(r["lang"] for r in counts)
+    sample = min(sample, SAMPLE_ROWS / len(names))
     spot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10))
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 30, int(sample / r["count"] * (1 << 30)) + 1))]), F.col("lang"))
-    known = known.where(F.col("lang").isin(names)).withColumn("fold", fold)
+    known = known.withColumn("fold", fold)
     features, labels, folds = Shares(), [], []
     chosen = known.where((F.col("fold") != 1) & (spot < share)).select("text", "lang", "fold")
     for r in chosen.mapInArrow(_histograms, "lang string, fold long, kinds array<int>, counts array<int>").toLocalIterator():
