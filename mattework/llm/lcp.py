@@ -8,12 +8,14 @@ symbol. A boundary depends on a few symbols around it only, so equal substrings
 near their ends, wherever they stand. The fingerprint is a one-permutation min-hash of the names of the
 phrases of levels SKETCHED (a phrase of level 3 spans some thirty bytes): BINS bins of 16 bits in hex.
 
-Null counts as empty; the empty text's fingerprint is all zeros. Equal texts have equal fingerprints.
+Null counts as empty; the empty text's fingerprint is all zeros. Equal texts have equal fingerprints. An empty table
+gives no rows; columns other than doc_id and text are not read. Texts are parsed whole, a few at a time by their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -182,14 +184,38 @@ def _range_of(key: Column, cuts: list[int], fan: int = 64) -> Column:
     return F.when(group == 0, 0).otherwise((group - 1) * step + below(F.element_at(F.array(*map(array, coarse)), F.greatest(group, F.lit(1))))).cast("int")
 
 
+#: The first bytes of a text as a number, in the order of texts.
+HEAD = "cast(conv(rpad(hex(substring(cast(text as binary), 1, 7)), 14, '0'), 16, 10) as long)"
+
+
+def _ranges(docs: DataFrame, parts: int) -> DataFrame:
+    """docs(key, text) with part: about as many equal ranges in the order of key, and of text where a key is frequent.
+
+    A key that several cuts fall on starts a range of its own; its rows are cut by the heads of their texts into as
+    many ranges, below the rest of that range. Nothing but cuts reaches the driver.
+    """
+    cuts = docs.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
+    often = {key: n for key, n in Counter(cuts).items() if n > 1}
+    base = _range_of(F.col("key"), sorted(set(cuts)))
+    if not often:
+        return docs.withColumn("part", base)
+    grid = max(often.values())
+    heads = docs.where(F.col("key").isin(list(often))).groupBy("key").agg(F.percentile_approx(F.expr(HEAD), [i / grid for i in range(1, grid)], 10 * grid).alias("at"))
+    cut = [(r.key, sorted({r.at[j * grid // often[r.key] - 1] for j in range(1, often[r.key])})) for r in heads.collect()]
+    cut = docs.sparkSession.createDataFrame(cut, "key long, heads array<long>")  # no more heads than parts
+    head = F.expr(HEAD)
+    within = F.when(F.col("heads").isNull(), grid).otherwise(F.size(F.filter("heads", lambda c: c <= head)))
+    return docs.join(F.broadcast(cut), "key", "left").withColumn("part", (base * (grid + 1) + within).cast("int")).drop("heads")
+
+
 def edit_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """EDITS for every row of docs(doc_id, text): its fingerprint and that of its edited text.
 
     The edited text has its last floor(n/3) code points replaced by the first as many of the next
     document, in descending order of doc_id and, for equal ids, of text; after the last comes the first.
-    Rows are dealt out by ranges of doc_id; the row that follows a range goes to it too, so that no task
-    sees more than a range and nothing is joined. A null doc_id counts as the least of all. A single row
-    is its own next.
+    Rows are dealt out by ranges of doc_id, and of text where one id (or null) has many rows; the row that
+    follows a range goes to it too, so that no task sees more than a range and nothing is joined. A null
+    doc_id counts as the least of all. A single row is its own next. Rows equal in both stay in one range.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
@@ -198,15 +224,13 @@ def edit_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFram
     (n,) = docs.agg(F.count("*")).first()
     if not n:
         return spark.createDataFrame([], EDITS)
-    parts = max(1, min(20_000, -(-n // range_rows)))
-    cuts = sorted(set(docs.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * parts)).first()[0])) if parts > 1 else []
-    docs = docs.withColumn("part", _range_of(F.col("key"), cuts))
+    docs = _ranges(docs, max(1, min(20_000, -(-n // range_rows))))
     tops = {r[0]: r[1] for r in docs.groupBy("part").agg(F.max("key")).collect()}  # a row for each range
     order = sorted(tops)
     follows = {order[i]: order[i + 1] for i in range(len(order) - 1)} | {order[-1]: order[0]}
-    heads = spark.createDataFrame([(tops[p], p, follows[p]) for p in order], "key long, own int, above int")
+    heads = spark.createDataFrame([(tops[p], p, follows[p]) for p in order], "key long, part int, above int")
     # of equal greatest ids the row with the greatest text comes first, and that one follows the range above
-    first = docs.join(F.broadcast(heads), "key").where("part = own").groupBy("above").agg(F.max_by(F.struct("doc_id", "text"), "text").alias("row")).select(F.col("above").alias("part"), "row.doc_id", F.lit(True).alias("halo"), "row.text", F.lit(None).cast("long").alias("key"))
+    first = docs.join(F.broadcast(heads), ["key", "part"]).groupBy("above").agg(F.max_by(F.struct("doc_id", "text"), "text").alias("row")).select(F.col("above").alias("part"), "row.doc_id", F.lit(True).alias("halo"), "row.text", F.lit(None).cast("long").alias("key"))
     rows = docs.select("part", "doc_id", F.lit(False).alias("halo"), "text", "key").union(first)
     dealt = rows.repartition("part").sortWithinPartitions("part", "halo", F.desc("key"), F.desc("text"))
     return dealt.select("part", "doc_id", "halo", "text").mapInArrow(_edit, EDITS)

@@ -10,9 +10,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mattework.llm import bpe, ctw, dartminhash, exact, langid, lcp, packing, suffix, toxicity, warc
+from mattework.llm import bpe, ctw, dartminhash, exact, langid, lcp, packing, shared, suffix, toxicity, warc
 from mattework.llm.queries import tokenizer_path
 
 KIND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("key", T.StringType()), T.StructField("label", T.IntegerType())])
@@ -282,6 +283,18 @@ def test_lcp_edits_against_plain_python(spark):
         assert r.near_edited == alike(bins(text), bins(changed)) and r.near_next == alike(bins(text), bins(following))
 
 
+def test_lcp_deals_one_frequent_id_by_text(spark):
+    """Rows without an id, a third of all and of one, are cut by their texts; edits are those of the whole order."""
+    rng = random.Random(23)
+    rows = [(None, words(rng, rng.randint(1, 30))) for _ in range(60)] + [(7, words(rng, 9)) for _ in range(30)] + [(i, words(rng, 9)) for i in range(100, 190)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
+    assert max(r["count"] for r in lcp._ranges(keyed, 36).groupBy("part").count().collect()) <= 12
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], r[1].encode()), reverse=True)
+    want = sorted((str(d), hashlib.sha256(lcp.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (d, t) in enumerate(order))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in lcp.edit_fingerprints(docs, range_rows=5).collect()) == want
+
+
 def test_ctw(docs, empty):
     got = {r.doc_id: r for r in ctw.score_texts(docs).collect() if r.doc_id is not None}
     joined = {r.doc_id: r for r in ctw.score_texts(docs, vocabulary=0).collect() if r.doc_id is not None}
@@ -387,6 +400,30 @@ def test_language_scores_and_rejection_against_plain_python(spark):
     assert langid.rejection(docs.where("false"), model) == 0.0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than the sample has rows for at the usual share: each gives fewer, none is left out."""
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 600)
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {f"l{k}": [letters[k] + "".join(rng.choices(letters, k=4)) for _ in range(12)] for k in range(20)}
+    rows = [(i, " ".join(rng.choices(kinds[f"l{i % 20}"], k=15)), f"l{i % 20}") for i in range(2000)]
+    got = langid.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} == set(kinds)
+    assert sum(r.lang_pred == f"l{r.doc_id % 20}" for r in got if r.held_out) > 0.9 * sum(r.held_out for r in got)
+
+
+def test_batches_are_only_made_smaller(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for now, rows, want in (("10000", 500, "500"), ("400", 1000, "400"), ("0", 1000, "1000")):
+            spark.conf.set(name, now)
+            shared.small_batches(spark, rows)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
