@@ -43,16 +43,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes from which an Arrow batch to a Python worker ends, however few rows it has.
+BATCH_BYTES = 4 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that Python workers hold, as single texts can be long.
+    """Bound the Arrow batches that Python workers hold, by rows and by bytes, as single texts can be long.
 
-    The bound holds for whatever is run later, as plans are run after they are built; it is only ever lowered, so
+    The bounds hold for whatever is run later, as plans are run after they are built; they are only ever lowered, so
     that no operator loosens another's.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 @contextmanager

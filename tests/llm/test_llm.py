@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -413,15 +414,21 @@ def test_every_language_is_learned(spark, monkeypatch):
 
 
 def test_batches_are_only_made_smaller(spark):
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows), spark.conf.get(size)
     try:
-        for now, rows, want in (("10000", 500, "500"), ("400", 1000, "400"), ("0", 1000, "1000")):
-            spark.conf.set(name, now)
-            shared.small_batches(spark, rows)
-            assert spark.conf.get(name) == want
+        for now, most, want in (("10000", 500, "500"), ("400", 1000, "400"), ("0", 1000, "1000")):
+            spark.conf.set(rows, now)
+            shared.small_batches(spark, most)
+            assert spark.conf.get(rows) == want
+        spark.conf.set(size, "64m")
+        shared.small_batches(spark)
+        long = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+        sizes = [r.n for r in long.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()]
+        assert sum(sizes) == 100 and max(sizes) <= 5
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(rows, before[0])
+        spark.conf.set(size, before[1])
 
 
 def test_held_out_accuracy(spark):
