@@ -1,12 +1,15 @@
 """Connected components (eight neighbours) of a mask, over runs of pixels instead of pixels.
 
-Runs are found by a window along a row and joined by union-find in stripes of STRIPE rows, a stripe a group. The last
+Runs are found by a window along a row and joined by union-find in stripes of STRIPE rows, whole stripes at a time. The last
 row of a stripe stands in the next stripe too; where it got a label in both, the two are one component. These links, at
 most one for two pixels of every STRIPE-th row, are joined by image: 2 million for an image of a thousand million pixels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,28 +55,49 @@ class _Sets:
 
 
 def _label(runs: pd.DataFrame) -> pd.DataFrame:
-    """Runs of a stripe with the label, area and border of their component there; the row above only connects."""
-    runs = runs.sort_values(["y", "x0"], ignore_index=True)
+    """Runs of whole stripes, sorted by image, stripe, y and x0, with the label, area and border of their component in
+    its stripe; the row above only connects."""
+    line = runs[["image_id", "stripe", "y"]].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]).any(axis=1)])
+    follows = (line[starts[1:]] - line[starts[:-1]] == [0, 0, 1]).all(axis=1).tolist()
+    starts = [*starts.tolist(), len(runs)]
     sets = _Sets(len(runs))
-    rows: dict[int, list[int]] = {}
-    x0, x1, ys = runs["x0"].tolist(), runs["x1"].tolist(), runs["y"].tolist()
-    for i, y in enumerate(ys):
-        rows.setdefault(y, []).append(i)
-    for y, here in rows.items():
-        above, k = rows.get(y - 1, []), 0
-        for i in here:
-            while k < len(above) and x1[above[k]] + 1 < x0[i]:
+    x0, x1 = runs["x0"].tolist(), runs["x1"].tolist()
+    for n, below in enumerate(follows):
+        if not below:
+            continue
+        k, end = starts[n], starts[n + 1]
+        for i in range(end, starts[n + 2]):
+            while k < end and x1[k] + 1 < x0[i]:
                 k += 1
             j = k
-            while j < len(above) and x0[above[j]] <= x1[i] + 1:
-                sets.join(i, above[j])
+            while j < end and x0[j] <= x1[i] + 1:
+                sets.join(i, j)
                 j += 1
-    runs["label"] = [ys[r] * 1_000_000 + x0[r] for r in sets.roots()]
-    own = ~runs["above"]
-    runs["area"] = ((runs["x1"] - runs["x0"] + 1) * own).groupby(runs["label"]).transform("sum")
-    touch = (runs["y"] == 0) | (runs["x0"] == 0) | (runs["y"] == runs["h"] - 1) | (runs["x1"] == runs["w"] - 1)
-    runs["border"] = (touch & own).groupby(runs["label"]).transform("any")
-    return runs[["image_id", "y", "x0", "x1", "label", "area", "border", "stripe", "above"]]
+    roots, own = np.array(sets.roots()), ~runs["above"].to_numpy()
+    size = ((runs["x1"] - runs["x0"] + 1) * own).to_numpy()
+    touch = ((runs["y"] == 0) | (runs["x0"] == 0) | (runs["y"] == runs["h"] - 1) | (runs["x1"] == runs["w"] - 1)).to_numpy() & own
+    label = runs["y"].to_numpy(np.int64)[roots] * 1_000_000 + runs["x0"].to_numpy()[roots]
+    out = runs.assign(label=label, area=np.bincount(roots, size)[roots].astype(np.int64), border=np.bincount(roots, touch)[roots] > 0)
+    return out[["image_id", "y", "x0", "x1", "label", "area", "border", "stripe", "above"]]
+
+
+def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """_label for batches that cut stripes anywhere: a stripe waits until the next one begins."""
+    key, held = ["image_id", "stripe"], []
+    for runs in batches:
+        if not len(runs):
+            continue
+        here, last = runs[key].to_numpy(), runs[key].to_numpy()[-1]
+        if held and (held[-1][key].to_numpy()[-1] == last).all():
+            held.append(runs)
+            continue
+        open_ = (here == last).all(axis=1)
+        if held or not open_.all():
+            yield _label(pd.concat([*held, runs[~open_]], ignore_index=True))
+        held = [runs[open_]]
+    if held:
+        yield _label(pd.concat(held, ignore_index=True))
 
 
 def _joined(links: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +113,7 @@ def _joined(links: pd.DataFrame) -> pd.DataFrame:
     return out.assign(image_id=links["image_id"].iloc[0])[["image_id", "node", "label", "area", "border"]]
 
 
-def labelled(pixels: DataFrame, mask: str, stripe: int = STRIPE) -> DataFrame:
+def labelled(pixels: DataFrame, mask: str, stripe: int = STRIPE, parts: int | None = None) -> DataFrame:
     """Runs of the pixels where the condition holds, with label (y * 10**6 + x0 of the first run), area and
     whether the component touches the image's border."""
     size = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
@@ -98,11 +122,13 @@ def labelled(pixels: DataFrame, mask: str, stripe: int = STRIPE) -> DataFrame:
     last = (F.col("y") % stripe == stripe - 1) & (F.col("y") < F.col("h") - 1)
     dealt = runs.withColumn("stripe", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
     dealt = dealt.withColumn("above", F.col("y") < F.col("stripe") * stripe)
-    parts = stage(dealt.groupBy("image_id", "stripe").applyInPandas(lambda pdf: _label(pdf), f"{LABELLED}, stripe int, above boolean"), "stripes")
+    dealt = dealt.repartition(parts, "image_id") if parts else dealt.repartition("image_id", "stripe")
+    made = dealt.sortWithinPartitions("image_id", "stripe", "y", "x0").mapInPandas(lambda batches: _labels(batches), f"{LABELLED}, stripe int, above boolean")
+    stripes = stage(made, "stripes", parts)
     node = F.col("stripe") * F.lit(NODE) + F.col("label")
     end = lambda side: [node.alias(f"node_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("label", "area", "border"))]
-    below = parts.where("above").select("image_id", "y", "x0", *end("b"))
-    rows = parts.where("not above")
+    below = stripes.where("above").select("image_id", "y", "x0", *end("b"))
+    rows = stripes.where("not above")
     if below.isEmpty():  # no image is higher than a stripe
         return rows.drop("stripe", "above")
     ends = rows.where(F.col("y") % stripe == stripe - 1).select("image_id", "y", "x0", *end("a"))
@@ -117,25 +143,25 @@ def pixels_of(runs: DataFrame, *columns: str) -> DataFrame:
     return runs.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), *columns)
 
 
-def border_connected(pixels: DataFrame, mask: str) -> DataFrame:
+def border_connected(pixels: DataFrame, mask: str, parts: int | None = None) -> DataFrame:
     """(image_id, y, x) of the mask's components that touch the border."""
-    return pixels_of(labelled(pixels, mask).where("border"))
+    return pixels_of(labelled(pixels, mask, parts=parts).where("border"))
 
 
-def remove_small(pixels: DataFrame, mask: str, min_area: int, protect_border: bool = True) -> DataFrame:
+def remove_small(pixels: DataFrame, mask: str, min_area: int, protect_border: bool = True, parts: int | None = None) -> DataFrame:
     """(image_id, y, x) of the mask without components smaller than min_area; nothing goes for min_area <= 1."""
     if min_area <= 1:
         return pixels.where(mask).select("image_id", "y", "x")
     keep = F.col("area") >= min_area
-    return pixels_of(labelled(pixels, mask).where(keep | F.col("border") if protect_border else keep))
+    return pixels_of(labelled(pixels, mask, parts=parts).where(keep | F.col("border") if protect_border else keep))
 
 
-def fill_holes(pixels: DataFrame, mask: str, min_area: int) -> DataFrame:
+def fill_holes(pixels: DataFrame, mask: str, min_area: int, parts: int | None = None) -> DataFrame:
     """The mask with the small components of its complement that do not touch the border."""
     own = pixels.where(mask).select("image_id", "y", "x")
     if min_area <= 1:
         return own
-    holes = labelled(pixels, f"NOT ({mask})").where((F.col("area") < min_area) & ~F.col("border"))
+    holes = labelled(pixels, f"NOT ({mask})", parts=parts).where((F.col("area") < min_area) & ~F.col("border"))
     return own.union(pixels_of(holes))
 
 

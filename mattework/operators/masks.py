@@ -40,10 +40,11 @@ def with_mask(pixels: DataFrame, mask: DataFrame, kind: str, value: str = "mask"
     if kind not in EMPTY:
         raise ValueError(f"a mask is one of {', '.join(EMPTY)}")
     size = lambda of, h, w: of.groupBy("image_id").agg((F.max("y") + 1).alias(h), (F.max("x") + 1).alias(w))
-    sizes = size(pixels, "h_", "w_").join(size(mask, "mh_", "mw_"), "image_id", "left")
-    placed = pixels.join(sizes, "image_id").withColumns({"my_": F.expr("y * mh_ div h_"), "mx_": F.expr("x * mw_ div w_")})
+    sizes = size(pixels, "h_", "w_").join(size(mask, "mh_", "mw_").hint("merge"), "image_id", "left")
+    placed = pixels.join(sizes.hint("merge"), "image_id").withColumns({"my_": F.expr("y * mh_ div h_"), "mx_": F.expr("x * mw_ div w_")})
     values = mask.select(F.col("image_id").alias("mi_"), F.col("y").alias("vy_"), F.col("x").alias("vx_"), F.col(value).cast("int").alias("told_"))
-    joined = placed.join(values, (F.col("image_id") == F.col("mi_")) & (F.col("my_") == F.col("vy_")) & (F.col("mx_") == F.col("vx_")), "left")
+    # an estimate of a mask's size can be that of the table that it is made from, so it is never sent to all
+    joined = placed.join(values.hint("merge"), (F.col("image_id") == F.col("mi_")) & (F.col("my_") == F.col("vy_")) & (F.col("mx_") == F.col("vx_")), "left")
     before = F.col(kind) if kind in pixels.columns else F.expr(EMPTY[kind])
     return joined.withColumn(kind, F.coalesce("told_", before)).drop("h_", "w_", "mh_", "mw_", "my_", "mx_", "mi_", "vy_", "vx_", "told_")
 

@@ -4,9 +4,11 @@ from dataclasses import replace
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from mattework.functions import sql as f
 from mattework.operators import adapters, components, masks
 from mattework.operators import matte as m
@@ -334,3 +336,47 @@ def test_quality_of_frames_with_known_truth(spark):
     assert all(r.gone > 0.985 and r.dirt == 0 for r in told.values()) and all(told[n].back <= 4 for n in told if "flat" in n), told
     assert all(told[n].kept > 0.985 and told[n].middle >= 248 for n in told if "fringe" not in n), told
     assert told["green_same_color_island"].island >= 248 and told["green_antialiased_edge"].soft > 900 / 6, told
+
+
+@pytest.mark.parametrize("batch", [1, 3, 7, 1000])
+def test_components_of_many_images_in_batches(batch):
+    """Stripes that batches cut anywhere, of images that lie together, are labelled apart."""
+    rng = np.random.default_rng(batch)
+    rows = []
+    for image in range(12):
+        mask = rng.random((9, 11)) < 0.5
+        for stripe in range(3):
+            for y in range(max(0, stripe * 3 - 1), stripe * 3 + 3):
+                edges = np.diff(np.r_[0, mask[y].astype(int), 0])
+                rows += [(image, y, x0, x1 - 1, 9, 11, stripe, y < stripe * 3) for x0, x1 in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)]
+    runs = pd.DataFrame(rows, columns=["image_id", "y", "x0", "x1", "h", "w", "stripe", "above"])
+    got = pd.concat(components._labels(iter([runs[i : i + batch] for i in range(0, len(runs), batch)])), ignore_index=True)
+    assert len(got) == len(runs)
+    want = {}
+    for (image, stripe), part in runs.groupby(["image_id", "stripe"]):
+        cells = {(y, x): (y, x0, above) for y, x0, x1, above in part[["y", "x0", "x1", "above"]].itertuples(index=False) for x in range(x0, x1 + 1)}
+        seen = set()
+        for start in sorted(cells):
+            if start in seen:
+                continue
+            found, todo = {start}, [start]
+            while todo:
+                y, x = todo.pop()
+                near = {(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & cells.keys() - found
+                found |= near
+                todo += near
+            seen |= found
+            own = [c for c in found if not cells[c][2]]
+            told = (start[0] * 1_000_000 + start[1], len(own), any(y in (0, 8) or x in (0, 10) for y, x in own))
+            want |= {(image, stripe, *cells[c][:2]): told for c in found}
+    assert want == {(r.image_id, r.stripe, r.y, r.x0): (r.label, r.area, r.border) for r in got.itertuples()}
+
+
+def _exchanges(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.count("BroadcastExchange"), text.count("ENSURE_REQUIREMENTS")
+
+
+def test_a_mask_is_not_sent_to_all(spark):
+    """Estimates of exploded tables are too small; pixels dealt by image are not dealt again."""
+    assert _exchanges(__spark_entry__.queries()["mask_import"](spark, "/root/testdata/sf0.001")) == (0, 0)
