@@ -2,13 +2,13 @@
 
 Subwords are the 3- and 4-byte grams of the lower-cased text with white space as one mark; each hashes to
 one of 2**BUCKET_BITS buckets. A text's vector is the mean of its buckets' embeddings; a linear softmax
-over it gives the language. Embeddings and softmax are trained by stochastic gradient descent in numpy on
-a bounded sample: about SAMPLE labelled rows for each language, chosen by a hash of doc_id, whole texts; with more
-than SAMPLE_ROWS / SAMPLE languages each gives an equal share of SAMPLE_ROWS. Every language of a labelled row is learned.
-A fold of the sample kept out of training fits a temperature. A tenth of all labelled rows is never in the
-sample; about CALIBRATION of them, chosen by a hash of doc_id, are predicted and fit the rejection: the
-score below which a text is rejected, set so that of those rightly named REJECT_SHARE at most falls below
-it. Without such rows nothing but texts without a letter is rejected.
+over it gives the language. Embeddings and softmax are learned by stochastic gradient descent in numpy from every
+labelled row but two tenths, whole texts: each task descends over all of its rows from one start, and what the tasks come
+to is averaged by their rows. The start is trained on the driver on some of these rows, about SAMPLE for each language,
+chosen by a hash of doc_id (with more than SAMPLE_ROWS / SAMPLE languages each gives an equal share of SAMPLE_ROWS). Every
+language of a labelled row is learned. Of the two tenths all rows count: one fits a temperature, the other is predicted
+and fits the rejection: the score below which a text is rejected, set so that of those rightly named REJECT_SHARE at most
+falls below it. Without such rows nothing but texts without a letter is rejected.
 
 A null text and a text without a letter get `und` with score 0 and are rejected. An empty table or one
 without labelled rows gives `und` for all. Columns other than text, lang and doc_id are not read; only
@@ -25,14 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mattework.llm.bytesops import LOWER, NAMES, SPACE, U, give_back, gram_hash, prefix_sums, text_blocks
-from mattework.llm.shared import small_batches
+from mattework.llm.shared import materialize, small_batches
 
 BUCKET_BITS, DIM = 13, 16
-#: Labelled rows of each language in training, in the mean, and of all languages together.
+#: Rows of each language that train the start, in the mean, and of all languages together.
 SAMPLE, SAMPLE_ROWS = 1200, 480_000
 REJECT_SHARE = 0.001
-#: Labelled rows outside the sample, of all languages, whose scores fit the rejection, in the mean.
-CALIBRATION = 20_000
+#: Of the descent over all rows: its first rate, and how often a block of texts is gone through.
+RATE, ROUNDS = 0.5, 3
+#: Texts in a step, and by how much shares are scaled (they are small) to make the mean vector of unit order.
+STEP_ROWS, SCALE = 32, np.float32(20.0)
+#: Tasks whose outcomes are averaged together, and the averages that reach the driver at most.
+AVERAGED, AVERAGES = 6, 16
 GRAMS = (3, 4)
 
 
@@ -98,41 +102,109 @@ class Shares:
         return out
 
 
-def train(features: Shares, labels: np.ndarray, names: list[str], fold: np.ndarray, epochs: int = 30, rate: float = 2.0, seed: int = 7) -> Model:
-    """fold: 0 train, 1 temperature."""
+@dataclass
+class Net:
+    embed: np.ndarray  # (buckets, DIM)
+    weight: np.ndarray  # (DIM, languages)
+    bias: np.ndarray
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """Logits of the shares x, before a temperature."""
+        return (x * SCALE) @ self.embed @ self.weight + self.bias
+
+    def step(self, x: np.ndarray, labels: np.ndarray, rate: float) -> None:
+        """A step of gradient descent, in place."""
+        x = x * SCALE
+        h = x @ self.embed
+        g = softmax(h @ self.weight + self.bias).astype(np.float32)
+        g[np.arange(len(x)), labels] -= 1
+        g /= len(x)
+        back = g @ self.weight.T
+        self.weight -= rate * (h.T @ g)
+        self.bias -= rate * g.sum(axis=0)
+        self.embed -= rate * (x.T @ back)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.embed, self.weight, self.bias)])
+
+    @staticmethod
+    def of(flat: np.ndarray, k: int) -> Net:
+        embed, weight, bias = np.split(flat.astype(np.float32), [DIM << BUCKET_BITS, (DIM << BUCKET_BITS) + DIM * k])
+        return Net(embed.reshape(-1, DIM), weight.reshape(DIM, k), bias)
+
+
+def train(features: Shares, labels: np.ndarray, k: int, epochs: int = 30, rate: float = 2.0, seed: int = 7) -> Net:
+    """The start: a net of k languages from the rows of features."""
     rng = np.random.default_rng(seed)
-    k = len(names)
-    embed = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM)).astype(np.float32)
-    weight, bias = np.zeros((DIM, k), np.float32), np.zeros(k, np.float32)
-    rows = np.flatnonzero(fold == 0)
-    scale = np.float32(20.0)  # shares are small; the mean vector is scaled to unit order
+    net = Net(rng.normal(0, 0.1, (1 << BUCKET_BITS, DIM)).astype(np.float32), np.zeros((DIM, k), np.float32), np.zeros(k, np.float32))
+    rows = np.arange(len(labels))
     for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
         rng.shuffle(rows)
-        for low in range(0, len(rows), 32):
-            some = rows[low : low + 32]
-            x = features.dense(some) * scale
-            h = x @ embed
-            g = softmax(h @ weight + bias).astype(np.float32)
-            g[np.arange(len(some)), labels[some]] -= 1
-            g /= len(some)
-            back = g @ weight.T
-            weight -= step * (h.T @ g)
-            bias -= step * g.sum(axis=0)
-            embed -= step * (x.T @ back)
-    logits = scale * embed @ weight
-
-    def raw(at):
-        """Logits plus bias of the rows, a few hundred at a time."""
-        parts = [features.dense(at[i : i + 256]) @ logits + bias for i in range(0, len(at), 256)]
-        return np.concatenate(parts) if parts else np.zeros((0, k), np.float32)
-
-    at = np.flatnonzero(fold == 1)
-    steps = np.geomspace(0.25, 8, 40)
-    z = raw(at)
-    loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(at)), labels[at]], 1e-12)).mean() for t in steps] if len(at) else [0.0]
-    t = float(steps[int(np.argmin(loss))]) if len(at) else 1.0
-    return Model(names, (logits / t).astype(np.float64), (bias / t).astype(np.float64))
+        for low in range(0, len(rows), STEP_ROWS):
+            some = rows[low : low + STEP_ROWS]
+            net.step(features.dense(some), labels[some], rate * (1 - epoch / epochs))
+    return net
+
+
+def _shares(batches, names):
+    """Each block's shares of the subwords, a row a text, and its labels."""
+    place = {name: i for i, name in enumerate(names)}
+    for batch, data, offsets in text_blocks(batches):
+        found, at = buckets(data, offsets)
+        x = np.empty((batch.num_rows, 1 << BUCKET_BITS), np.float32)
+        for i in range(len(x)):
+            x[i] = np.bincount(found[at[i] : at[i + 1]], minlength=1 << BUCKET_BITS)
+        x /= np.maximum(np.diff(at), 1)[:, None].astype(np.float32)
+        yield x, np.array([place[name] for name in batch["lang"].to_pylist()])
+
+
+def refined(rows: DataFrame, names: list[str], start: Net) -> Net:
+    """start after a descent over every row of rows(text, lang): the tasks' nets, averaged by their rows."""
+    held = rows.sparkSession.sparkContext.broadcast(start.flat())
+    kind = "part long, rows long, net binary"
+
+    def descend(batches):
+        from pyspark import TaskContext
+
+        net, rng, seen, blocks = Net.of(held.value, len(names)), np.random.default_rng(7), 0, 0
+        for x, labels in _shares(batches, names):
+            blocks += 1
+            for _ in range(ROUNDS):
+                order = rng.permutation(len(x))
+                for low in range(0, len(x), STEP_ROWS):
+                    some = order[low : low + STEP_ROWS]
+                    net.step(x[some], labels[some], RATE / blocks**0.5 * len(some) / STEP_ROWS)
+            seen += len(x)
+        if seen:
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()]), pa.array([seen]), pa.array([net.flat().tobytes()], pa.binary())], ["part", "rows", "net"])
+
+    def mean(key, found):
+        seen, nets = found["rows"].to_numpy(), (np.frombuffer(x.as_py(), np.float32) for x in found["net"])
+        total = sum(float(n) * net.astype(np.float64) for n, net in zip(seen, nets, strict=True)) / seen.sum()
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "rows": pa.array([int(seen.sum())]), "net": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    nets = rows.select("text", "lang").mapInArrow(descend, kind)
+    nets = nets.groupBy(F.floor(F.col("part") / AVERAGED).alias("to")).applyInArrow(mean, kind)
+    nets = nets.groupBy((F.col("part") % AVERAGES).alias("to")).applyInArrow(mean, kind)
+    total, seen = 0.0, 0
+    for r in nets.toLocalIterator():
+        total, seen = total + float(r["rows"]) * np.frombuffer(r["net"], np.float32).astype(np.float64), seen + r["rows"]
+    return Net.of(total / seen, len(names)) if seen else start
+
+
+def temperature(rows: DataFrame, names: list[str], net: Net) -> float:
+    """By which logits are divided: where the loss over all of rows(text, lang) is least, 1 without rows."""
+    held, steps = rows.sparkSession.sparkContext.broadcast(net.flat()), np.geomspace(0.25, 8, 40)
+
+    def losses(batches):
+        net, loss = Net.of(held.value, len(names)), np.zeros(len(steps))
+        for x, labels in _shares(batches, names):
+            z = net.raw(x)
+            loss += [-np.log(np.maximum(softmax(z / t)[np.arange(len(x)), labels], 1e-12)).sum() for t in steps]
+        yield pa.record_batch([pa.array([loss.tolist()])], ["loss"])
+
+    loss = sum(np.array(r["loss"]) for r in rows.select("text", "lang").mapInArrow(losses, "loss array<double>").toLocalIterator())
+    return float(steps[int(np.argmin(loss))]) if np.any(loss) else 1.0
 
 
 def _histograms(batches):
@@ -143,7 +215,7 @@ def _histograms(batches):
             kind, count = np.unique(found[at[i] : at[i + 1]], return_counts=True)
             kinds.append(kind)
             counts.append(count.astype(np.int32))
-        yield pa.record_batch([batch["lang"], batch["fold"], pa.array(kinds, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "fold", "kinds", "counts"])
+        yield pa.record_batch([batch["lang"], pa.array(kinds, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "kinds", "counts"])
 
 
 def learn(docs: DataFrame, train_rows, sample: int = SAMPLE) -> Model | None:
@@ -159,26 +231,33 @@ def learn(docs: DataFrame, train_rows, sample: int = SAMPLE) -> Model | None:
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10))
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 30, int(sample / r["count"] * (1 << 30)) + 1))]), F.col("lang"))
     known = known.withColumn("fold", fold)
-    features, labels, folds = Shares(), [], []
-    chosen = known.where((F.col("fold") != 1) & (spot < share)).select("text", "lang", "fold")
-    for r in chosen.mapInArrow(_histograms, "lang string, fold long, kinds array<int>, counts array<int>").toLocalIterator():
+    learned = known.where("fold > 1")
+    features, labels = Shares(), []
+    for r in learned.where(spot < share).select("text", "lang").mapInArrow(_histograms, "lang string, kinds array<int>, counts array<int>").toLocalIterator():
         features.add(r["kinds"], r["counts"])
         labels.append(names.index(r["lang"]))
-        folds.append(int(r["fold"] == 0))
     if not labels:
         return None
-    model = train(features, np.array(labels), names, np.array(folds))
+    start = train(features, np.array(labels), len(names))
     del features
     give_back()
-    part = min(1 << 30, int(10 * CALIBRATION / sum(r["count"] for r in counts) * (1 << 30)) + 1)
-    return replace(model, reject=rejection(known.where((F.col("fold") == 1) & (spot < part)), model))
+    net = refined(learned, names, start)
+    t = temperature(known.where("fold = 0"), names, net)
+    model = Model(names, (SCALE * net.embed @ net.weight / t).astype(np.float64), (net.bias / t).astype(np.float64))
+    return replace(model, reject=rejection(known.where("fold = 1"), model))
 
 
 def rejection(labelled: DataFrame, model: Model) -> float:
-    """The score below which REJECT_SHARE of the rightly named rows of labelled(text, lang) fall at most."""
-    found = predicted(labelled, model, ["lang"]).where("lang_pred = lang").select("score")
-    scores = np.sort([r["score"] for r in found.toLocalIterator()])
-    return float(scores[int(len(scores) * REJECT_SHARE)]) if len(scores) else 0.0
+    """The score below which REJECT_SHARE of the rightly named rows of labelled(text, lang) fall at most: counted by
+    narrow ranges of scores, then looked up in the one that has it."""
+    found = materialize(predicted(labelled, model, ["lang"]).where("lang_pred = lang").selectExpr("score", "cast(floor(score * 65536) as int) AS slot"), "scores")
+    slots = sorted((r["slot"], r["count"]) for r in found.groupBy("slot").count().toLocalIterator())
+    nth = int(sum(n for _, n in slots) * REJECT_SHARE)
+    for slot, n in slots:
+        if nth < n:
+            return float(found.where(F.col("slot") == slot).orderBy("score").offset(nth).first()["score"])
+        nth -= n
+    return 0.0
 
 
 def _predict(held):

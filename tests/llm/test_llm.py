@@ -413,6 +413,22 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert sum(r.lang_pred == f"l{r.doc_id % 20}" for r in got if r.held_out) > 0.9 * sum(r.held_out for r in got)
 
 
+def test_languages_are_learned_from_every_row(spark, monkeypatch):
+    """What only rows outside of the start's sample show is learned too, and all of a tenth fits the rejection."""
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 6)
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [["".join(rng.choices(letters, k=6)) for _ in range(4)] for _ in range(60)]  # a language has 30 kinds of text, most in no sample
+    rows = [(i, " ".join(rng.choices(kinds[i % 60], k=12)), f"l{i % 2}") for i in range(6000)]
+    judged = []
+    monkeypatch.setattr(langid, "rejection", lambda labelled, model, judge=langid.rejection: judged.append(labelled.count()) or judge(labelled, model))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r for r in langid.predict_languages(docs).collect() if r.held_out]
+    assert sum(r.lang_pred == f"l{r.doc_id % 2}" for r in got) > 0.95 * len(got)
+    learnable = docs.where(langid.fold_of(4) != 2)
+    assert judged == [learnable.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)) == 1).count()]
+
+
 def test_batches_are_only_made_smaller(spark):
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(rows), spark.conf.get(size)
