@@ -117,7 +117,7 @@ def labelled(pixels: DataFrame, mask: str, stripe: int = STRIPE, parts: int | No
     """Runs of the pixels where the condition holds, with label (y * 10**6 + x0 of the first run), area and
     whether the component touches the image's border."""
     size = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    runs = mask_runs(pixels.where(mask).select("image_id", "y", "x")).join(size, "image_id")
+    runs = mask_runs(pixels.where(mask).select("image_id", "y", "x")).join(size.hint("merge"), "image_id")
     own = F.floor(F.col("y") / stripe).cast("int")
     last = (F.col("y") % stripe == stripe - 1) & (F.col("y") < F.col("h") - 1)
     dealt = runs.withColumn("stripe", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
@@ -132,10 +132,10 @@ def labelled(pixels: DataFrame, mask: str, stripe: int = STRIPE, parts: int | No
     if below.isEmpty():  # no image is higher than a stripe
         return rows.drop("stripe", "above")
     ends = rows.where(F.col("y") % stripe == stripe - 1).select("image_id", "y", "x0", *end("a"))
-    links = ends.join(below, ["image_id", "y", "x0"]).drop("y", "x0").distinct()
+    links = ends.join(below.hint("merge"), ["image_id", "y", "x0"]).drop("y", "x0").distinct()
     whole = links.groupBy("image_id").applyInPandas(lambda pdf: _joined(pdf), "image_id long, node long, label long, area long, border boolean")
     whole = whole.select("image_id", "node", F.struct("label", "area", "border").alias("whole"))
-    out = rows.withColumn("node", node).join(whole, ["image_id", "node"], "left")
+    out = rows.withColumn("node", node).join(whole.hint("merge"), ["image_id", "node"], "left")
     return out.select("image_id", "y", "x0", "x1", *(F.coalesce(f"whole.{c}", c).alias(c) for c in ("label", "area", "border")))
 
 

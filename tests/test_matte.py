@@ -406,3 +406,20 @@ def test_no_colours_are_made_where_none_are_returned(spark, monkeypatch, name):
     """alpha and background are the matte's: nearest colours and what they are looked up in are not needed."""
     monkeypatch.setattr(k, "colours", lambda *a, **b: pytest.fail("colours were made"))
     assert "background" in (got := __spark_entry__.queries()[name](spark, SF)).columns or "opaque" in got.columns
+
+
+@pytest.mark.parametrize("name", ["key_image_expanded", "key_image_auto", "key_image_sampled"])
+def test_no_pixels_are_sent_to_all(spark, monkeypatch, name):
+    """An estimate of pixels is of the compressed files that they are made from, which says little of them."""
+    seen = []
+
+    def told(df, *rest):
+        seen.append(df._jdf.queryExecution().sparkPlan().toString())
+        return stage(df, *rest)
+
+    for module in (k, components, catalog):
+        monkeypatch.setattr(module, "stage", lambda df, name, parts=None: told(df, name, parts))
+    out = catalog.queries()[name](spark, SF)
+    seen.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b" and len(seen) > 6
+    assert not [plan for plan in seen if "Broadcast" in plan] and any("SortMergeJoin" in plan for plan in seen)
