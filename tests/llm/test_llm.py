@@ -146,6 +146,34 @@ def test_suffix_groups_that_are_cut(spark, monkeypatch, group, share, hot):
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_suffix_marks_runs_of_repeated_stretches_at_once(spark, monkeypatch, hot):
+    """Copies and lines of one byte: a mark for each row, where there were as many as stretches (of a line, as bytes)."""
+    monkeypatch.setattr(suffix, "HOT_PLACES", hot)
+    monkeypatch.setattr(suffix, "HOT_NAMES", 10**9)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    copy = text(2500)
+    for times in (1, 2):
+        texts = [copy] * (10 * times) + ["-" * (1000 + i) for i in range(10 * times)]
+        alone = [text(900), "-" * 399, "", None]
+        docs = spark.createDataFrame(list(enumerate(texts + alone)), "row_id long, text string").repartition(1 if hot > 1 else 4)
+        marks = {r.row_id: r.marks for r in suffix.marks_of(docs, 400, 32).collect()}
+        want = {k: [(0, [0], [len(t) - 400])] for k, t in enumerate(texts)}
+        assert {k: [tuple(m) for m in v] for k, v in marks.items()} == want
+
+
+def test_runs_of_known_stretches():
+    name, first = np.array([5, 7, 5, 9, 8, 8, 9, 6]), np.array([0, 3, 4, 9, 12, 20, 21, 30])
+    last = np.array([2, 3, 8, 11, 13, 20, 29, 31])  # the starts 14 to 19 are of no stretch: another text follows
+    known, a, b = suffix.runs_of_known(name, first, last, np.array([6]))
+    assert known.tolist() == [True, False, True, True, True, True, True, True]
+    assert list(zip(first[a].tolist(), last[b].tolist(), strict=True)) == [(0, 2), (4, 13), (20, 31)]
+    none = np.zeros(0, np.int64)
+    assert [x.tolist() for x in suffix.runs_of_known(none, none, none, none)] == [[], [], []]
+    assert [x.tolist() for x in suffix.runs_of_known(name[:2], first[:2], last[:2], none)] == [[False, False], [], []]
+
+
 def test_loser_tree_merges_front_coded_runs():
     rng = random.Random(1)
     some = lambda n: bytes(rng.choice(b"ab") for _ in range(rng.randint(0, n)))
